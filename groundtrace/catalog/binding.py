@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundtrace import schema
+from groundtrace.session import spread
 
 # --- Fixed values: (image, command, label) per template -----------------------------------------
 _SYS = "C:\\Windows\\System32\\"
@@ -81,7 +82,7 @@ def raw_process_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Every 7th image travels as SourceImage and every 11th command under its other spelling.
     """
-    return as_process_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return as_process_events(spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id"))
 
 
 def as_process_events(events: DataFrame) -> DataFrame:

@@ -32,10 +32,11 @@ EMBEDDING = ("text_embedding_mean", "text_embedding_std", "text_embedding_min",
 
 
 def _coded(text: Column, codes: dict[str, int]) -> Column:
-    code = F.lit(0)
-    for word, number in codes.items():
-        code = F.when(text == word, F.lit(number)).otherwise(code)
-    return code
+    (word, number), *others = codes.items()
+    code = F.when(text == word, F.lit(number))
+    for word, number in others:
+        code = code.when(text == word, F.lit(number))
+    return code.otherwise(F.lit(0))
 
 
 def event_rules(options: RuleOptions) -> tuple[Columns, Columns]:

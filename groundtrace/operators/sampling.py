@@ -64,13 +64,12 @@ def find_cuts(df: DataFrame, order: Order, ranks) -> DataFrame:
         F.filter(ranks(F.col("_total")), lambda r: (r > F.col("_end") - F.col("_n"))
                  & (r <= F.col("_end"))).alias("_ranks"))
     holding = _bounded(placed.filter(F.size("_ranks") > 0), "cut positions")
-    schema = "_stratum string, _prefix string, _before bigint, _ranks array<bigint>"
+    schema = "_s string, _p string, _before bigint, _ranks array<bigint>"
     holding = F.broadcast(spark.createDataFrame([tuple(r) for r in holding], schema))
     candidates = (
         keyed.withColumn("_prefix", prefix)
-        .join(holding, F.col("_stratum").eqNullSafe(holding["_stratum"])
-              & (F.col("_prefix") == holding["_prefix"]))
-        .groupBy(holding["_stratum"].alias("_s"), holding["_prefix"].alias("_p"), "_hash", "_key")
+        .join(holding, F.col("_stratum").eqNullSafe(F.col("_s")) & (F.col("_prefix") == F.col("_p")))
+        .groupBy("_s", "_p", "_hash", "_key")
         .agg(F.count(F.lit(1)).alias("_n"), F.first("_before").alias("_before"),
              F.first("_ranks").alias("_ranks"))
     )
@@ -88,20 +87,23 @@ def find_cuts(df: DataFrame, order: Order, ranks) -> DataFrame:
         "strata")
     return spark.createDataFrame(
         [(r["_s"], [tuple(c) for c in r["_cuts"]]) for r in cuts],
-        "_stratum string, _cuts array<struct<_hash:string,_key:string>>")
+        "_s string, _cuts array<struct<_hash:string,_key:string>>")
 
 
 def with_position(df: DataFrame, order: Order, cuts: DataFrame, name: str) -> DataFrame:
-    """Add ``name``: how many cuts of its stratum lie before the row (map-only, broadcast cuts)."""
+    """Add ``name``: how many cuts of its stratum lie before the row; null without any cut.
+
+    Map-only: the cuts are broadcast.
+    """
     stratum = F.col(order.stratum).cast("string") if order.stratum else F.lit("all")
     place = F.struct(
         order_hash(order.seed, F.col(order.key).cast("string"), order.salt).alias("_hash"),
         F.col(order.key).cast("string").alias("_key"))
     joined = df.withColumn("_place", place).join(
-        F.broadcast(cuts), stratum.eqNullSafe(cuts["_stratum"]), "left")
+        F.broadcast(cuts), stratum.eqNullSafe(F.col("_s")), "left")
     passed = F.size(F.filter("_cuts", lambda c: c < F.col("_place")))
-    return joined.withColumn(name, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(passed)).drop(
-        "_place", "_stratum", "_cuts")
+    return joined.withColumn(name, F.when(F.col("_cuts").isNotNull(), passed)).drop(
+        "_place", "_s", "_cuts")
 
 
 def stratified_holdout(df: DataFrame, test_size: float = 0.2, order: Order = Order()) -> DataFrame:
@@ -110,17 +112,11 @@ def stratified_holdout(df: DataFrame, test_size: float = 0.2, order: Order = Ord
     ``Order(stratum=None)`` gives the unstratified form (W1b).
     """
     share = 1 - test_size
-    # A first cut at rank 0 never exists, so a stratum with no training rows has no cut at all.
     cuts = find_cuts(df, order, lambda n: F.array(F.floor(n * F.lit(share))))
     marked = with_position(df, order, cuts, "_after")
-    known = [r["_stratum"] for r in cuts.collect()]
-    stratum = F.col(order.stratum).cast("string") if order.stratum else F.lit("all")
-    has_cut = F.array_contains(F.array(*[F.lit(k) for k in known if k is not None])
-                               .cast("array<string>"), stratum)
-    if None in known:
-        has_cut = F.coalesce(has_cut, F.lit(True))
-    train = F.coalesce(has_cut, F.lit(False)) & (F.col("_after") == 0)
-    return marked.withColumn("part", F.when(train, "train").otherwise("test")).drop("_after")
+    # A stratum too small for a single training row has no cut: all of it is test.
+    return marked.withColumn(
+        "part", F.when(F.col("_after") == 0, "train").otherwise("test")).drop("_after")
 
 
 def stratified_folds(df: DataFrame, folds: int = 5, order: Order = Order()) -> DataFrame:
@@ -133,7 +129,7 @@ def stratified_folds(df: DataFrame, folds: int = 5, order: Order = Order()) -> D
             lambda r: r > 0))
 
     marked = with_position(df, order, find_cuts(df, order, ends), "_after")
-    return marked.withColumn("fold", F.col("_after") + 1).drop("_after")
+    return marked.withColumn("fold", F.coalesce("_after", F.lit(0)) + 1).drop("_after")
 
 
 def hash_folds(df: DataFrame, folds: int = 5, order: Order = Order()) -> DataFrame:
@@ -153,10 +149,17 @@ def choose(df: DataFrame, factor: float, order: Order, method: str = "exact") ->
         return df.filter(uniform(order.seed, F.col(order.key), order.salt) < factor)
     if method != "exact":
         raise ValueError(f"unknown method: {method}")
+    return _first_rows(df, order, lambda n: F.floor(n * F.lit(factor)))
+
+
+def choose_count(df: DataFrame, count: int, order: Order) -> DataFrame:
+    """The first ``count`` rows in random order, all rows if there are fewer (L4)."""
+    return _first_rows(df, order, lambda n: F.least(F.lit(count).cast("bigint"), n))
+
+
+def _first_rows(df: DataFrame, order: Order, rank) -> DataFrame:
     one = Order(order.seed, order.salt, order.key, None, order.prefix_digits)
-    cuts = find_cuts(df, one, lambda n: F.array(F.floor(n * F.lit(factor))))
-    if cuts.isEmpty():
-        return df.limit(0)
+    cuts = find_cuts(df, one, lambda n: F.array(rank(n)))
     return with_position(df, one, cuts, "_after").filter(F.col("_after") == 0).drop("_after")
 
 

@@ -1,6 +1,7 @@
 """Session settings and the place for intermediate tables."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,7 +40,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder so that later jobs survive lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    Cuts the lineage, so later jobs neither recompute the rows nor depend on an executor's cache.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/groundtrace-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for per-row work on an input of fewer files than cores.
+
+    Large inputs have far more splits than cores and pass through without a shuffle.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)
