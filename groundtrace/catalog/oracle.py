@@ -756,7 +756,8 @@ ORACLE: dict[str, str] = {
         coalesce(attack_type, 'attack type uncertain') AS attack_type
         FROM f LEFT JOIN best ON best.event_key = f.event_key""",
     "attack_scores": f"""{CONTRIBUTIONS} SELECT event_key, {KIND} AS attack_type,
-        round(sum(abs(contribution)), 6) AS score FROM t WHERE {KIND} IS NOT NULL GROUP BY ALL""",
+        round(sum(abs(contribution)), 6) AS score FROM t WHERE {KIND} IS NOT NULL AND contribution <> 0
+        GROUP BY ALL""",
     "explanations": EXPLAINED,
     "global_contributions": f"""{CONTRIBUTIONS}, w(name, description) AS (VALUES {DESCRIBED}),
         i AS (SELECT feature, avg(abs(contribution)) AS importance FROM c GROUP BY feature

@@ -437,7 +437,7 @@ def attack_type(spark, sf_dir):
 
 @query
 def attack_scores(spark, sf_dir):
-    return rounded(co.attack_scores(co.long_contributions(_contributions(spark, sf_dir))))
+    return rounded(co.attack_scores(_contributions(spark, sf_dir)))
 
 
 @query

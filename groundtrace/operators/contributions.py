@@ -85,12 +85,17 @@ def attack_type_of(name: Column) -> Column:
     return first_case(tests)
 
 
-def infer_attack_type(top: Column) -> Column:
-    """The attack type with the largest summed |contribution|; the first seen wins a tie."""
-    typed = F.filter(
+def typed_contributions(top: Column) -> Column:
+    """(attack type, |contribution|) of the items that point to one."""
+    return F.filter(
         F.transform(F.slice(top, 1, 5), lambda x: F.struct(
             attack_type_of(x["name"]).alias("kind"), F.abs(x["contribution"]).alias("size"))),
         lambda x: x["kind"].isNotNull() & (x["size"] > 0))
+
+
+def infer_attack_type(top: Column) -> Column:
+    """The attack type with the largest summed |contribution|; the first seen wins a tie."""
+    typed = typed_contributions(top)
     kinds = F.array_distinct(F.transform(typed, lambda x: x["kind"]))
     totals = F.transform(kinds, lambda kind, i: F.struct(
         F.aggregate(typed, F.lit(0.0), lambda acc, x: acc + F.when(
@@ -99,11 +104,10 @@ def infer_attack_type(top: Column) -> Column:
     return F.coalesce(F.array_max(totals)["kind"], F.lit(v.ATTACK_UNCERTAIN))
 
 
-def attack_scores(long: DataFrame) -> DataFrame:
-    """Summed |contribution| per (event_key, attack_type) of a long contribution table."""
-    kind = attack_type_of(F.col("feature"))
-    typed = long.select("event_key", kind.alias("attack_type"), F.abs("contribution").alias("size"))
-    return typed.filter(F.col("attack_type").isNotNull()).groupBy("event_key", "attack_type").agg(
+def attack_scores(df: DataFrame, items: str = "top_features") -> DataFrame:
+    """Summed |contribution| per (event_key, attack_type) of the top features."""
+    typed = df.select("event_key", F.inline(typed_contributions(F.col(items))))
+    return typed.groupBy("event_key", F.col("kind").alias("attack_type")).agg(
         F.sum("size").alias("score"))
 
 
