@@ -106,16 +106,17 @@ def infer_attack_type(top: Column) -> Column:
 
 def attack_scores(df: DataFrame, items: str = "top_features") -> DataFrame:
     """Summed |contribution| per (event_key, attack_type) of the top features."""
-    typed = df.select("event_key", F.inline(typed_contributions(F.col(items))))
-    return typed.groupBy("event_key", F.col("kind").alias("attack_type")).agg(
+    typed = df.select("event_key", F.inline_outer(typed_contributions(F.col(items))))
+    return typed.filter(F.col("kind").isNotNull()).groupBy("event_key", F.col("kind").alias("attack_type")).agg(
         F.sum("size").alias("score"))
 
 
 def long_contributions(df: DataFrame, items: str = "top_features",
                        keep: Sequence[str] = ("event_key",)) -> DataFrame:
     """(keep..., rank, feature, value, contribution), one row per item."""
-    exploded = df.select(*keep, F.posexplode(items).alias("_at", "_item"))
-    return exploded.select(
+    # The outer form spares a second evaluation of the array as a filter at the scan.
+    exploded = df.select(*keep, F.posexplode_outer(items).alias("_at", "_item"))
+    return exploded.filter(F.col("_at").isNotNull()).select(
         *keep, (F.col("_at") + 1).alias("rank"), F.col("_item")["name"].alias("feature"),
         F.col("_item")["value"].alias("value"), F.col("_item")["contribution"].alias("contribution"))
 

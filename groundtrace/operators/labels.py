@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundtrace import schema
+from groundtrace.session import filter_here
 from groundtrace.vocabulary import BENIGN
 
 
@@ -57,7 +58,7 @@ def with_outcome(scored: DataFrame, truth: str = "label", model: str = "predicti
 
 def misclassified(scored: DataFrame, truth: str = "label", model: str = "prediction") -> DataFrame:
     """Rows whose prediction differs from the truth, with a short command preview."""
-    return scored.filter(F.col(truth) != F.col(model)).select(
+    return filter_here(scored, F.col(truth) != F.col(model)).select(
         "event_key",
         F.col(truth).alias("true_label"),
         F.col(model).alias("predicted_label"),
@@ -70,7 +71,7 @@ def prediction_disagreements(scored: DataFrame, truth: str = "label",
     """Rows where reviewer and model differ, with the sanitised event as a struct."""
     reviewer = reviewer_label(BENIGN)
     event_fields = [c for c in schema.ALLOWED_FIELDS if c in scored.columns]
-    return scored.filter(reviewer != F.col(model)).select(
+    return filter_here(scored, reviewer != F.col(model)).select(
         "event_key",
         F.col(truth).alias("ground_truth"),
         reviewer.alias("reviewer_prediction"),

@@ -1,6 +1,6 @@
 """Field resolution, sanitising and the text forms of an event. All map-only projections."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundtrace import schema
@@ -135,13 +135,11 @@ def with_event_key(df: DataFrame, salts: int = 1024) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_n"),
              *[F.any_value(F.col(f"`{c}`")).alias(c) for c in columns])
     )
-    from pyspark.sql import Window
-
     before = Window.partitionBy("_digest").orderBy("_salt").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     numbered = counted.withColumn("_end", F.sum("_n").over(before))
     spread = numbered.withColumn(
-        "_occurrence", F.explode(F.sequence(F.col("_end") - F.col("_n") + 1, F.col("_end"))))
+        "_occurrence", F.explode_outer(F.sequence(F.col("_end") - F.col("_n") + 1, F.col("_end"))))
     return spread.select(
         F.concat_ws("-", "_digest", F.col("_occurrence").cast("string")).alias("event_key"),
         *[F.col(f"`{c}`") for c in columns])

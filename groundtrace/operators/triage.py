@@ -126,4 +126,5 @@ def rule_hits(df: DataFrame, rules: list[tuple[str, str]] | None = None,
                        for r, w in rules])
     staged = df.select(*keep, F.lower(t.nz(field(df, "CommandLine"))).alias("_lc"))
     found = F.filter(listed, lambda r: F.contains(F.col("_lc"), r["indicator"]))
-    return staged.select(*keep, F.inline(found))
+    # The outer form spares a second evaluation of the array as a filter at the scan.
+    return staged.select(*keep, F.inline_outer(found)).filter(F.col("rule").isNotNull())

@@ -11,6 +11,7 @@ from groundtrace.operators.metrics import (
 )
 from groundtrace.operators.prepare import event_snapshot
 from groundtrace.operators.triage import classify_failures
+from groundtrace.session import filter_here
 from groundtrace.sources.sinks import write_json_lines
 
 
@@ -48,8 +49,8 @@ def analyze_failures(scored: DataFrame) -> FailureAnalysis:
     """Split by outcome and label the rows the model lost."""
     judged = with_outcome(scored)
     extra = ("prediction", "reviewer_prediction")
-    lost = judged.filter(F.col("outcome") == "reviewer_only")
-    won = judged.filter(F.col("outcome") == "model_only")
+    lost = filter_here(judged, F.col("outcome") == "reviewer_only")
+    won = filter_here(judged, F.col("outcome") == "model_only")
 
     def named(df: DataFrame) -> DataFrame:
         return df.withColumnRenamed("prediction", "model_prediction")

@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundtrace import schema
 from groundtrace import vocabulary as v
 from groundtrace.operators.base_fields import RuleOptions
 from groundtrace.operators.contributions import (
@@ -12,6 +11,7 @@ from groundtrace.operators.contributions import (
 from groundtrace.operators.feature_table import feature_table
 from groundtrace.operators.forest import ForestModel, score
 from groundtrace.operators.tree_attributions import attribution_items, tree_attributions
+from groundtrace.session import filter_here
 
 
 def score_events(events: DataFrame, model: ForestModel, keep: tuple[str, ...] = ("event_key",),
@@ -49,12 +49,12 @@ def explain_events(events: DataFrame, model: ForestModel, keep: tuple[str, ...]
     if not exact:
         scored = score_events(events, model, tuple(carried), contributions=True)
         if alerts_only:
-            scored = scored.filter(F.col("prediction") == v.MALICIOUS)
+            scored = filter_here(scored, F.col("prediction") == v.MALICIOUS)
     else:
         table = feature_table(events, model.names, carried)
         scored = score(model, table, carried)
         if alerts_only:
-            scored = scored.filter(F.col("prediction") == v.MALICIOUS)
+            scored = filter_here(scored, F.col("prediction") == v.MALICIOUS)
         carried_all = (*carried, *model.names, "prediction", "confidence", "p_malicious")
         attributed = tree_attributions(scored, model, carried_all)
         scored = attributed.withColumn(
