@@ -61,12 +61,20 @@ def filled(names: Sequence[str]) -> list[Column]:
     return [F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names]
 
 
+MAX_CLASSES = 100
+
+
 def weight_of(df: DataFrame, target: str) -> Column:
-    """Balanced class weight as a literal case; a target has a handful of values."""
-    weights = class_weights(df, target).limit(100).collect()
-    case = F.lit(1.0)
-    for row in weights:
-        case = F.when(F.col(target) == row["label"], F.lit(float(row["weight"]))).otherwise(case)
+    """Balanced class weight as a literal case over the few values of the target."""
+    rows = class_weights(df, target).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{target} has more than {MAX_CLASSES} values")
+    if not rows:
+        raise ValueError("no rows to fit on")
+    first, *others = rows
+    case = F.when(F.col(target) == first["label"], F.lit(float(first["weight"])))
+    for row in others:
+        case = case.when(F.col(target) == row["label"], F.lit(float(row["weight"])))
     return case
 
 

@@ -19,6 +19,7 @@ from groundtrace.operators.sampling import (
 )
 from groundtrace.plans.scoring import labelled_features
 from groundtrace.session import stored
+from groundtrace.sources.sinks import write_results
 
 
 @dataclass(frozen=True)
@@ -76,6 +77,14 @@ def cross_validate(
     return Validation(predictions, per_fold, binary_metrics(predictions), fold_averages(per_fold))
 
 
+def write_validation(result: Validation, path: str, **config) -> None:
+    """Overall, averaged and per-fold metrics plus the settings of the run."""
+    settings = result.overall.sparkSession.createDataFrame(
+        [(k, str(x)) for k, x in config.items()], "setting string, value string")
+    write_results(path, overall=result.overall, average=result.average, folds=result.per_fold,
+                  config=settings)
+
+
 def fit_final(events: DataFrame, path: str | None = None, settings: ForestSettings = ForestSettings(),
               names=FEATURES, top_k: int | None = None, augment_share: float | None = None,
               seed: int = 42) -> ForestModel:

@@ -7,10 +7,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g",
+                  checkpoint_dir: str | None = None) -> SparkSession:
     """A session for tests and local runs; a cluster brings its own."""
+    builder = SparkSession.builder
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     return (
-        SparkSession.builder.master(f"local[{cores}]").appName("groundtrace")
+        builder.master(f"local[{cores}]").appName("groundtrace")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
