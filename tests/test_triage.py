@@ -106,4 +106,4 @@ def test_comparison_and_failures_add_up(events):
 def test_computed_filters_stay_above_their_columns(spark):
     scored = tr.heuristic_verdict(process_events(spark, SF.replace("0.001", "0.01"))).withColumnRenamed("heuristic_verdict", "prediction")
     plan = lb.misclassified(scored)._jdf.queryExecution().optimizedPlan().toString()
-    assert len(re.findall(r"Filter ", plan)) == 1 and "_task" in plan
+    assert len(re.findall(r"- Filter \(", plan)) == 1 and "_task" in plan
