@@ -404,7 +404,7 @@ def augment_sample(spark, sf_dir):
 # Fixed importance per feature, so that the result can be stated in SQL.
 WEIGHTS = {
     "apt_defense_evasion": 0.11, "apt_exfiltration": 0.13, "apt_lotl_score": 0.07,
-    "cmdline_entropy": 0.17, "cmdline_length": 0.05, "compression_operation": 0.103,
+    "cmdline_entropy": 0.17, "cmdline_length": 0.05, "compression_operation": 0.1031,
     "is_system_user": 0.0721, "native_binary_abuse_score": 0.0913, "network_discovery": 0.0617,
     "num_dashes": 0.0411, "obfuscation_score": 0.0533, "process_discovery": 0.0837,
     "system_account_admin_tool": 0.0291,
