@@ -457,7 +457,7 @@ def global_contributions(spark, sf_dir):
     names = list(WEIGHTS)
     features = feature_table(events, names)
     statistics = mt.feature_statistics(features, names)
-    items = F.transform(co.contribution_items(WEIGHTS, statistics), lambda x: x["contribution"])
+    items = F.array(*[c for _, _, c in co.contribution_items(WEIGHTS, statistics)])
     arrays = features.select(items.alias("items"))
     return rounded(co.global_importance(arrays, "items", names, 10))
 

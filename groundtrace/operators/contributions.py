@@ -16,12 +16,20 @@ from groundtrace.operators.metrics import standardised
 ITEM = "array<struct<name:string,value:double,contribution:double>>"
 
 
-def strongest(items: Column, k: int = 5, ties: str = "last") -> Column:
+Item = tuple[str, Column, Column]  # name, value, contribution
+
+
+def item_array(items: Sequence[Item]) -> Column:
+    return F.array(*[F.struct(F.lit(n).alias("name"), x.alias("value"), c.alias("contribution"))
+                     for n, x, c in items])
+
+
+def strongest(items: Sequence[Item], k: int = 5, ties: str = "last") -> Column:
     """The k items with the largest |contribution|; equal ones by later or earlier position."""
     sign = 1 if ties == "last" else -1
-    keyed = F.transform(items, lambda x, i: F.struct(
-        F.abs(x["contribution"]).alias("size"), (i * sign).alias("place"), x["name"].alias("name"),
-        x["value"].alias("value"), x["contribution"].alias("contribution")))
+    keyed = F.array(*[F.struct(
+        F.abs(c).alias("size"), F.lit(i * sign).alias("place"), F.lit(n).alias("name"),
+        x.alias("value"), c.alias("contribution")) for i, (n, x, c) in enumerate(items)])
     best = F.slice(F.sort_array(keyed, asc=False), 1, k)
     return F.transform(best, lambda x: F.struct(
         x["name"].alias("name"), x["value"].alias("value"),
@@ -36,13 +44,11 @@ def needed_features(importances: dict[str, float], k: int = 5) -> list[str]:
 
 
 def contribution_items(importances: dict[str, float],
-                       statistics: dict[str, tuple[float, float]], k: int = 5) -> Column:
-    """Array of (name, raw value, z-score x importance) over the features that matter."""
-    return F.array(*[
-        F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value"),
-                 (standardised(n, *statistics[n]) * F.lit(float(importances[n])))
-                 .alias("contribution"))
-        for n in needed_features(importances, k)])
+                       statistics: dict[str, tuple[float, float]], k: int = 5) -> list[Item]:
+    """(name, raw value, z-score x importance) of the features that matter."""
+    return [(n, F.col(n).cast("double"),
+             standardised(n, *statistics[n]) * F.lit(float(importances[n])))
+            for n in needed_features(importances, k)]
 
 
 def local_contributions(table: DataFrame, importances: dict[str, float],

@@ -9,11 +9,12 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundtrace import vocabulary as v
-from groundtrace.operators.metrics import class_weights, feature_statistics, standardised
+from groundtrace.operators.metrics import class_weights, standardised
 from groundtrace.session import stored
 
 
@@ -78,6 +79,20 @@ def weight_of(df: DataFrame, target: str) -> Column:
     return case
 
 
+def vector_statistics(vectors: DataFrame, names: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """(mean, population deviation) per feature from one pass over the assembled vectors.
+
+    A vector summary keeps one buffer for all features, where an aggregate per feature and measure
+    would outgrow generated code.
+    """
+    row = vectors.select(Summarizer.metrics("mean", "variance", "count").summary(
+        F.col("features")).alias("s")).first()["s"]
+    n = row["count"]
+    to_population = (n - 1) / n if n else 0.0  # the summary divides by n - 1
+    return {name: (float(m), (max(float(x), 0.0) * to_population) ** 0.5)
+            for name, m, x in zip(names, row["mean"], row["variance"])}
+
+
 def fit_forest(table: DataFrame, names: Sequence[str], settings: ForestSettings = ForestSettings(),
                target: Column | None = None, statistics: bool = True) -> ForestModel:
     """Fit on a feature table.
@@ -94,7 +109,7 @@ def fit_forest(table: DataFrame, names: Sequence[str], settings: ForestSettings
         featuresCol="features", labelCol="target", weightCol="weight", numTrees=settings.trees,
         maxDepth=settings.depth, maxBins=settings.bins, seed=settings.seed,
         featureSubsetStrategy="auto").fit(vectors)
-    numbers = feature_statistics(training, list(names)) if statistics else {}
+    numbers = vector_statistics(vectors, names) if statistics else {}
     return ForestModel(PipelineModel([assembler, forest]), numbers)
 
 
@@ -160,7 +175,8 @@ def fit_network(table: DataFrame, names: Sequence[str], hidden: Sequence[int] =
                 iterations: int = 50, seed: int = 42, block: int = 128) -> NetworkModel:
     """Small neural classifier on z-scores (M8)."""
     training = stored(table.select(*filled(names), target_of().alias("target")))
-    statistics = feature_statistics(training, list(names))
+    statistics = vector_statistics(
+        VectorAssembler(inputCols=list(names), outputCol="features").transform(training), names)
     vectors = _standardised(training, names, statistics, F.col("target")).select("features", "target")
     network = MultilayerPerceptronClassifier(
         featuresCol="features", labelCol="target", layers=[len(names), *hidden, 2],

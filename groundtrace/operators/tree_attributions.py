@@ -115,37 +115,62 @@ def attribute(values: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
     return result
 
 
-def tree_attributions(scored: DataFrame, model: ForestModel, keep: tuple[str, ...]) -> DataFrame:
-    """keep columns, ``base_value`` and ``attributions`` (array<double> in feature order)."""
+def _with_attributions(scored: DataFrame, model: ForestModel, keep: tuple[str, ...],
+                       added: T.StructType, build) -> DataFrame:
+    """keep columns plus what ``build(values, attributions, base)`` returns for each Arrow batch."""
     spark = scored.sparkSession
     leaves, base = leaf_patterns(spark, model)
     tables = spark.sparkContext.broadcast(leaves)
     width = len(model.names)
     ready = scored.select(*keep, F.array(*[F.col(n).cast("double") for n in model.names])
                           .alias("_x"))
-    schema = ready.drop("_x").schema.add("base_value", T.DoubleType()).add(
-        "attributions", T.ArrayType(T.DoubleType()))
+    schema = T.StructType([*ready.drop("_x").schema, *added])
 
     def blocks(batches):
         for batch in batches:
             x = batch.column(batch.schema.get_field_index("_x"))
             values = x.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            phi = attribute(values, tables.value)
-            offsets = pa.array(np.arange(len(values) + 1, dtype=np.int32) * width)
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            columns += [pa.array(np.full(len(values), base)),
-                        pa.ListArray.from_arrays(offsets, pa.array(phi.ravel()))]
-            names = [*batch.schema.names[:-1], "base_value", "attributions"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
+            new = build(values, attribute(values, tables.value), base)
+            yield pa.RecordBatch.from_arrays([*kept, *new], names=schema.names)
 
     return ready.mapInArrow(blocks, schema)
 
 
-def attribution_items(names: tuple[str, ...], attributions: str = "attributions"):
-    """(name, value, contribution) array from the attribution array and the feature columns."""
-    return F.array(*[F.struct(
-        F.lit(n).alias("name"), F.col(n).cast("double").alias("value"),
-        F.get(F.col(attributions), F.lit(i)).alias("contribution")) for i, n in enumerate(names)])
+def _lists(values: pa.Array, rows: int, width: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), values)
+
+
+def tree_attributions(scored: DataFrame, model: ForestModel, keep: tuple[str, ...]) -> DataFrame:
+    """keep columns, ``base_value`` and ``attributions`` (array<double> in feature order)."""
+    added = T.StructType().add("base_value", T.DoubleType()).add(
+        "attributions", T.ArrayType(T.DoubleType()))
+
+    def build(values, phi, base):
+        rows, width = phi.shape
+        return [pa.array(np.full(rows, base)), _lists(pa.array(phi.ravel()), rows, width)]
+
+    return _with_attributions(scored, model, keep, added, build)
+
+
+def top_attributions(scored: DataFrame, model: ForestModel, keep: tuple[str, ...], k: int = 5
+                     ) -> DataFrame:
+    """keep columns and ``top_features``: the k largest attributions, the earlier feature on a tie."""
+    item = T.StructType().add("name", T.StringType()).add("value", T.DoubleType()).add(
+        "contribution", T.DoubleType())
+    added = T.StructType().add("top_features", T.ArrayType(item))
+    names = np.array(model.names)
+
+    def build(values, phi, base):
+        rows, width = len(phi), min(k, phi.shape[1])
+        best = np.argsort(-np.abs(phi), axis=1, kind="stable")[:, :width]
+        fields = [pa.array(names[best.ravel()].tolist(), pa.string()),
+                  pa.array(np.take_along_axis(values, best, 1).ravel()),
+                  pa.array(np.take_along_axis(phi, best, 1).ravel())]
+        items = pa.StructArray.from_arrays(fields, ["name", "value", "contribution"])
+        return [_lists(items, rows, width)]
+
+    return _with_attributions(scored, model, keep, added, build)
 
 
 def tree_attributions_by_join(scored: DataFrame, model: ForestModel, key: str = "event_key"

@@ -10,7 +10,7 @@ from groundtrace.operators.contributions import (
 )
 from groundtrace.operators.feature_table import feature_table
 from groundtrace.operators.forest import ForestModel, score
-from groundtrace.operators.tree_attributions import attribution_items, tree_attributions
+from groundtrace.operators.tree_attributions import top_attributions
 from groundtrace.session import filter_here
 
 
@@ -55,10 +55,7 @@ def explain_events(events: DataFrame, model: ForestModel, keep: tuple[str, ...]
         scored = score(model, table, carried)
         if alerts_only:
             scored = filter_here(scored, F.col("prediction") == v.MALICIOUS)
-        carried_all = (*carried, *model.names, "prediction", "confidence", "p_malicious")
-        attributed = tree_attributions(scored, model, carried_all)
-        scored = attributed.withColumn(
-            "top_features", strongest(attribution_items(model.names), 5, ties="first"))
+        scored = top_attributions(scored, model, (*carried, "prediction", "confidence"))
     return with_explanation(scored).select(
         *keep, "prediction", "confidence", "top_features", "explanation")
 

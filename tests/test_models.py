@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from groundtrace.catalog.queries import WEIGHTS, event_stream
 from groundtrace.operators import contributions as co
 from groundtrace.operators import forest as fo
+from groundtrace.operators.feature_table import feature_table
 from groundtrace.operators import metrics as mt
 from groundtrace.operators import tree_attributions as ta
 from groundtrace.plans import scoring as sc
@@ -117,17 +118,23 @@ def test_contributions_and_explanations(events, model):
         assert f"classified as **{r['prediction']}** with " in r["explanation"]
         assert ("**Attack Type**" in r["explanation"]) == (r["prediction"] == "malicious")
         assert r["explanation"].count("(value: ") == 5
+    scored = fo.score(model, feature_table(events, model.names), ["event_key"])
+    every = {r["event_key"]: r["attributions"]
+             for r in ta.tree_attributions(scored, model, ("event_key",)).limit(50).collect()}
+    for r in ta.top_attributions(scored, model, ("event_key",)).limit(50).collect():
+        ranked = sorted(zip(model.names, every[r["event_key"]]), key=lambda x: -abs(x[1]))[:5]
+        assert [(x["name"], x["contribution"]) for x in r["top_features"]] == ranked
     alerts = sc.explain_events(events, model, exact=True, alerts_only=True)
     assert {r["prediction"] for r in alerts.select("prediction").distinct().collect()} == {"malicious"}
 
 
 def test_ties_and_short_lists(spark):
     items = [("a", 1.0, 0.5), ("b", 1.0, -0.5), ("c", 1.0, 0.1)]
-    frame = spark.createDataFrame([(items,)], f"items {co.ITEM}")
+    columns = [(n, F.lit(x), F.lit(c)) for n, x, c in items]
     for ties, want in (("last", ["b", "a", "c"]), ("first", ["a", "b", "c"])):
-        got = frame.select(co.strongest(F.col("items"), 5, ties).alias("t")).first()["t"]
+        got = spark.range(1).select(co.strongest(columns, 5, ties).alias("t")).first()["t"]
         assert [x["name"] for x in got] == want
-    text = frame.select(co.drivers_text(F.col("items"))).first()[0]
+    text = spark.range(1).select(co.drivers_text(co.item_array(columns))).first()[0]
     assert text == "Key indicators: a, c; Mitigating factors: b"
 
 
