@@ -471,7 +471,7 @@ def _table(spark, sf_dir, names=FEATURES) -> DataFrame:
 @query
 def forest_score(spark, sf_dir):
     features = _table(spark, sf_dir)
-    model = fo.fit_forest(features, FEATURES)
+    model = fo.fit_forest(features, FEATURES, store=False)
     return fo.score(model, features, ["event_key", "label"]).select(
         "event_key", "label", "prediction", "confidence")
 
@@ -489,14 +489,14 @@ def forest_quality(spark, sf_dir):
 @query
 def topk_refit(spark, sf_dir):
     features = _table(spark, sf_dir)
-    model = fo.fit_top_k(features, FEATURES, 10)
+    model = fo.fit_top_k(features, FEATURES, 10, store=False)
     return fo.importance_table(spark, model)
 
 
 @query
 def mlp_score(spark, sf_dir):
     features = _table(spark, sf_dir)
-    model = fo.fit_network(features, FEATURES, iterations=15)
+    model = fo.fit_network(features, FEATURES, iterations=15, store=False)
     return fo.score_network(model, features, ["event_key", "label"])
 
 
@@ -504,8 +504,8 @@ def mlp_score(spark, sf_dir):
 def soft_vote(spark, sf_dir):
     names = list(WEIGHTS)
     features = _table(spark, sf_dir, names)
-    forest = fo.fit_forest(features, names)
-    network = fo.fit_network(features, names, (16,), 15)
+    forest = fo.fit_forest(features, names, store=False)
+    network = fo.fit_network(features, names, (16,), 15, store=False)
     return fo.soft_vote(forest, network, features, ["event_key", "label"])
 
 
@@ -526,7 +526,7 @@ def holdout_evaluation(spark, sf_dir):
 def tree_attributions(spark, sf_dir):
     """Events scored, and how many satisfy base + sum of attributions = probability."""
     features = _table(spark, sf_dir)
-    model = fo.fit_forest(features, FEATURES)
+    model = fo.fit_forest(features, FEATURES, store=False)
     scored = fo.score(model, features, ["event_key"])
     found = ta.tree_attributions(scored, model, ("event_key", "p_malicious"))
     total = F.aggregate("attributions", F.col("base_value"), lambda acc, x: acc + x)
@@ -538,7 +538,7 @@ def tree_attributions(spark, sf_dir):
 @query
 def global_attributions(spark, sf_dir):
     features = _table(spark, sf_dir)
-    model = fo.fit_forest(features, FEATURES)
+    model = fo.fit_forest(features, FEATURES, store=False)
     scored = fo.score(model, features, ["event_key"])
     found = ta.tree_attributions(scored, model, ("event_key",))
     return co.global_importance(found, "attributions", model.names, 10)

@@ -94,17 +94,20 @@ def vector_statistics(vectors: DataFrame, names: Sequence[str]) -> dict[str, tup
 
 
 def fit_forest(table: DataFrame, names: Sequence[str], settings: ForestSettings = ForestSettings(),
-               target: Column | None = None, statistics: bool = True) -> ForestModel:
+               target: Column | None = None, statistics: bool = True, store: bool = True
+               ) -> ForestModel:
     """Fit on a feature table.
 
-    The fit reads its input several times, so the needed columns are assembled into one vector and
-    stored once.
+    The fit reads its input several times, so vector and target are stored once; ``store=False`` is for
+    a table that is stored already.
     """
     assembler = VectorAssembler(inputCols=list(names), outputCol="features")
     narrow = table.select(*filled(names), (target_of() if target is None else target).alias("target"))
-    training = stored(narrow)
+    training = assembler.transform(narrow).select("features", "target")
+    if store:
+        training = stored(training)
     weight = weight_of(training, "target") if settings.balanced else F.lit(1.0)
-    vectors = assembler.transform(training).select("features", "target", weight.alias("weight"))
+    vectors = training.withColumn("weight", weight)
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="target", weightCol="weight", numTrees=settings.trees,
         maxDepth=settings.depth, maxBins=settings.bins, seed=settings.seed,
@@ -137,10 +140,12 @@ def top_features(model: ForestModel, k: int) -> list[str]:
 
 
 def fit_top_k(table: DataFrame, names: Sequence[str], k: int,
-              settings: ForestSettings = ForestSettings()) -> ForestModel:
+              settings: ForestSettings = ForestSettings(), store: bool = True) -> ForestModel:
     """Fit, keep the k most important features, fit again on those (M4)."""
-    first = fit_forest(table, names, settings, statistics=False)
-    return fit_forest(table, top_features(first, k), settings)
+    if store:
+        table = stored(table.select("label", *filled(names)))
+    first = fit_forest(table, names, settings, statistics=False, store=False)
+    return fit_forest(table, top_features(first, k), settings, store=False)
 
 
 def save_forest(model: ForestModel, spark: SparkSession, path: str) -> None:
@@ -172,9 +177,12 @@ def _standardised(df: DataFrame, names, statistics, *others: Column) -> DataFram
 
 
 def fit_network(table: DataFrame, names: Sequence[str], hidden: Sequence[int] = (128, 64),
-                iterations: int = 50, seed: int = 42, block: int = 128) -> NetworkModel:
+                iterations: int = 50, seed: int = 42, block: int = 128, store: bool = True
+                ) -> NetworkModel:
     """Small neural classifier on z-scores (M8)."""
-    training = stored(table.select(*filled(names), target_of().alias("target")))
+    training = table.select(*filled(names), target_of().alias("target"))
+    if store:
+        training = stored(training)
     statistics = vector_statistics(
         VectorAssembler(inputCols=list(names), outputCol="features").transform(training), names)
     vectors = _standardised(training, names, statistics, F.col("target")).select("features", "target")

@@ -30,10 +30,11 @@ class Validation:
     average: DataFrame
 
 
-def _fit(table: DataFrame, names, settings: ForestSettings, top_k: int | None) -> ForestModel:
+def _fit(table: DataFrame, names, settings: ForestSettings, top_k: int | None,
+         store: bool = True) -> ForestModel:
     if top_k:
-        return fit_top_k(table, names, top_k, settings)
-    return fit_forest(table, names, settings)
+        return fit_top_k(table, names, top_k, settings, store)
+    return fit_forest(table, names, settings, store=store)
 
 
 def cross_validate(
@@ -58,7 +59,7 @@ def cross_validate(
             copies = augment(picked, seed + fold)
             train = train.unionByName(labelled_features(copies, names, ("fold",)))
         started = time.perf_counter()
-        model = _fit(train, names, settings, top_k)
+        model = _fit(train, names, settings, top_k, store=bool(augment_share))
         fitted = time.perf_counter()
         scored = stored(score(model, table.filter(F.col("fold") == fold),
                               ["event_key", "label", "fold"])
@@ -105,7 +106,7 @@ def evaluate_holdout(events: DataFrame, test_size: float = 0.2, seed: int = 42,
     """(scored test rows, metrics, cost) of a model that never saw the test rows (M7)."""
     table = stored(labelled_features(stratified_holdout(events, test_size, Order(seed)), names,
                                      ("part",)), ("part",))
-    model = fit_forest(table.filter(F.col("part") == "train"), names, settings)
+    model = fit_forest(table.filter(F.col("part") == "train"), names, settings, store=False)
     scored = score(model, table.filter(F.col("part") == "test"), ["event_key", "label"]).select(
         "event_key", "label", "prediction", "confidence")
     return scored, binary_metrics(scored), cost_comparison(scored)
