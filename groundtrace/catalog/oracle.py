@@ -599,6 +599,17 @@ Z_SELECT = ", ".join(
 DESCRIBED = values(v.FEATURE_DESCRIPTIONS.items())
 
 
+def text_flags(source: str, key: str, text: str) -> str:
+    shown = {n: obfuscation[n] for n in obfuscation if n.startswith("obfuscation_")
+             and n != "obfuscation_intensity"}
+    shown |= statistics(text) | {n: obfuscation[n] for n in ("high_entropy", "num_obfuscation_patterns")}
+    return f"""WITH {entropy_of(source, key, text)},
+        g AS (SELECT {source}.*, coalesce(ent.h, 0.0) AS h,
+          {columns({'h_' + k: s for k, s in pattern_hits(text).items()})}
+          FROM {source} LEFT JOIN ent ON ent.k = {key})
+        SELECT {key}, {columns(shown)} FROM g"""
+
+
 def group_sql(items: dict[str, str]) -> str:
     return from_events(items)
 
@@ -670,6 +681,8 @@ ORACLE: dict[str, str] = {
         SELECT page_id, {columns({n: obfuscation[n] for n in obfuscation
                                   if n.startswith('obfuscation_') or n == 'num_obfuscation_patterns'})}
         FROM g""",
+    "document_obfuscation": text_flags("documents", "doc_id", "text"),
+    "page_obfuscation": text_flags("pages", "page_id", "html"),
     "rule_hits_long": f"""{EVENTS}, r(rule, indicator) AS (VALUES {LISTED_RULES})
         SELECT event_key, rule, indicator FROM f JOIN r ON contains(lc, indicator)""",
     "technique_summary": f"""{EVENTS}, x AS (SELECT label, {columns(technique)} FROM f)

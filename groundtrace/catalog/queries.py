@@ -211,6 +211,25 @@ def url_obfuscation(spark, sf_dir):
         "obfuscation_intensity"))
 
 
+def _text_flags(df: DataFrame, column: str, key: str) -> DataFrame:
+    flags = [f"obfuscation_{c}" for c in v.OBFUSCATION_PATTERNS]
+    return rounded(text_obfuscation(df, column, (key,)).select(
+        key, *flags, *TEXT_COLUMNS, "high_entropy", "num_obfuscation_patterns",
+        "obfuscation_score"))
+
+
+@query
+def document_obfuscation(spark, sf_dir):
+    """Pattern flags and text statistics of whole documents."""
+    return _text_flags(spread(table(spark, sf_dir, "documents"), "doc_id"), "text", "doc_id")
+
+
+@query
+def page_obfuscation(spark, sf_dir):
+    """Pattern flags and text statistics of whole pages."""
+    return _text_flags(spread(table(spark, sf_dir, "pages"), "page_id"), "html", "page_id")
+
+
 @query
 def rule_hits_long(spark, sf_dir):
     return tr.rule_hits(process_events(spark, sf_dir))

@@ -1,6 +1,6 @@
 """Obfuscation flags, scores and text statistics of a command (F-OBF, A17)."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundtrace import vocabulary as v
@@ -67,7 +67,7 @@ def obfuscation_rules(options: RuleOptions) -> tuple[Columns, Columns]:
 
 
 def text_obfuscation(df: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """The obfuscation columns of any text column."""
+    """The obfuscation columns of any text column, over the whole text."""
     text = t.nz(F.col(text_col))
     base = df.select(*keep, text.alias("_cmd"), F.lower(text).alias("_lc"),
                      F.length(text).alias("_len"))

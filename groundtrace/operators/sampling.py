@@ -24,7 +24,7 @@ class Order:
     salt: str = ""
     key: str = "event_key"
     stratum: str | None = "label"
-    prefix_digits: int = 3  # 16^3 hash prefixes per stratum; use 4 beyond some 10^11 rows
+    prefix_digits: int = 4  # 16^4 hash prefixes per stratum: 10^12 rows leave some 10^7 per prefix
 
 
 def _keyed(df: DataFrame, order: Order) -> DataFrame:

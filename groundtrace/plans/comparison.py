@@ -11,7 +11,7 @@ from groundtrace.operators.metrics import (
 )
 from groundtrace.operators.prepare import event_snapshot
 from groundtrace.operators.triage import classify_failures
-from groundtrace.session import filter_here
+from groundtrace.session import filter_here, stored
 from groundtrace.sources.sinks import write_json_lines
 
 
@@ -24,8 +24,14 @@ class Comparison:
     cases: DataFrame
 
 
-def compare(scored: DataFrame) -> Comparison:
-    """Both sides against the truth, from events with ``label``, reviewer and ``prediction``."""
+def compare(scored: DataFrame, store: bool = False) -> Comparison:
+    """Both sides against the truth, from events with ``label``, reviewer and ``prediction``.
+
+    ``store=True`` writes the scored events once, for callers that use several of the results of an
+    expensive scoring.
+    """
+    if store:
+        scored = stored(scored)
     judged = with_outcome(scored)
     cells = judged.agg(
         *confusion_cells(F.col("label"), F.col("reviewer_prediction"), "reviewer_"),
@@ -45,8 +51,10 @@ class FailureAnalysis:
     summary: DataFrame
 
 
-def analyze_failures(scored: DataFrame) -> FailureAnalysis:
-    """Split by outcome and label the rows the model lost."""
+def analyze_failures(scored: DataFrame, store: bool = False) -> FailureAnalysis:
+    """Split by outcome and label the rows the model lost; ``store`` as in ``compare``."""
+    if store:
+        scored = stored(scored)
     judged = with_outcome(scored)
     extra = ("prediction", "reviewer_prediction")
     lost = filter_here(judged, F.col("outcome") == "reviewer_only")

@@ -89,3 +89,15 @@ def test_content_keys(spark):
     assert keyed.filter("a = 'x'").count() == 50
     again = pr.with_event_key(rows.repartition(3))
     assert keyed.select("event_key").exceptAll(again.select("event_key")).count() == 0
+
+
+@pytest.mark.parametrize("spellings", [False, True])
+def test_json_stream(spark, folder, tmp_path, spellings):
+    from groundtrace.streaming.score import heuristic_stream, write_scores
+
+    stream = src.read_event_stream(spark, folder + "/*.jsonl", spellings)
+    scores = heuristic_stream(stream, ("_label",))
+    out = str(tmp_path / "scores")
+    write_scores(scores, out, str(tmp_path / "checkpoint")).awaitTermination()
+    batch = heuristic_stream(src.read_events(spark, folder + "/*.jsonl", spellings), ("_label",))
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, batch.collect()))
