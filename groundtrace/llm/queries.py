@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundtrace.llm import exact_dedup, mixing
+from groundtrace.llm import exact_dedup, language_id, mixing, near_dedup, pieces
 from groundtrace.llm.tables import Work
 
 
@@ -11,12 +11,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = language_id.fit(docs.filter(~F.coalesce(held_out, F.lit(False))))
+    return language_id.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("language.lang").alias("lang_pred"),
+        F.col("language.score").alias("score"), F.col("language.accepted").alias("accepted"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text; the texts decoded from them are held against the originals."""
+    vocabulary = pieces.Vocabulary.read()
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return mixing.taken_words(docs, Work(spark, "mixing")).select(
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), Work(spark, "near-dedup"),
+                                       shingle=3, percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Work(spark, "exact-dedup")
     index = exact_dedup.DigestIndex(spark, f"{work.folder}/index")
@@ -25,7 +51,9 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op8_exact_dedup": op8_exact_dedup}
+QUERIES = {"op1_language_id": op1_language_id, "op3_sentencepiece": op3_sentencepiece,
+           "op4_mixing": op4_mixing, "op7_near_dedup": op7_near_dedup,
+           "op8_exact_dedup": op8_exact_dedup}
 
 ORACLE = {
     "op8_exact_dedup": r"""
