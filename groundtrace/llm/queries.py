@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundtrace.llm import exact_dedup, language_id, mixing, near_dedup, pieces
+from groundtrace.llm import exact_dedup, language_id, mixing, near_dedup, pieces, warc
 from groundtrace.llm.tables import Work
 
 
@@ -51,11 +51,29 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Work(spark, "warc")
+    records = work.store(warc.read(warc.write(_table(spark, sf_dir, "pages"), work)))
+    return warc.resolved(records).drop("url")
+
+
 QUERIES = {"op1_language_id": op1_language_id, "op3_sentencepiece": op3_sentencepiece,
            "op4_mixing": op4_mixing, "op7_near_dedup": op7_near_dedup,
-           "op8_exact_dedup": op8_exact_dedup}
+           "op8_exact_dedup": op8_exact_dedup, "op10_warc": op10_warc}
 
 ORACLE = {
+    "op10_warc": r"""
+        WITH p AS (
+          SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+          FROM pages),
+        f AS (
+          SELECT *, CASE WHEN payload_bytes >= 100
+                    THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit'
+                    ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+        FROM f""",
     "op8_exact_dedup": r"""
         WITH n AS (
           SELECT doc_id, length(coalesce(text, '')) AS chars,
