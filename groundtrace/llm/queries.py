@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundtrace.llm import exact_dedup, language_id, mixing, near_dedup, pieces, warc
+from groundtrace.llm import exact_dedup, language_id, mixing, near_dedup, passage_dedup, pieces, warc
 from groundtrace.llm.tables import Work
 
 
@@ -51,6 +51,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = passage_dedup.remove_repeats(_table(spark, sf_dir, "documents"), Work(spark, "passage-dedup"))
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("kept_sha").alias("kept_sha256"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Work(spark, "warc")
     records = work.store(warc.read(warc.write(_table(spark, sf_dir, "pages"), work)))
@@ -59,7 +64,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_language_id": op1_language_id, "op3_sentencepiece": op3_sentencepiece,
            "op4_mixing": op4_mixing, "op7_near_dedup": op7_near_dedup,
-           "op8_exact_dedup": op8_exact_dedup, "op10_warc": op10_warc}
+           "op8_exact_dedup": op8_exact_dedup, "op9_passage_dedup": op9_passage_dedup,
+           "op10_warc": op10_warc}
 
 ORACLE = {
     "op10_warc": r"""
