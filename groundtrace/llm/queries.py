@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundtrace.llm import exact_dedup, language_id, mixing, near_dedup, passage_dedup, pieces, warc
+from groundtrace.llm import exact_dedup, language_id, mixing, near_dedup, passage_dedup, pieces, vector_dedup, warc
 from groundtrace.llm.tables import Work
 
 
@@ -37,6 +37,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), Work(spark, "vector-dedup"))
+    return rows.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), Work(spark, "near-dedup"),
                                        shingle=3, percent=85)
@@ -63,11 +68,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_language_id": op1_language_id, "op3_sentencepiece": op3_sentencepiece,
-           "op4_mixing": op4_mixing, "op7_near_dedup": op7_near_dedup,
+           "op4_mixing": op4_mixing, "op6_vector_dedup": op6_vector_dedup, "op7_near_dedup": op7_near_dedup,
            "op8_exact_dedup": op8_exact_dedup, "op9_passage_dedup": op9_passage_dedup,
            "op10_warc": op10_warc}
 
 ORACLE = {
+    "op6_vector_dedup": r"""
+        WITH RECURSIVE v AS (
+          SELECT vec_id, embedding::DOUBLE[64] AS e FROM embeddings
+          WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(embedding) = 64),
+        l AS MATERIALIZED (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+          WHERE array_cosine_similarity(a.e, b.e) >= 0.9),
+        r(a, b) AS (
+          SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+        SELECT t.vec_id, coalesce(n.k, 0) AS n_links, least(t.vec_id, coalesce(c.m, t.vec_id)) AS component_id,
+               t.vec_id = least(t.vec_id, coalesce(c.m, t.vec_id)) AS kept
+        FROM embeddings t LEFT JOIN (SELECT a, count(*) AS k FROM l GROUP BY a) n ON n.a = t.vec_id
+        LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) c ON c.a = t.vec_id""",
     "op10_warc": r"""
         WITH p AS (
           SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
