@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundtrace.llm import exact_dedup, language_id, mixing, near_dedup, passage_dedup, pieces, vector_dedup, warc
+from groundtrace.llm import exact_dedup, language_id, line_dedup, mixing, near_dedup, passage_dedup, pieces, vector_dedup, warc
 from groundtrace.llm.tables import Work
 
 
@@ -37,6 +37,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.remove_lines(_table(spark, sf_dir, "documents"), Work(spark, "line-dedup"))
+    return rows.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), Work(spark, "vector-dedup"))
     return rows.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
@@ -68,11 +73,34 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_language_id": op1_language_id, "op3_sentencepiece": op3_sentencepiece,
-           "op4_mixing": op4_mixing, "op6_vector_dedup": op6_vector_dedup, "op7_near_dedup": op7_near_dedup,
+           "op4_mixing": op4_mixing, "op5_line_dedup": op5_line_dedup, "op6_vector_dedup": op6_vector_dedup, "op7_near_dedup": op7_near_dedup,
            "op8_exact_dedup": op8_exact_dedup, "op9_passage_dedup": op9_passage_dedup,
            "op10_warc": op10_warc}
 
 ORACLE = {
+    "op5_line_dedup": r"""
+        WITH l AS (
+          SELECT doc_id, i, line, length(line) AS n,
+                 regexp_matches(line, '[^\x20\x09-\x0D]') AS text_line
+          FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                       unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)),
+        d AS (SELECT line, n, min((doc_id, i)) AS first FROM l WHERE text_line GROUP BY line, n),
+        k AS (
+          SELECT line, n, first, h, left(line, h) AS part, 'front' AS side
+          FROM (SELECT *, unnest(list_distinct([n // 2, (n - 1) // 2])) AS h FROM d WHERE n >= 16)
+          UNION ALL
+          SELECT line, n, first, h, right(line, h), 'back'
+          FROM (SELECT *, unnest(list_distinct([n // 2, (n - 1) // 2])) AS h FROM d WHERE n >= 16)),
+        near AS (
+          SELECT DISTINCT a.line FROM k a JOIN k b ON a.h = b.h AND a.side = b.side AND a.part = b.part
+          WHERE b.first < a.first AND abs(a.n - b.n) <= 1 AND levenshtein(a.line, b.line) <= 1),
+        f AS (
+          SELECT l.doc_id, l.i, l.line,
+                 NOT l.text_line OR ((l.doc_id, l.i) = d.first AND near.line IS NULL) AS stays
+          FROM l LEFT JOIN d ON l.text_line AND d.line = l.line LEFT JOIN near ON l.text_line AND near.line = l.line)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE stays), '')) AS kept_sha256
+        FROM f GROUP BY doc_id""".replace("\\\\", "\\"),
     "op6_vector_dedup": r"""
         WITH RECURSIVE v AS (
           SELECT vec_id, embedding::DOUBLE[64] AS e FROM embeddings
