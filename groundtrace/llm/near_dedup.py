@@ -154,7 +154,7 @@ def _region_pairs(inside: DataFrame, percent: int) -> DataFrame:
     right = small.select("key", F.col("id").alias("b"), F.col("n").alias("nb"))
     pairs = left.join(right, "key").filter((F.col("a") > F.col("b")) & _near_sizes("na", "nb", percent)).select("a", "b")
     large = inside.filter(F.col("m") > REGION)
-    prefixes = large.withColumn("p", F.explode(F.concat(F.array("key"), F.col("deeper"))))
+    prefixes = large.withColumn("p", F.explode(F.array("key", F.element_at("deeper", -1))))
     centre = prefixes.groupBy("p").agg(F.min(F.struct("id", "n")).alias("c"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     stars = prefixes.join(centre, "p").select(F.col("id").alias("a"), F.col("c.id").alias("b"), "n",
                                               F.col("c.n").alias("nb")).filter(
