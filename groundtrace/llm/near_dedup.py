@@ -3,10 +3,9 @@
 A document is the set of its distinct ``SHINGLE``-word shingles. Documents of equal sets form a class and
 only its smallest id goes on. ``TREES`` orders sort the classes by a signature of ``DEPTH`` min-hashes each.
 Classes that share the first ``BASE`` values of an order form a region. In a region of at most ``REGION``
-classes all are candidates of each other. A larger one is read deeper: at each depth its classes are
-candidates of the smallest class with the same prefix, their nearest by longest common prefix. What
-this leaves apart is compared in a second turn, region by region, at the smallest depth at which the pairs
-between different components are few for each class.
+classes all are candidates of each other. In a larger one each class first is a candidate of the smallest class
+of its region and of the smallest that shares its longest prefix. What this leaves apart is compared in a second
+turn, region by region, at the smallest depth at which the pairs between different components are few.
 
 Candidates are confirmed on the full sets (64-bit hashes of every shingle): first the most frequent candidate of
 each class, then all that still lie in different components. With 20 orders and a base of 4, a pair at the

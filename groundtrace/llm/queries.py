@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundtrace.llm import exact_dedup, language_id, line_dedup, mixing, near_dedup, passage_dedup, pieces, vector_dedup, warc
+from groundtrace.llm import exact_dedup, language_id, license_scan, line_dedup, mixing, near_dedup, passage_dedup, pieces, vector_dedup, warc
 from groundtrace.llm.tables import Work
 
 
@@ -20,6 +20,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("language.score").alias("score"), F.col("language.accepted").alias("accepted"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree of three depths below their source: every directory holds files and directories."""
+    part, depth = F.col("doc_id").cast("string"), F.col("doc_id") % 3
+    top = F.concat(F.coalesce("source", F.lit("unknown")), F.lit("/"))
+    middle = F.concat(top, F.floor(F.col("doc_id") / 5000).cast("string"), F.lit("/"))
+    low = F.concat(middle, F.floor(F.col("doc_id") / 200).cast("string"), F.lit("/"))
+    path = F.concat(F.when(depth == 0, top).when(depth == 1, middle).otherwise(low), part)
+    files = _table(spark, sf_dir, "documents").select(path.alias("path"), "text")
+    rows = license_scan.with_inherited(license_scan.scan(files), Work(spark, "license-scan"))
+    return rows.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "own", "own_cosine",
+                       "file", "file_cosine", "licence", "given_by")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text; the texts decoded from them are held against the originals."""
     vocabulary = pieces.Vocabulary.read()
@@ -72,7 +85,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved(records).drop("url")
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_sentencepiece": op3_sentencepiece,
+QUERIES = {"op1_language_id": op1_language_id, "op2_license_scan": op2_license_scan, "op3_sentencepiece": op3_sentencepiece,
            "op4_mixing": op4_mixing, "op5_line_dedup": op5_line_dedup, "op6_vector_dedup": op6_vector_dedup, "op7_near_dedup": op7_near_dedup,
            "op8_exact_dedup": op8_exact_dedup, "op9_passage_dedup": op9_passage_dedup,
            "op10_warc": op10_warc}

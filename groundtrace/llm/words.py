@@ -91,10 +91,11 @@ def _pieces(data: np.ndarray, offsets: np.ndarray):
         at = to
 
 
-def words(texts: pa.Array, lower: bool = False) -> Words:
+def words(texts: pa.Array, lower: bool = False, table: np.ndarray | None = None) -> Words:
+    """Words of each text; ``lower`` folds A-Z, ``table`` maps bytes in any other way first."""
     data, offsets = buffers(texts)
-    if lower:
-        data = _LOWER[data]
+    if lower or table is not None:
+        data = (_LOWER if table is None else table)[data]
     starts, ends, hashes = [], [], []
     for at, to in _pieces(data, offsets):
         part = data[at:to]
