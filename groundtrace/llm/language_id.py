@@ -27,7 +27,7 @@ BUCKETS = 1 << 15
 DIMENSIONS = 16
 ORDERS = (2, 3, 4)
 FIT_ROWS = 600  # labelled documents per language that training may look at
-EPOCHS = 12
+STEPS = 1800  # minibatches of training, whatever the size of the sample
 UNKNOWN = "und"
 REJECT_QUANTILE = 0.001  # share of right calibration documents that rejection may cost
 
@@ -112,8 +112,9 @@ def _train(idx, val, ptr, y, labels: int, seed: int):
     emb = rng.uniform(-0.5, 0.5, (BUCKETS, DIMENSIONS)).astype(np.float32)
     out, bias = np.zeros((DIMENSIONS, labels), np.float32), np.zeros(labels, np.float32)
     n, batch = len(y), 16
-    steps, step = EPOCHS * -(-n // batch), 0
-    for _ in range(EPOCHS):
+    epochs = -(-STEPS // -(-n // batch))
+    steps, step = epochs * -(-n // batch), 0
+    for _ in range(epochs):
         order = rng.permutation(n)
         for at in range(0, n, batch):
             rows = order[at:at + batch]
