@@ -3,8 +3,8 @@
 Subwords are the byte n-grams of a lower-cased word with its borders, hashed to ``BUCKETS`` rows of a
 small embedding. A text's score is the softmax of a linear map of the mean embedding; since mean and map
 are linear, prediction sums one row of class scores per n-gram. Training is stochastic gradient descent
-in numpy over at most ``FIT_ROWS`` labelled documents per language, the only bounded sample: their counts
-are made in Spark tasks, the driver holds the counts. A fifth of the sample sets the temperature of the
+in numpy over at most ``FIT_ROWS`` different labelled texts per language and some ``FIT_TOTAL`` in all, those of smallest
+hash, the only bounded sample: their counts are made in Spark tasks, the driver holds the counts. A fifth of the sample sets the temperature of the
 scores and the level below which a prediction is rejected.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected. Without any
@@ -26,7 +26,9 @@ from groundtrace.llm.words import _SPACE, PIECE, buffers
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 ORDERS = (2, 3, 4)
-FIT_ROWS = 600  # labelled documents per language that training may look at
+FIT_ROWS = 400  # different labelled documents per language that training may look at
+FIT_TOTAL = 2000  # of all languages together, at least MIN_ROWS of each
+MIN_ROWS = 8
 STEPS = 1800  # minibatches of training, whatever the size of the sample
 UNKNOWN = "und"
 REJECT_QUANTILE = 0.001  # share of right calibration documents that rejection may cost
@@ -142,15 +144,25 @@ def _spaced(text: Column) -> Column:
     return F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS,
+def _sample(labelled: DataFrame, rows: int, total: int, seed: int) -> DataFrame:
+    """(label, h, text) of each label's different texts of smallest hash; only hashes are ranked."""
+    hashed = labelled.withColumn("h", F.xxhash64("text", F.lit(seed)))
+    keys = hashed.select("label", "h").distinct()
+    labels = labelled.select("label").distinct().count()
+    quota = min(rows, max(MIN_ROWS, total // max(1, labels)))
+    ranked = keys.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h"))).filter(F.col("r") <= quota)
+    last = ranked.groupBy(F.col("label").alias("of")).agg(F.max("h").alias("most"))
+    return hashed.join(last, (F.col("label") == F.col("of")) & (F.col("h") <= F.col("most"))).groupBy("label", "h").agg(
+        F.first("text").alias("text"))
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, total: int = FIT_TOTAL,
         seed: int = 5) -> Model:
-    """Train on at most ``rows`` documents of each language, those of smallest hash."""
+    """Train on at most ``rows`` different texts of each language."""
     arrow_batches(docs.sparkSession)
     labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("label")).filter(
         F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    hashed = labelled.withColumn("h", F.xxhash64("text", F.lit(seed)))
-    ranked = hashed.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h")))
-    sample = ranked.filter(F.col("r") <= rows).select("label", "h", _spaced(F.col("text")).alias("text"))
+    sample = _sample(labelled, rows, total, seed).select("label", "h", _spaced(F.col("text")).alias("text"))
 
     def count(batches):
         for batch in batches:
@@ -168,8 +180,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: i
     order = np.lexsort((h, np.array(label)))
     idx_all, n_all = found.column("idx").combine_chunks(), found.column("n").combine_chunks()
     idx = [np.asarray(idx_all[int(i)].values) for i in order]
-    val = [np.asarray(n_all[int(i)].values, np.float32) for i in order]
-    val = [v / max(v.sum(), 1) for v in val]
+    val = [np.asarray(n_all[int(i)].values).astype(np.float32) for i in order]
+    for v in val:
+        v /= max(v.sum(), 1)
     y = np.array([labels.index(label[i]) for i in order])
     hold = np.arange(len(y)) % 5 == 4
     if len(set(y[~hold])) < len(labels):
@@ -180,6 +193,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: i
         return np.concatenate([idx[i] for i in rows]), np.concatenate([val[i] for i in rows]), ptr, y[rows]
 
     scores, bias = _train(*matrix(np.flatnonzero(~hold)), len(labels), seed)
+    pa.default_memory_pool().release_unused()
     model = Model(labels, np.vstack([scores, np.zeros((1, len(labels)), np.float32)]), bias, 1.0, 0.0)
     test = np.flatnonzero(hold if hold.any() else ~hold)
     sums = np.array([val[i] @ scores[idx[i]] for i in test])

@@ -220,15 +220,20 @@ def near_duplicates(docs: DataFrame, work: Work, shingle: int = SHINGLE, percent
     links = work.store(_confirm(best.select("a", "b"), sets, percent))
     found = work.store(components(links, work))
     more = work.store(_confirm(_apart(pairs.select("a", "b"), found), sets, percent))
-    links = links.unionByName(more)
-    found = work.store(components(links, work))
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        found = work.store(components(links, work))
     if inside.filter(F.col("m") > REGION).limit(1).count():
-        rest = _left_over(inside, found, work, percent)
-        links = links.unionByName(work.store(_confirm(rest, sets, percent)))
+        rest = work.store(_confirm(_left_over(inside, found, work, percent), sets, percent))
+        links = links.unionByName(rest)
+        changed = rest.limit(1).count()
+    else:
+        changed = 0
     spread = named.groupBy("id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("id").alias("i"))
     same = named.join(spread, F.col("id") == F.col("i")).join(
         rep.select("c1", "c2", "rep"), ["c1", "c2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    found = work.store(components(links.unionByName(same), work))
+    if changed or same.limit(1).count():
+        found = work.store(components(links.unionByName(same), work))
     head = rep.join(found, F.col("rep") == F.col("node"), "left").select(
         F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.col("n").alias("kn"),
         F.coalesce("component", "rep").alias("found"), "copies")
