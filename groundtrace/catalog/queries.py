@@ -515,22 +515,21 @@ def topk_refit(spark, sf_dir):
 @query
 def mlp_score(spark, sf_dir):
     features = _table(spark, sf_dir)
-    model = fo.fit_network(features, FEATURES, iterations=15, store=False)
+    model = fo.fit_network(features, FEATURES, store=False)
     return fo.score_network(model, features, ["event_key", "label"])
 
 
 @query
 def soft_vote(spark, sf_dir):
-    names = list(WEIGHTS)
-    features = _table(spark, sf_dir, names)
-    forest = fo.fit_forest(features, names, store=False)
-    network = fo.fit_network(features, names, (16,), 15, store=False)
+    features = _table(spark, sf_dir)
+    forest = fo.fit_forest(features, FEATURES, store=False)
+    network = fo.fit_network(features, FEATURES, store=False)
     return fo.soft_vote(forest, network, features, ["event_key", "label"])
 
 
 @query
 def kfold_cv(spark, sf_dir):
-    result = tn.cross_validate(process_events(spark, sf_dir), folds=3, augment_share=0.5)
+    result = tn.cross_validate(process_events(spark, sf_dir), augment_share=0.5)
     return result.per_fold.select("fold", "tp", "fp", "tn", "fn", "accuracy", "precision", "recall",
                                   "f1")
 
@@ -582,7 +581,7 @@ def model_vs_reviewer(spark, sf_dir):
 @query
 def disagreement_model(spark, sf_dir):
     events = process_events(spark, sf_dir)
-    model = tn.fit_disagreement_model(events, settings=fo.ForestSettings(20, 5))
+    model = tn.fit_disagreement_model(events)
     return tn.score_disagreement(events, model)
 
 
@@ -609,6 +608,6 @@ def stream_heuristic(spark, sf_dir):
 
 @query
 def stream_score(spark, sf_dir):
-    model = tn.fit_final(process_events(spark, sf_dir), names=list(WEIGHTS))
+    model = tn.fit_final(process_events(spark, sf_dir))
     scores = st.score_stream(event_stream(spark, sf_dir), model)
     return _drained(spark, scores).select("event_key", "prediction", "confidence", "drivers")

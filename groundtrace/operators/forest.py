@@ -62,14 +62,11 @@ def filled(names: Sequence[str]) -> list[Column]:
     return [F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names]
 
 
-MAX_CLASSES = 100
-
-
 def weight_of(df: DataFrame, target: str) -> Column:
-    """Balanced class weight as a literal case over the few values of the target."""
-    rows = class_weights(df, target).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{target} has more than {MAX_CLASSES} values")
+    """Balanced class weight as a literal case over the two values of the target, 0 and 1."""
+    other = F.raise_error(F.concat(F.lit("target is not 0 or 1: "), F.coalesce(F.col(target).cast("string"), F.lit("null"))))
+    binary = df.select(F.when(F.col(target).isin(0, 1), F.col(target)).otherwise(other.cast("double")).alias(target))
+    rows = class_weights(binary, target).collect()
     if not rows:
         raise ValueError("no rows to fit on")
     first, *others = rows

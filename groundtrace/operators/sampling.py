@@ -5,102 +5,111 @@ from counts per hash prefix plus the few keys of the prefixes that hold a cut; e
 itself with the cuts. The wide rows are never shuffled or sorted, and no stratum meets in one task.
 """
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundtrace.functions.hashing import order_hash, uniform
 from groundtrace.functions.text import nz
+from groundtrace.session import stored
 
-MAX_CUTS = 20_000  # strata x cuts; the table of cuts is collected and broadcast, so it is bounded
+CELL_ROWS = 1 << 20  # rows of a hash prefix that are looked at together; larger prefixes are read deeper
 
 
 @dataclass(frozen=True)
 class Order:
-    """Random order of rows: seed, optional salt, key and stratum columns."""
+    """Random order of rows: seed, optional salt, key and stratum columns.
+
+    Keys must not be null. With ``together`` rows of one key share a position, so sizes are exact up to the
+    copies of the key at a cut; without it a cut inside the rows of one key is an error.
+    """
 
     seed: int = 42
     salt: str = ""
     key: str = "event_key"
     stratum: str | None = "label"
-    prefix_digits: int = 4  # 16^4 hash prefixes per stratum: 10^12 rows leave some 10^7 per prefix
+    prefix_digits: int = 4  # first depth of the hash prefixes that are counted
+    together: bool = False
+
+
+def _key(order: Order) -> Column:
+    key = F.col(order.key).cast("string")
+    missing = F.raise_error(F.lit(f"null {order.key}: a random order needs a key for every row"))
+    return F.coalesce(key, missing.cast("string"))
 
 
 def _keyed(df: DataFrame, order: Order) -> DataFrame:
     stratum = F.col(order.stratum).cast("string") if order.stratum else F.lit("all")
-    key = F.col(order.key).cast("string")
-    return df.select(stratum.alias("_stratum"), key.alias("_key"),
-                     order_hash(order.seed, key, order.salt).alias("_hash"))
+    narrow = df.select(stratum.alias("_stratum"), _key(order).alias("_key"))
+    return narrow.withColumn("_hash", order_hash(order.seed, F.col("_key"), order.salt))
+
 
+def _holding(counted: DataFrame, group: list[str], ranks: Column) -> DataFrame:
+    """Cells (_stratum, _prefix, _n, _before, _ranks) that hold a requested rank, from ordered counts."""
+    up_to_here = Window.partitionBy(*group).orderBy("_prefix").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumn("_end", F.col("_start") + F.sum("_n").over(up_to_here))
+    inside = F.filter(ranks, lambda r: (r > F.col("_end") - F.col("_n")) & (r <= F.col("_end")))
+    return placed.select("_stratum", "_prefix", "_n", (F.col("_end") - F.col("_n")).alias("_before"),
+                         inside.alias("_ranks")).filter(F.size("_ranks") > 0)
 
-def _bounded(df: DataFrame, what: str) -> list:
-    rows = df.limit(MAX_CUTS + 1).collect()
-    if len(rows) > MAX_CUTS:
-        raise ValueError(f"more than {MAX_CUTS} {what}: stratify by a column with fewer values")
-    return rows
+
+def _in_cells(keyed: DataFrame, cells: DataFrame, digits: int) -> DataFrame:
+    cells = cells.select(F.col("_stratum").alias("_s"), F.col("_prefix").alias("_p"), "_before", "_ranks")
+    return keyed.join(cells, F.col("_stratum").eqNullSafe(F.col("_s"))
+                      & (F.substring("_hash", 1, digits) == F.col("_p")))
 
 
 def find_cuts(df: DataFrame, order: Order, ranks) -> DataFrame:
-    """One row per stratum: the (hash, key) at each requested rank.
+    """One row per stratum: (_s, _cuts), the (hash, key) at each requested rank.
 
     ``ranks`` maps the row count of a stratum (a Column) to an ascending array of ranks. Rank r is the
-    r-th row in random order; equal keys share one position. Two aggregations over (stratum, hash
-    prefix) and a look at the keys of at most ``MAX_CUTS`` prefixes.
+    r-th row in random order. Counts per (stratum, hash prefix) locate the cells that hold a rank; a cell of
+    more than ``CELL_ROWS`` rows is counted again four digits deeper. Only the keys of the last cells are
+    ordered. The cuts are stored: their true size then decides how they are joined.
     """
-    spark = df.sparkSession
-    keyed = _keyed(df, order)
-    prefix = F.substring("_hash", 1, order.prefix_digits)
-    by_prefix = keyed.groupBy("_stratum", prefix.alias("_prefix")).agg(
+    keyed, digits, last = _keyed(df, order), order.prefix_digits, []
+    counted = keyed.groupBy("_stratum", F.substring("_hash", 1, digits).alias("_prefix")).agg(
         F.count(F.lit(1)).alias("_n"))
-    stratum = Window.partitionBy("_stratum")
-    up_to_here = stratum.orderBy("_prefix").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    placed = by_prefix.select(
-        "_stratum", "_prefix", F.sum("_n").over(up_to_here).alias("_end"), "_n",
-        F.sum("_n").over(stratum).alias("_total"))
-    placed = placed.select(
-        "_stratum", "_prefix", (F.col("_end") - F.col("_n")).alias("_before"),
-        F.filter(ranks(F.col("_total")), lambda r: (r > F.col("_end") - F.col("_n"))
-                 & (r <= F.col("_end"))).alias("_ranks"))
-    holding = _bounded(placed.filter(F.size("_ranks") > 0), "cut positions")
-    schema = "_s string, _p string, _before bigint, _ranks array<bigint>"
-    holding = F.broadcast(spark.createDataFrame([tuple(r) for r in holding], schema))
-    candidates = (
-        keyed.withColumn("_prefix", prefix)
-        .join(holding, F.col("_stratum").eqNullSafe(F.col("_s")) & (F.col("_prefix") == F.col("_p")))
-        .groupBy("_s", "_p", "_hash", "_key")
-        .agg(F.count(F.lit(1)).alias("_n"), F.first("_before").alias("_before"),
-             F.first("_ranks").alias("_ranks"))
-    )
+    total = F.sum("_n").over(Window.partitionBy("_stratum"))
+    counted = counted.withColumn("_start", F.lit(0).cast("bigint")).withColumn("_wanted", ranks(total))
+    cells = stored(_holding(counted, ["_stratum"], F.col("_wanted")))
+    while digits < 32 and cells.filter(F.col("_n") > CELL_ROWS).limit(1).count():
+        last.append((digits, cells.filter(F.col("_n") <= CELL_ROWS)))
+        deeper = _in_cells(keyed, cells.filter(F.col("_n") > CELL_ROWS), digits)
+        digits = min(32, digits + 4)
+        counted = deeper.groupBy("_stratum", "_p", F.substring("_hash", 1, digits).alias("_prefix")).agg(
+            F.count(F.lit(1)).alias("_n"), F.first("_before").alias("_start"), F.first("_ranks").alias("_wanted"))
+        cells = stored(_holding(counted, ["_stratum", "_p"], F.col("_wanted")))
+    last.append((digits, cells))
+    candidates = reduce(DataFrame.unionByName, [_in_cells(keyed, c, d) for d, c in last]).groupBy(
+        "_s", "_p", "_hash", "_key").agg(
+        F.count(F.lit(1)).alias("_n"), F.first("_before").alias("_before"), F.first("_ranks").alias("_ranks"))
     within = Window.partitionBy("_s", "_p").orderBy("_hash", "_key").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     end = F.col("_before") + F.sum("_n").over(within)
+    inside = F.filter("_ranks", lambda r: (r > F.col("_end") - F.col("_n")) & (r <= F.col("_end")))
     cut = candidates.withColumn("_end", end).select(
-        "_s", F.struct("_hash", "_key").alias("_cut"),
-        F.filter("_ranks", lambda r: (r > F.col("_end") - F.col("_n"))
-                 & (r <= F.col("_end"))).alias("_ranks"))
-    cuts = _bounded(
-        cut.filter(F.size("_ranks") > 0).select("_s", F.explode("_ranks").alias("_r"), "_cut")
-        .groupBy("_s").agg(F.array_sort(F.collect_list(F.struct("_r", "_cut"))).alias("_cuts"))
-        .select("_s", F.transform("_cuts", lambda c: c["_cut"]).alias("_cuts")),
-        "strata")
-    return spark.createDataFrame(
-        [(r["_s"], [tuple(c) for c in r["_cuts"]]) for r in cuts],
-        "_s string, _cuts array<struct<_hash:string,_key:string>>")
+        "_s", "_end", F.struct("_hash", "_key").alias("_cut"), inside.alias("_ranks")).filter(
+        F.size("_ranks") > 0).select("_s", "_end", "_cut", F.explode("_ranks").alias("_r"))
+    if not order.together:
+        torn = F.raise_error(F.concat(F.lit(f"a cut falls inside the rows of one {order.key}: "), F.col("_cut._key")))
+        cut = cut.withColumn("_r", F.when(F.col("_r") < F.col("_end"), torn.cast("bigint")).otherwise(F.col("_r")))
+    return stored(cut.groupBy("_s").agg(
+        F.array_sort(F.collect_list(F.struct("_r", "_cut"))).alias("_cuts")).select(
+        "_s", F.transform("_cuts", lambda c: c["_cut"]).alias("_cuts")))
 
 
 def with_position(df: DataFrame, order: Order, cuts: DataFrame, name: str) -> DataFrame:
     """Add ``name``: how many cuts of its stratum lie before the row; null without any cut.
 
-    Map-only: the cuts are broadcast.
+    A small table of cuts is broadcast by the optimiser, so the rows stay where they are.
     """
     stratum = F.col(order.stratum).cast("string") if order.stratum else F.lit("all")
-    place = F.struct(
-        order_hash(order.seed, F.col(order.key).cast("string"), order.salt).alias("_hash"),
-        F.col(order.key).cast("string").alias("_key"))
-    joined = df.withColumn("_place", place).join(
-        F.broadcast(cuts), stratum.eqNullSafe(F.col("_s")), "left")
+    place = F.struct(order_hash(order.seed, _key(order), order.salt).alias("_hash"), _key(order).alias("_key"))
+    joined = df.withColumn("_place", place).join(cuts, stratum.eqNullSafe(F.col("_s")), "left")
     passed = F.size(F.filter("_cuts", lambda c: c < F.col("_place")))
     return joined.withColumn(name, F.when(F.col("_cuts").isNotNull(), passed)).drop(
         "_place", "_s", "_cuts")
@@ -158,7 +167,7 @@ def choose_count(df: DataFrame, count: int, order: Order) -> DataFrame:
 
 
 def _first_rows(df: DataFrame, order: Order, rank) -> DataFrame:
-    one = Order(order.seed, order.salt, order.key, None, order.prefix_digits)
+    one = replace(order, stratum=None)
     cuts = find_cuts(df, one, lambda n: F.array(rank(n)))
     return with_position(df, one, cuts, "_after").filter(F.col("_after") == 0).drop("_after")
 

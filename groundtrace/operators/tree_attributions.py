@@ -3,12 +3,13 @@
 A leaf contributes to a prediction through the distinct features on its path. Each such feature has an
 interval the value must lie in and a cover ratio (share of the training weight that follows the path at
 its splits). Whether the row lies in each interval gives a bit pattern, and the Shapley shares of the
-leaf depend on the row through that pattern only. So the shares are tabulated once per (leaf, pattern);
-scoring is a table look-up, vectorised over Arrow batches, without any shuffle.
+leaf depend on the row through that pattern only. The shares of the patterns that occur in an Arrow batch come from
+the polynomial whose coefficients sum over the subsets of each size: its product over all features once, then one
+feature divided out at a time. So a leaf costs O(depth^2) per pattern, whatever the depth, without any shuffle.
 """
 
 from dataclasses import dataclass
-from math import factorial
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,6 @@ from pyspark.sql import types as T
 from groundtrace.operators.forest import ForestModel
 from groundtrace.session import shared_folder
 
-MAX_TABLE_BYTES = 64 * 1024 * 1024  # size limit of the broadcast pattern tables
-
-
 @dataclass(frozen=True)
 class Leaf:
     tree: int
@@ -29,7 +27,8 @@ class Leaf:
     features: np.ndarray  # distinct feature positions on the path
     low: np.ndarray       # the value must be > low ...
     high: np.ndarray      # ... and <= high
-    shares: np.ndarray    # [pattern, feature] Shapley shares
+    ratios: np.ndarray    # cover ratio of each feature
+    probability: float    # share of the leaf in the forest's probability
 
 
 def forest_nodes(spark: SparkSession, model: ForestModel) -> list[dict]:
@@ -46,32 +45,32 @@ def forest_nodes(spark: SparkSession, model: ForestModel) -> list[dict]:
     return [r.asDict() for r in rows]
 
 
-def _shares(ratios: np.ndarray, probability: float) -> np.ndarray:
-    """Shapley shares of one leaf for every in/out pattern of its path features."""
+def _shares(ratios: np.ndarray, probability: float, inside: np.ndarray) -> np.ndarray:
+    """Shapley shares [pattern, feature] of one leaf for in/out patterns of its path features."""
     d = len(ratios)
-    patterns = np.arange(1 << d)
-    inside = ((patterns[:, None] >> np.arange(d)) & 1).astype(float)
-    shares = np.zeros((1 << d, d))
-    weights = [factorial(s) * factorial(d - s - 1) / factorial(d) for s in range(d)]
-    for i in range(d):
-        # Coefficient s: sum over the sets of s other features of in-bits inside, ratios outside.
-        by_size = np.zeros((1 << d, d))
-        by_size[:, 0] = 1.0
-        for j in range(d):
-            if j != i:
-                grown = by_size * ratios[j]
-                grown[:, 1:] += by_size[:, :-1] * inside[:, [j]]
-                by_size = grown
-        shares[:, i] = by_size @ weights * (inside[:, i] - ratios[i]) * probability
-    return shares
+    inside = inside.astype(float)
+    # Coefficient s: sum over the sets of s features of in-bits inside, ratios outside.
+    product = np.zeros((len(inside), d + 1))
+    product[:, 0] = 1.0
+    for j in range(d):
+        grown = product * ratios[j]
+        grown[:, 1:] += product[:, :-1] * inside[:, [j]]
+        product = grown
+    weights = np.array([1.0 / (d * comb(d - 1, s)) for s in range(d)])
+    # Divide out (ratio + in * z) for every feature at once: from the top where the in-bit is set, else by the ratio.
+    total, above = np.zeros((len(inside), d)), np.zeros((len(inside), d))
+    for s in range(d - 1, -1, -1):
+        above = product[:, [s + 1]] - ratios * above
+        total += weights[s] * np.where(inside > 0, above, product[:, [s]] / ratios)
+    return total * (inside - ratios) * probability
 
 
 def leaf_patterns(spark: SparkSession, model: ForestModel) -> tuple[list[Leaf], float]:
-    """All leaves with their tables, and the base value (expected probability of the forest)."""
+    """All leaves with their paths, and the base value (expected probability of the forest)."""
     trees: dict[int, dict[int, dict]] = {}
     for node in forest_nodes(spark, model):
         trees.setdefault(node["treeID"], {})[node["id"]] = node
-    leaves, base, used = [], 0.0, 0
+    leaves, base = [], 0.0
 
     def weight(node) -> float:
         return float(sum(node["impurityStats"]))
@@ -83,17 +82,13 @@ def leaf_patterns(spark: SparkSession, model: ForestModel) -> tuple[list[Leaf],
             if node["leftChild"] < 0:
                 p = node["impurityStats"][1] / weight(node) / len(trees)
                 features = sorted(path)
-                used += (1 << len(features)) * len(features) * 8
-                if used > MAX_TABLE_BYTES:
-                    raise ValueError("forest too deep for exact attributions; use "
-                                     "local_contributions instead")
                 ratios = np.array([path[f][2] for f in features])
                 base += p * float(np.prod(ratios))
                 if features:
                     leaves.append(Leaf(
                         tree, node["id"], np.array(features),
                         np.array([path[f][0] for f in features]),
-                        np.array([path[f][1] for f in features]), _shares(ratios, p)))
+                        np.array([path[f][1] for f in features]), ratios, p))
                 continue
             feature, cut = node["feature"], float(node["threshold"][0])
             low, high, ratio = path.get(feature, (-np.inf, np.inf, 1.0))
@@ -110,8 +105,9 @@ def attribute(values: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
     for leaf in leaves:
         x = values[:, leaf.features]
         inside = (x > leaf.low) & (x <= leaf.high)
-        pattern = inside @ (1 << np.arange(len(leaf.features)))
-        result[:, leaf.features] += leaf.shares[pattern]
+        patterns, back = np.unique(np.packbits(inside, axis=1), axis=0, return_inverse=True)
+        bits = np.unpackbits(patterns, axis=1, count=inside.shape[1])
+        result[:, leaf.features] += _shares(leaf.ratios, leaf.probability, bits)[back.reshape(-1)]
     return result
 
 
@@ -177,13 +173,17 @@ def tree_attributions_by_join(scored: DataFrame, model: ForestModel, key: str =
                               ) -> DataFrame:
     """The same attributions as (key, feature, contribution) from joins only.
 
-    Every event meets every leaf once, so this form is for checks and small inputs.
+    Every event meets every leaf once and every pattern is listed, so this form is for checks of shallow forests.
     """
     spark = scored.sparkSession
     leaves, _ = leaf_patterns(spark, model)
-    rows = [(n, p, model.names[f], float(leaf.shares[p, j]))
-            for n, leaf in enumerate(leaves)
-            for p in range(len(leaf.shares)) for j, f in enumerate(leaf.features)]
+
+    def every(d: int) -> np.ndarray:
+        return (np.arange(1 << d)[:, None] >> np.arange(d)) & 1
+
+    rows = [(n, p, model.names[f], float(share[j])) for n, leaf in enumerate(leaves)
+            for p, share in enumerate(_shares(leaf.ratios, leaf.probability, every(len(leaf.ratios))))
+            for j, f in enumerate(leaf.features)]
     table = spark.createDataFrame(rows, "_leaf int, _pattern int, feature string, share double")
     x = F.array(*[F.col(n).cast("double") for n in model.names])
     listed = F.array(*[F.struct(
@@ -197,5 +197,5 @@ def tree_attributions_by_join(scored: DataFrame, model: ForestModel, key: str =
         (F.get(F.col("_x"), s["at"]) > s["low"]) & (F.get(F.col("_x"), s["at"]) <= s["high"]),
         s["bit"]).otherwise(0))
     matched = met.select(key, "_leaf", pattern.alias("_pattern")).join(
-        F.broadcast(table), ["_leaf", "_pattern"])  # size bounded by MAX_TABLE_BYTES
+        table, ["_leaf", "_pattern"])
     return matched.groupBy(key, "feature").agg(F.sum("share").alias("contribution"))

@@ -104,10 +104,41 @@ def test_attributions(spark, table):
     assert joined.filter(F.abs(F.col("c") - F.coalesce("contribution", F.lit(0.0))) > 1e-9).isEmpty()
 
 
-def test_too_deep_forest_is_refused(spark, model, monkeypatch):
-    monkeypatch.setattr(ta, "MAX_TABLE_BYTES", 100)
-    with pytest.raises(ValueError, match="too deep"):
-        ta.leaf_patterns(spark, model)
+def test_deep_forest(spark):
+    """Paths of up to fifteen different features: sums are exact, and shares agree with the joined form's tables."""
+    rng = np.random.default_rng(4)
+    names = [f"x{i}" for i in range(24)]
+    x = rng.normal(size=(600, 24))
+    label = np.where((x[:, :8].prod(axis=1) + x[:, 8:].sum(axis=1) * 0.1 + rng.normal(size=600) * 0.3) > 0, "malicious", "benign")
+    rows = [(i, str(label[i]), *map(float, x[i])) for i in range(600)]
+    table = spark.createDataFrame(rows, "event_key int, label string, " + ", ".join(f"{n} double" for n in names))
+    deep = fo.fit_forest(table, names, fo.ForestSettings(trees=2, depth=15))
+    leaves, base = ta.leaf_patterns(spark, deep)
+    longest = max(leaves, key=lambda leaf: len(leaf.features))
+    assert len(longest.features) >= 10
+    scored = fo.score(deep, table, ["event_key"])
+    found = ta.tree_attributions(scored, deep, ("event_key", "p_malicious"))
+    total = F.aggregate("attributions", F.col("base_value"), lambda acc, x: acc + x)
+    assert found.filter(F.abs(total - F.col("p_malicious")) > 1e-9).isEmpty()
+    d = len(longest.ratios)
+    inside = rng.integers(0, 2, size=(4, d))
+    for bits, shares in zip(inside, ta._shares(longest.ratios, longest.probability, inside)):
+        assert shares == pytest.approx(subset_shares(longest.ratios, longest.probability, bits), abs=1e-12)
+
+
+def subset_shares(ratios, probability, bits):
+    """Shapley shares by averaging over all subsets."""
+    d = len(ratios)
+    value = np.ones(1)
+    for r, b in zip(ratios, bits):  # value of every subset: in-bits inside, ratios outside
+        value = np.concatenate([value * r, value * b])
+    sizes = np.array([bin(s).count("1") for s in range(1 << d)])
+    out = []
+    for i in range(d):
+        without = np.flatnonzero((np.arange(1 << d) >> i) & 1 == 0)
+        weight = np.array([1 / (d * math.comb(d - 1, k)) for k in range(d)])[sizes[without]]
+        out.append((weight * (value[without | (1 << i)] - value[without])).sum() * probability)
+    return out
 
 
 def test_contributions_and_explanations(events, model):

@@ -50,7 +50,7 @@ def test_one_key_with_a_third_of_all_rows(spark):
     rows = spark.range(600).select("id", F.lit("x").alias("label")).union(
         spark.range(300).select(F.lit(7).cast("long"), F.lit("x")))
     keyed = rows.withColumnRenamed("id", "event_key")
-    folded = sm.stratified_folds(keyed, 3)
+    folded = sm.stratified_folds(keyed, 3, sm.Order(together=True))
     assert folded.count() == 900
     assert folded.filter("event_key = 7").select("fold").distinct().count() == 1  # copies stay together
 
@@ -67,11 +67,32 @@ def test_choose(labelled):
     assert 0.15 < share < 0.35
 
 
-def test_too_many_strata_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(sm, "MAX_CUTS", 10)
-    many = spark.range(40).select(F.col("id").alias("event_key"), F.col("id").alias("label"))
-    with pytest.raises(ValueError, match="stratify"):
-        sm.stratified_holdout(many, 0.0)
+def test_fifty_thousand_strata(spark):
+    many = spark.range(150_000).select(F.col("id").alias("event_key"), (F.col("id") % 50_000).alias("label"))
+    parts = sm.stratified_holdout(many, 1 / 3).groupBy("part").count().collect()
+    assert {r["part"]: r["count"] for r in parts} == {"train": 100_000, "test": 50_000}
+
+
+def test_large_cells_are_counted_deeper(labelled, monkeypatch):
+    once = sm.stratified_folds(labelled, 5)
+    monkeypatch.setattr(sm, "CELL_ROWS", 3)
+    deeper = sm.stratified_folds(labelled, 5, sm.Order(prefix_digits=1))
+    assert once.exceptAll(deeper).isEmpty()
+
+
+def test_null_keys_are_refused(spark):
+    rows = spark.range(100).select(F.when(F.col("id") >= 40, F.col("id")).alias("event_key"), F.lit("x").alias("label"))
+    with pytest.raises(Exception, match="null event_key"):
+        sm.stratified_folds(rows, 5).count()
+
+
+def test_cuts_inside_one_key_are_refused(spark):
+    rows = spark.range(100).select((F.col("id") % 3).alias("event_key"), F.lit("x").alias("label"))
+    for run in (lambda: sm.stratified_folds(rows, 5), lambda: sm.choose(rows, 0.5, sm.Order(1, stratum=None))):
+        with pytest.raises(Exception, match="inside the rows of one event_key"):
+            run().count()
+    whole = sm.stratified_folds(rows, 5, sm.Order(together=True))
+    assert whole.select("event_key", "fold").distinct().count() == 3
 
 
 def test_augmented_copies(events):

@@ -64,9 +64,22 @@ def test_reasons_for_another_verdict(make_events):
 
 
 def test_rule_hits_from_a_table(spark, make_events):
-    rules = spark.createDataFrame([("r1", "abc"), ("r2", "zzz")], "rule string, indicator string")
-    hits = tr.rule_hits(make_events([dict(CommandLine="xABCx"), {}]), tr.rules_from(rules)).collect()
-    assert [tuple(h) for h in hits] == [(0, "r1", "abc")]
+    pairs = [("r1", "abc"), ("r2", "zzz"), ("r3", ""), ("r4", "b"), ("r5", "xabcx"), ("r1", "abc"), ("r6", None)]
+    rules = spark.createDataFrame(pairs, "rule string, indicator string")
+    commands = [dict(CommandLine="xABCx"), {}, dict(CommandLine="xABCx abc"), dict(CommandLine="zz")]
+    hits = tr.rule_hits(make_events(commands), rules).collect()
+    texts = ["xabcx", "", "xabcx abc", "zz"]
+    known = {p for p in pairs if p[1] is not None}
+    assert sorted(map(tuple, hits)) == sorted((i, r, w) for i, x in enumerate(texts) for r, w in known if w in x)
+
+
+def test_twenty_thousand_rules(spark, events):
+    many = spark.range(20_000).select(F.concat(F.lit("r"), F.col("id")).alias("rule"),
+                                      F.concat(F.lit("no such text "), F.col("id")).alias("indicator"))
+    own = spark.createDataFrame(tr.technique_rule_list(), "rule string, indicator string")
+    joined = tr.rule_hits(events, many.unionByName(own))
+    listed = tr.rule_hits(events)
+    assert joined.count() == listed.distinct().count() and listed.distinct().exceptAll(joined).isEmpty()
 
 
 def test_agreement_halves_partition_the_input(events):
