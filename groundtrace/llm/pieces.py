@@ -29,6 +29,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # fixed values of the model format
 UNKNOWN_PENALTY = 10.0  # fixed value: below the smallest score
 CACHE = 400_000  # chunks a worker remembers
+DECODE = 1 << 20  # ids decoded at once
 
 
 def _fields(data: bytes):
@@ -127,6 +128,9 @@ class Coder:
         self.output = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode()
                        if k in (NORMAL, USER) else " ⁇ ".encode() if k == UNKNOWN else b""
                        for p, k in zip(pieces, kinds)]
+        self.size = np.array([len(x) for x in self.output], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(self.output), np.uint8)
         self.cache: dict[str, tuple] = {}
 
     def best(self, text: str) -> tuple:
@@ -185,11 +189,22 @@ class Coder:
         return out
 
     def decode(self, ids) -> str:
-        text = b"".join([self.output[i] for i in ids])
+        ids = np.asarray(ids, np.int64)
+        if len(ids) and ids.min() < 0:
+            raise IndexError("negative id")
+        parts = [self._bytes(ids[at:at + DECODE]) for at in range(0, len(ids), DECODE)]
+        text = parts[0] if len(parts) == 1 else b"".join(parts)
         if self.vocabulary.prefix and text.startswith(b" "):
             text = text[1:]
         return text.decode("utf-8", "replace")
 
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        """The outputs of the ids one after the other, gathered byte by byte from all outputs laid end to end."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        shift = np.repeat(self.begin[ids] - ends + size, size)
+        return self.flat[np.arange(len(shift)) + shift].tobytes()
+
 
 def coder(vocabulary: Vocabulary) -> Coder:
     if id(vocabulary) not in _CODERS:
@@ -224,6 +239,6 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: s
     @F.arrow_udf("string")
     def run(rows: pa.Array) -> pa.Array:
         one = coder(shared.value)
-        return pa.array([None if not r.is_valid else one.decode(r.values.to_pylist()) for r in rows], pa.string())
+        return pa.array([None if not r.is_valid else one.decode(r.values.to_numpy()) for r in rows], pa.string())
 
     return docs.withColumn(out, run(F.col(ids_col)))
