@@ -26,7 +26,7 @@ from groundtrace.operators.obfuscation import text_entropy, text_obfuscation
 from groundtrace.plans import comparison as cp
 from groundtrace.plans import scoring as sc
 from groundtrace.plans import training as tn
-from groundtrace.session import shared_folder, spread, stored
+from groundtrace.session import shared_folder, stored
 from groundtrace.sources.sinks import disagreement_extract
 from groundtrace.streaming import score as st
 
@@ -184,7 +184,7 @@ def disagreement_features(spark, sf_dir):
 
 @query
 def entropy_documents(spark, sf_dir):
-    documents = spread(table(spark, sf_dir, "documents"), "doc_id")
+    documents = table(spark, sf_dir, "documents")
     return rounded(text_entropy(documents, "text", ("doc_id",)))
 
 
@@ -196,7 +196,7 @@ TEXT_COLUMNS = ("cmdline_length", "cmdline_ratio_alphanumeric", "cmdline_ratio_s
 @query
 def conversation_text_statistics(spark, sf_dir):
     """The text statistics of the obfuscation group on conversation turns."""
-    turns = spread(table(spark, sf_dir, "conversations"), "conv_id")
+    turns = table(spark, sf_dir, "conversations")
     return rounded(text_obfuscation(turns, "text", ("conv_id", "turn")).select(
         "conv_id", "turn", *TEXT_COLUMNS))
 
@@ -204,7 +204,7 @@ def conversation_text_statistics(spark, sf_dir):
 @query
 def url_obfuscation(spark, sf_dir):
     """The twelve pattern flags and the scores on page addresses."""
-    pages = spread(table(spark, sf_dir, "pages"), "page_id")
+    pages = table(spark, sf_dir, "pages")
     flags = [f"obfuscation_{c}" for c in v.OBFUSCATION_PATTERNS]
     return rounded(text_obfuscation(pages, "url", ("page_id",)).select(
         "page_id", *flags, "num_obfuscation_patterns", "obfuscation_score",
@@ -221,13 +221,13 @@ def _text_flags(df: DataFrame, column: str, key: str) -> DataFrame:
 @query
 def document_obfuscation(spark, sf_dir):
     """Pattern flags and text statistics of whole documents."""
-    return _text_flags(spread(table(spark, sf_dir, "documents"), "doc_id"), "text", "doc_id")
+    return _text_flags(table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
 @query
 def page_obfuscation(spark, sf_dir):
     """Pattern flags and text statistics of whole pages."""
-    return _text_flags(spread(table(spark, sf_dir, "pages"), "page_id"), "html", "page_id")
+    return _text_flags(table(spark, sf_dir, "pages"), "html", "page_id")
 
 
 @query

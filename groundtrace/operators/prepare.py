@@ -119,6 +119,15 @@ def distillation_pairs(df: DataFrame) -> DataFrame:
         "text", F.concat("prompt", F.lit(" <|endoftext|> "), "response", F.lit(" <|endoftext|>")))
 
 
+EXPAND = 1 << 16  # copies of a row that one array numbers
+
+
+def with_content_key(df: DataFrame) -> DataFrame:
+    """Add ``event_key``, a digest of the whole row. Map-only, so it also serves streams; equal rows share it."""
+    digest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), 256)
+    return df.withColumn("event_key", digest)
+
+
 def with_event_key(df: DataFrame, salts: int = 1024) -> DataFrame:
     """Give rows without an id a stable key: content digest plus occurrence number.
 
@@ -138,8 +147,11 @@ def with_event_key(df: DataFrame, salts: int = 1024) -> DataFrame:
     before = Window.partitionBy("_digest").orderBy("_salt").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     numbered = counted.withColumn("_end", F.sum("_n").over(before))
-    spread = numbered.withColumn(
-        "_occurrence", F.explode_outer(F.sequence(F.col("_end") - F.col("_n") + 1, F.col("_end"))))
+    # In two steps: a row that makes up a large share of the input never becomes one long array.
+    steps = numbered.withColumn("_from", F.explode(F.sequence(
+        F.col("_end") - F.col("_n") + 1, F.col("_end"), F.lit(EXPAND))))
+    spread = steps.withColumn("_occurrence", F.explode(F.sequence(
+        "_from", F.least(F.col("_from") + EXPAND - 1, F.col("_end")))))
     return spread.select(
         F.concat_ws("-", "_digest", F.col("_occurrence").cast("string")).alias("event_key"),
         *[F.col(f"`{c}`") for c in columns])

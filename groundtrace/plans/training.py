@@ -101,14 +101,17 @@ def fit_final(events: DataFrame, path: str | None = None, settings: ForestSettin
 
 
 def evaluate_holdout(events: DataFrame, test_size: float = 0.2, seed: int = 42,
-                     settings: ForestSettings = ForestSettings(), names=FEATURES
-                     ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(scored test rows, metrics, cost) of a model that never saw the test rows (M7)."""
+                     settings: ForestSettings = ForestSettings(), names=FEATURES,
+                     keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scored test rows, metrics, cost) of a model that never saw the test rows (M7).
+
+    ``keep`` names event fields that the scored rows carry on, for a preview of the misclassified ones.
+    """
     table = stored(labelled_features(stratified_holdout(events, test_size, Order(seed)), names,
-                                     ("part",)), ("part",))
+                                     ("part", *keep)), ("part",))
     model = fit_forest(table.filter(F.col("part") == "train"), names, settings, store=False)
-    scored = score(model, table.filter(F.col("part") == "test"), ["event_key", "label"]).select(
-        "event_key", "label", "prediction", "confidence")
+    scored = score(model, table.filter(F.col("part") == "test"), ["event_key", "label", *keep]).select(
+        "event_key", "label", *keep, "prediction", "confidence")
     return scored, binary_metrics(scored), cost_comparison(scored)
 
 
@@ -121,7 +124,8 @@ def fit_disagreement_model(
     The agreeing rows are the first in a seeded random order.
     """
     agree, disagree = split_by_agreement(events)
-    negatives = choose_count(agree, disagree.count(), Order(seed, "negatives", stratum=None))
+    # Counting and choosing need the keys alone; the features are computed for the chosen rows.
+    negatives = choose_count(agree, disagree.select("event_key").count(), Order(seed, "negatives", stratum=None))
     both = disagree.withColumn("_target", F.lit(1.0)).unionByName(
         negatives.withColumn("_target", F.lit(0.0)))
     names = [*base, *DISAGREEMENT] + ([LABEL_MISMATCH] if with_mismatch else [])

@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,26 +46,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_SCOPES: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored inside the block are removed at its end, when the results are written elsewhere."""
+    folder = f"{shared_folder(spark)}/groundtrace-{uuid.uuid4().hex}"
+    _SCOPES.append(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPES.remove(folder)
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stored(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Cuts the lineage, so later jobs neither recompute the rows nor depend on an executor's cache.
+    Cuts the lineage, so later jobs neither recompute the rows nor depend on an executor's cache. The table
+    belongs to the innermost ``scratch`` block; outside of one it is left for the folder's own clean-up.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/groundtrace-{uuid.uuid4().hex}"
+    path = f"{_SCOPES[-1] if _SCOPES else shared_folder(spark)}/groundtrace-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for per-row work on an input of fewer files than cores.
-
-    Large inputs have far more splits than cores and pass through without a shuffle.
-    """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)
-
-
 def filter_here(df: DataFrame, condition: Column) -> DataFrame:
     """Filter on computed columns without pushing the test below their projections.
 

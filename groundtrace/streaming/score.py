@@ -4,20 +4,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from groundtrace.operators.forest import ForestModel
-from groundtrace.operators.prepare import prepare_events
+from groundtrace.operators.prepare import prepare_events, with_content_key
 from groundtrace.operators.triage import heuristic_verdict
 from groundtrace.plans.scoring import score_events
 
 
+def _keyed(raw: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Raw events with an event_key, from their content where they bring none."""
+    return with_content_key(raw) if "event_key" in keep and "event_key" not in raw.columns else raw
+
+
 def score_stream(raw: DataFrame, model: ForestModel, keep: tuple[str, ...] = ("event_key",),
                  contributions: bool = True) -> DataFrame:
     """Raw events (stream or table) to verdict, confidence and drivers."""
-    return score_events(prepare_events(raw, keep), model, keep, contributions)
+    return score_events(prepare_events(_keyed(raw, keep), keep), model, keep, contributions)
 
 
 def heuristic_stream(raw: DataFrame, keep: tuple[str, ...] = ("event_key",)) -> DataFrame:
     """Raw events to the rule-based verdict."""
-    return heuristic_verdict(prepare_events(raw, keep)).select(
+    return heuristic_verdict(prepare_events(_keyed(raw, keep), keep)).select(
         *keep, "heuristic_score", "heuristic_verdict", "heuristic_reasons")
 
 

@@ -30,3 +30,12 @@ def test_shared_folder_follows_the_session(spark):
     assert folder and shared_folder(spark) == folder
     assert stored(spark.range(3)).count() == 3
     assert any(name.startswith("groundtrace-") for name in os.listdir(folder))
+
+
+def test_scratch_removes_what_it_stored(spark):
+    from groundtrace.session import scratch, stored
+
+    with scratch(spark) as folder:
+        assert stored(spark.range(3)).count() == 3
+        assert os.listdir(folder)
+    assert not os.path.exists(folder)

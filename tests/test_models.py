@@ -244,3 +244,13 @@ def test_reports(spark):
     assert report["accuracy"]["f1"] == pytest.approx(5 / 6) and report["macro avg"]["support"] == 6
     empty = mt.binary_metrics(spark.createDataFrame([], "label string, prediction string")).first()
     assert list(empty) == [0, 0, 0, 0, 0.0, 0.0, 0.0, 0.0]
+
+
+def test_holdout_rows_keep_event_fields(events):
+    from groundtrace.operators.labels import misclassified
+
+    scored, metrics, _ = tn.evaluate_holdout(events, settings=fo.ForestSettings(trees=5, depth=3), names=NAMES,
+                                             keep=("CommandLine", "User"))
+    assert {"CommandLine", "User", "prediction"} <= set(scored.columns)
+    row = metrics.first()
+    assert misclassified(scored).count() == row["fp"] + row["fn"]

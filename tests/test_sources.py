@@ -101,3 +101,49 @@ def test_json_stream(spark, folder, tmp_path, spellings):
     write_scores(scores, out, str(tmp_path / "checkpoint")).awaitTermination()
     batch = heuristic_stream(src.read_events(spark, folder + "/*.jsonl", spellings), ("_label",))
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, batch.collect()))
+
+
+@pytest.mark.parametrize("spellings", [False, True])
+def test_bad_lines(spark, tmp_path, spellings):
+    """Bad lines fail by default, in batch and stream; a PERMISSIVE read hands them to a side output."""
+    folder = tmp_path / "bad"
+    folder.mkdir()
+    (folder / "a.jsonl").write_text('{"CommandLine": "cmd /c dir", "EventID": 1}\n{"CommandLine": broken\n\n')
+    with pytest.raises(Exception):
+        src.read_events(spark, str(folder), spellings).select("CommandLine", "Image").collect()
+    loose = src.read_events(spark, str(folder), spellings, "PERMISSIVE", "_line").cache()
+    good, bad = src.split_corrupt(loose, "_line")
+    assert [r["CommandLine"] for r in good.collect()] == ["cmd /c dir"]
+    assert [r["line"] for r in bad.collect()] == ['{"CommandLine": broken']
+
+    def drain(frame, name):
+        out = str(tmp_path / name)
+        query = frame.writeStream.format("parquet").option("checkpointLocation", out + "-c").trigger(availableNow=True).start(out)
+        query.awaitTermination()
+        return spark.read.parquet(out).collect()
+
+    with pytest.raises(Exception):
+        drain(src.read_event_stream(spark, str(folder), spellings), "strict")
+    stream = src.read_event_stream(spark, str(folder), spellings, mode="PERMISSIVE", corrupt_column="_line")
+    good, bad = src.split_corrupt(stream, "_line")
+    assert [r["CommandLine"] for r in drain(good, "good")] == ["cmd /c dir"]
+    assert [r["line"] for r in drain(bad, "lines")] == ['{"CommandLine": broken']
+
+
+def test_stream_without_a_key(spark, folder, tmp_path):
+    from groundtrace.streaming.score import heuristic_stream, write_scores
+
+    out = str(tmp_path / "scores")
+    stream = src.read_event_stream(spark, folder + "/*.jsonl")
+    write_scores(heuristic_stream(stream), out, str(tmp_path / "checkpoint")).awaitTermination()
+    batch = heuristic_stream(src.read_events(spark, folder + "/*.jsonl"))
+    keys = [r["event_key"] for r in spark.read.parquet(out).collect()]
+    assert keys and all(len(k) == 64 for k in keys)
+    assert sorted(keys) == sorted(r["event_key"] for r in batch.collect())
+
+
+def test_content_keys_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(pr, "EXPAND", 7)
+    rows = spark.range(100).select(F.lit("same").alias("a"))
+    keyed = pr.with_event_key(rows)
+    assert keyed.count() == 100 and keyed.select("event_key").distinct().count() == 100
