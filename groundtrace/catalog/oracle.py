@@ -1,12 +1,12 @@
 """DuckDB SQL that states the result of each registered query from the tables alone.
 
 Written against the definitions of the rules, not derived from the Spark expressions; only the fixed
-lists are shared. Queries whose result depends on a fitted model have no entry.
+lists are shared. Forests of many trees have no entry; trees of one split, whose fit SQL can state, have.
 """
 
 from groundtrace import vocabulary as v
 from groundtrace.catalog import binding as b
-from groundtrace.catalog.queries import WEIGHTS
+from groundtrace.catalog.queries import STUMP, WEIGHTS
 from groundtrace.operators.feature_table import FEATURES
 
 # --- pieces of SQL ---------------------------------------------------------------------------------
@@ -782,3 +782,73 @@ ORACLE: dict[str, str] = {
     "tree_attributions": "SELECT count(*) AS events, count(*) AS additive FROM events",
 }
 ORACLE["stream_heuristic"] = ORACLE["heuristic_verdict"]
+
+
+# A tree of one split: of all cuts between neighbouring values of all features, the one that lowers the weighted
+# Gini impurity most. ``g`` numbers independent fits; the weights balance the labels of each.
+
+
+def _gini(m: str, b: str) -> str:
+    return f"(2.0 * ({m}) * ({b}) / nullif((({m}) + ({b})) ** 2, 0))"
+
+
+def stump(train: str, names=STUMP) -> str:
+    """CTEs that end in ``best``: g, feature, cut and the weights (l: below, t: all; m, b: malicious, benign)."""
+    listed = " UNION ALL ".join(f"SELECT g, label, '{n}' AS feature, {n}::DOUBLE AS value FROM {train}" for n in names)
+    return f"""
+        w AS (SELECT g, label, sum(count(*)) OVER (PARTITION BY g) / (2.0 * count(*)) AS weight
+              FROM {train} GROUP BY g, label),
+        listed AS ({listed}),
+        h AS (SELECT g, feature, value, coalesce(sum(weight) FILTER (WHERE label = 'malicious'), 0.0) AS m,
+              coalesce(sum(weight) FILTER (WHERE label = 'benign'), 0.0) AS b
+              FROM listed JOIN w USING (g, label) GROUP BY g, feature, value),
+        cuts AS (SELECT g, feature, value, lead(value) OVER o AS above, sum(m) OVER o AS lm, sum(b) OVER o AS lb,
+                 sum(m) OVER (PARTITION BY g, feature) AS tm, sum(b) OVER (PARTITION BY g, feature) AS tb
+                 FROM h WINDOW o AS (PARTITION BY g, feature ORDER BY value)),
+        best AS (SELECT g, feature, (value + above) / 2 AS cut, lm, lb, tm, tb FROM cuts WHERE above IS NOT NULL
+                 QUALIFY row_number() OVER (PARTITION BY g ORDER BY round({_gini('tm', 'tb')}
+                   - (lm + lb) / (tm + tb) * {_gini('lm', 'lb')}
+                   - (tm - lm + tb - lb) / (tm + tb) * {_gini('tm - lm', 'tb - lb')}, 9) DESC, feature) = 1),
+        leaves AS (SELECT *, lm / (lm + lb) AS pl, (tm - lm) / (tm - lm + tb - lb) AS pr, (lm + lb) / (tm + tb) AS share
+                   FROM best)"""
+
+
+VALUE = "CASE feature " + " ".join(f"WHEN '{n}' THEN {n}" for n in STUMP) + " END"
+P_STUMP = f"(CASE WHEN {VALUE} <= cut THEN pl ELSE pr END)"
+CALLED = f"CASE WHEN {P_STUMP} > 0.5 THEN 'malicious' ELSE 'benign' END"
+SURE = f"greatest({P_STUMP}, 1 - {P_STUMP})"
+STUMP_ROWS = f"{EVENTS}{WITH_PATTERNS}, x AS (SELECT 1 AS g, event_key, label, {columns({n: UNROUNDED[n] for n in STUMP})} FROM g)"
+STUMP_ALL = f"{STUMP_ROWS}, {stump('x')}, p AS (SELECT x.*, feature, cut, pl, pr, share FROM x JOIN leaves USING (g))"
+_ORDER = in_order(42, "event_key")
+STUMP_FOLDS = f"""{STUMP_ROWS},
+    folded AS (SELECT * EXCLUDE (g), ntile(5) OVER (PARTITION BY label ORDER BY {_ORDER}) AS fold FROM x),
+    train AS (SELECT i AS g, folded.* FROM folded JOIN range(1, 6) r(i) ON i <> fold), {stump('train')},
+    p AS (SELECT folded.*, feature, cut, pl, pr FROM folded JOIN leaves ON g = fold),
+    j AS (SELECT fold, label, {CALLED} AS prediction FROM p)"""
+ORACLE |= {
+    "feature_table_rows": f"""{EVENTS}{WITH_PATTERNS} SELECT event_key, label,
+        {columns({n: f'round(({UNROUNDED[n]})::DOUBLE, 4)' for n in FEATURES})} FROM g""",
+    "stump_score": f"""{STUMP_ALL} SELECT event_key, label, {CALLED} AS prediction, round({SURE}, 6) AS confidence,
+        round({P_STUMP}, 6) AS p_malicious FROM p""",
+    "stump_importance": f"""{STUMP_ALL}, n(name) AS (VALUES {values([(n,) for n in STUMP])})
+        SELECT name AS feature, (CASE WHEN name = feature THEN 1 ELSE 0 END)::DOUBLE AS importance FROM n, leaves""",
+    "stump_top_feature": f"""{STUMP_ALL} SELECT event_key, {CALLED} AS prediction, round({P_STUMP}, 6) AS p_malicious FROM p""",
+    "stump_attributions": f"""{STUMP_ALL}, n(name) AS (VALUES {values([(n,) for n in STUMP])}),
+        e AS (SELECT *, share * pl + (1 - share) * pr AS base FROM p)
+        SELECT event_key, name AS feature, round(base, 6) AS base_value,
+        CASE WHEN name = feature THEN round({P_STUMP} - base, 6) ELSE 0.0::DOUBLE END AS contribution FROM e, n""",
+    "stump_kfold": f"""{STUMP_FOLDS}, c AS (SELECT fold::INTEGER AS fold, {cells('label', 'prediction')} FROM j GROUP BY fold)
+        SELECT *, {measures()} FROM c""",
+    "stump_pooled": f"{STUMP_FOLDS}, c AS (SELECT {cells('label', 'prediction')} FROM j) SELECT *, {measures()} FROM c",
+    "stump_holdout": f"""{STUMP_ROWS},
+        dealt AS (SELECT * EXCLUDE (g), 1 AS g, row_number() OVER (PARTITION BY label ORDER BY {_ORDER})
+                  <= floor(count(*) OVER (PARTITION BY label) * (1 - 0.2::DOUBLE)) AS train FROM x),
+        train AS (SELECT * FROM dealt WHERE train), {stump('train')},
+        p AS (SELECT dealt.*, feature, cut, pl, pr FROM dealt, leaves WHERE NOT train),
+        c AS (SELECT {cells('label', 'called')} FROM (SELECT label, {CALLED} AS called FROM p))
+        SELECT *, {measures()} FROM c""",
+    "stump_vs_reviewer": f"""{STUMP_ALL}{JUDGED}, o AS (SELECT p.label, j.rpred, {CALLED} AS called FROM p JOIN j USING (event_key)),
+        c AS (SELECT {cells('label', 'rpred', 'reviewer_')}, {cells('label', 'called', 'model_')} FROM o)
+        SELECT *, {measures('reviewer_')}, {measures('model_')} FROM c""",
+    "stream_stump": f"{STUMP_ALL} SELECT event_key, {CALLED} AS prediction, round({SURE}, 6) AS confidence FROM p",
+}

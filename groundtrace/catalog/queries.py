@@ -585,6 +585,92 @@ def disagreement_model(spark, sf_dir):
     return tn.score_disagreement(events, model)
 
 
+# One tree of one split over integer features: the fit is deterministic and SQL can state it.
+STUMP = ("native_binary_abuse_score", "apt_lotl_score", "cmdline_word_count", "num_slashes", "num_quotes",
+         "image_path_depth", "execution_context_risk")
+STUMP_SHAPE = fo.ForestSettings(trees=1, depth=1, bootstrap=False)
+
+
+def _stump(spark, sf_dir):
+    features = _table(spark, sf_dir, STUMP)
+    return features, fo.fit_forest(features, STUMP, STUMP_SHAPE, store=False)
+
+
+@query
+def stump_score(spark, sf_dir):
+    features, model = _stump(spark, sf_dir)
+    return rounded(fo.score(model, features, ["event_key", "label"]).select(
+        "event_key", "label", "prediction", "confidence", "p_malicious"))
+
+
+@query
+def stump_importance(spark, sf_dir):
+    _, model = _stump(spark, sf_dir)
+    return rounded(fo.importance_table(spark, model))
+
+
+@query
+def stump_top_feature(spark, sf_dir):
+    """Refit on the most important feature alone."""
+    features = _table(spark, sf_dir, STUMP)
+    model = fo.fit_top_k(features, STUMP, 1, STUMP_SHAPE, store=False)
+    return rounded(fo.score(model, features, ["event_key"]).select("event_key", "prediction", "p_malicious"))
+
+
+@query
+def stump_attributions(spark, sf_dir):
+    """Exact attributions of every event and feature."""
+    features, model = _stump(spark, sf_dir)
+    scored = fo.score(model, features, ["event_key"])
+    found = ta.tree_attributions(scored, model, ("event_key",))
+    return rounded(found.select("event_key", "base_value", F.posexplode("attributions").alias("i", "contribution")).select(
+        "event_key", F.get(F.array(*[F.lit(n) for n in model.names]), F.col("i")).alias("feature"),
+        "base_value", "contribution"))
+
+
+@query
+def stump_kfold(spark, sf_dir):
+    """Per-fold metrics of five folds, each judged by a tree fitted on the other four."""
+    result = tn.cross_validate(process_events(spark, sf_dir), settings=STUMP_SHAPE, names=STUMP)
+    return rounded(result.per_fold.select("fold", "tp", "fp", "tn", "fn", "accuracy", "precision", "recall", "f1"))
+
+
+@query
+def stump_pooled(spark, sf_dir):
+    """Metrics over the out-of-fold predictions of all events."""
+    result = tn.cross_validate(process_events(spark, sf_dir), settings=STUMP_SHAPE, names=STUMP)
+    return rounded(result.overall)
+
+
+@query
+def stump_holdout(spark, sf_dir):
+    _, metrics, _ = tn.evaluate_holdout(process_events(spark, sf_dir), settings=STUMP_SHAPE, names=STUMP)
+    return rounded(metrics)
+
+
+@query
+def stump_vs_reviewer(spark, sf_dir):
+    """Metrics of the tree and of the reviewer side by side."""
+    events = process_events(spark, sf_dir)
+    model = tn.fit_final(events, settings=STUMP_SHAPE, names=STUMP)
+    keep = ("event_key", "label", schema.TECHNIQUE_FIELD, schema.REVIEWER, "CommandLine")
+    return rounded(cp.compare(sc.score_events(events, model, keep)).metrics)
+
+
+@query
+def stream_stump(spark, sf_dir):
+    """The tree's verdicts as a streaming job that drains the table."""
+    model = tn.fit_final(process_events(spark, sf_dir), settings=STUMP_SHAPE, names=STUMP)
+    scores = st.score_stream(event_stream(spark, sf_dir), model, contributions=False)
+    return rounded(_drained(spark, scores).select("event_key", "prediction", "confidence"))
+
+
+@query
+def feature_table_rows(spark, sf_dir):
+    """All 103 columns of every event."""
+    return rounded(feature_table(process_events(spark, sf_dir), keep=("event_key", "label")), 4)
+
+
 # ---- streaming ------------------------------------------------------------------------------------
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ class ForestSettings:
     seed: int = 42
     bins: int = 32
     balanced: bool = True
+    bootstrap: bool = True  # off: every tree sees all rows
 
 
 @dataclass(frozen=True)
@@ -107,7 +108,7 @@ def fit_forest(table: DataFrame, names: Sequence[str], settings: ForestSettings
     vectors = training.withColumn("weight", weight)
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="target", weightCol="weight", numTrees=settings.trees,
-        maxDepth=settings.depth, maxBins=settings.bins, seed=settings.seed,
+        maxDepth=settings.depth, maxBins=settings.bins, seed=settings.seed, bootstrap=settings.bootstrap,
         featureSubsetStrategy="auto").fit(vectors)
     numbers = vector_statistics(vectors, names) if statistics else {}
     return ForestModel(PipelineModel([assembler, forest]), numbers)
