@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from groundtrace.llm.tables import ASCII_SPACE, Work
 
 MIN_CHARS = 16
-SEGMENT = 256  # open segments above are halved again
+SEGMENT = 64  # open segments above are halved again
 
 
 def _lines(numbered: DataFrame) -> DataFrame:
@@ -36,18 +36,31 @@ def _order() -> Column:
     return F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("id"), F.col("row").alias("row"), F.col("no").alias("no"))
 
 
-def _halves(seg: Column, context: Column) -> Column:
-    """The two ways to halve a segment: as long as its partner or shorter, and as the longer one."""
-    n = F.length(seg)
+def _cuts(n: Column, pieces) -> Column:
+    """The two ways to halve n characters: as long as the partner or shorter, and as the longer one."""
+    own, longer = (n / 2).cast("int"), ((n - 1) / 2).cast("int")
+    return F.when(own == longer, F.array(*pieces(own))).otherwise(F.array(*pieces(own), *pieces(longer)))
 
-    def cut(h: Column) -> list[Column]:
-        return [F.struct(F.xxhash64(context, F.lit("front"), h, F.substr(seg, F.lit(1), h)).alias("ctx"),
-                         F.substr(seg, h + 1).alias("seg")),
-                F.struct(F.xxhash64(context, F.lit("back"), h, F.substr(seg, n - h + 1, h)).alias("ctx"),
-                         F.substr(seg, F.lit(1), n - h).alias("seg"))]
 
-    own, longer = (n / 2).cast("int"), ((n - 1) / 2).cast("int")
-    return F.when(own == longer, F.array(*cut(own))).otherwise(F.array(*cut(own), *cut(longer)))
+def _front(seg: Column, context: Column, h: Column) -> Column:
+    return F.xxhash64(context, F.lit("front"), h, F.substr(seg, F.lit(1), h))
+
+
+def _back(seg: Column, context: Column, h: Column) -> Column:
+    return F.xxhash64(context, F.lit("back"), h, F.substr(seg, F.length(seg) - h + 1, h))
+
+
+def _contexts(seg: Column) -> Column:
+    """The hashed halves of a line, without what they leave open."""
+    return _cuts(F.length(seg), lambda h: [_front(seg, F.lit(0), h), _back(seg, F.lit(0), h)])
+
+
+def _halves(seg: Column, context: Column) -> Column:
+    """Each half as context, with the other half as open segment."""
+    n = F.length(seg)
+    return _cuts(n, lambda h: [
+        F.struct(_front(seg, context, h).alias("ctx"), F.substr(seg, h + 1).alias("seg")),
+        F.struct(_back(seg, context, h).alias("ctx"), F.substr(seg, F.lit(1), n - h).alias("seg"))])
 
 
 def _shared(states: DataFrame, work: Work) -> DataFrame:
@@ -73,26 +86,42 @@ def _variants(short: DataFrame) -> DataFrame:
 
 def _candidates(variants: DataFrame, firsts: DataFrame) -> DataFrame:
     """(k1, k2, e1, e2): lines with an earlier line that shares a key; linear in the keys."""
-    keyed = variants.join(firsts.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), "first"),
-                          (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2"))).select(
+    common = variants.groupBy("v").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).filter("a < b").select(
+        F.col("v").alias("c"))
+    shared = variants.join(common, F.col("v") == F.col("c"), "left_semi")
+    keyed = shared.join(firsts.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), "first"),
+                        (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2"))).select(
         "v", "kind", F.struct("first", "k1", "k2").alias("m"))
     lead = keyed.groupBy("v").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("kind") == "sub", F.col("m"))).alias("sub"),
+        F.min(F.when(F.col("kind") == "sub", F.col("m"))).alias("sub"),
         F.min(F.when(F.col("kind") == "base", F.col("m"))).alias("base"),
         F.min(F.when(F.col("kind") == "long", F.col("m"))).alias("long")).filter(
-        "n > 1 and (sub is not null or (base is not null and long is not null))").withColumnRenamed("v", "w")
+        "sub is not null or (base is not null and long is not null)").withColumnRenamed("v", "w")
     other = F.when(F.col("kind") == "sub", F.col("sub")).when(F.col("kind") == "base", F.col("long")).otherwise(F.col("base"))
     return keyed.join(lead, F.col("v") == F.col("w")).withColumn("o", other).filter("o.first < m.first").select(
         "m.k1", "m.k2", F.col("o.k1").alias("e1"), F.col("o.k2").alias("e2")).distinct()
 
 
-def _near(numbered: DataFrame, work: Work) -> DataFrame:
+def _texts(numbered: DataFrame, lines: DataFrame, some: DataFrame) -> DataFrame:
+    """(k1, k2, first, line) of some lines, each read from its first place.
+
+    The documents go by their row to those places: one shuffle of the texts, at any number of lines.
+    """
+    places = lines.join(some, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2"))).groupBy("k1", "k2").agg(
+        F.min(_order()).alias("first"))
+    wanted = places.groupBy(F.col("first.row").alias("r")).agg(F.collect_list(F.struct("k1", "k2", "first")).alias("w"))
+    met = numbered.hint("merge").join(wanted, F.col("row") == F.col("r"))
+    each = met.select("w", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "line"))
+    here = F.filter("w", lambda x: x["first"]["no"] == F.col("no"))
+    return each.select("line", F.inline(here))
+
+
+def _near(numbered: DataFrame, lines: DataFrame, work: Work) -> DataFrame:
     """(k1, k2) of the lines that have an earlier line within one edit."""
-    lines = _lines(numbered).filter(F.col("k1").isNotNull() & (F.length("line") >= MIN_CHARS - 1))
-    narrow = lines.select("k1", "k2", F.explode(F.transform(_halves(F.col("line"), F.lit(0)), lambda s: s["ctx"])).alias("ctx"))
-    some = _shared(narrow, work).select("k1", "k2").distinct().select(F.col("k1").alias("s1"), F.col("k2").alias("s2"))
-    text = work.store(lines.join(some, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")), "left_semi").groupBy(
-        "k1", "k2").agg(F.min(_order()).alias("first"), F.first("line").alias("line")))
+    long_enough = _lines(numbered).filter(F.col("k1").isNotNull() & (F.length("line") >= MIN_CHARS - 1))
+    narrow = long_enough.select("k1", "k2", F.explode(_contexts(F.col("line"))).alias("ctx"))
+    some = work.store(_shared(narrow, work).select(F.col("k1").alias("s1"), F.col("k2").alias("s2")).distinct())
+    text = work.store(_texts(numbered, lines, some))
     states = text.select("k1", "k2", F.explode(_halves(F.col("line"), F.lit(0))).alias("s")).select("k1", "k2", "s.*")
     states, found = _shared(states, work), None
     while True:
@@ -108,15 +137,15 @@ def _near(numbered: DataFrame, work: Work) -> DataFrame:
     earlier = text.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("line").alias("earlier"))
     both = pairs.join(own, (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2"))).join(
         earlier, (F.col("e1") == F.col("b1")) & (F.col("e2") == F.col("b2")))
-    long_enough = F.least(F.length("own"), F.length("earlier")) >= MIN_CHARS
-    return both.filter(long_enough & (F.levenshtein("own", "earlier", 1) >= 0)).select("k1", "k2").distinct()
+    fuzzy = F.least(F.length("own"), F.length("earlier")) >= MIN_CHARS
+    return both.filter(fuzzy & (F.levenshtein("own", "earlier", 1) >= 0)).select("k1", "k2").distinct()
 
 
 def remove_lines(docs: DataFrame, work: Work, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_lines, n_removed and text, the lines that stay."""
     numbered = work.number(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "row")
     lines = work.store(_lines(numbered).drop("line"))
-    near = work.store(_near(numbered, work)).select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.lit(True).alias("near"))
+    near = work.store(_near(numbered, lines, work)).select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.lit(True).alias("near"))
     groups = lines.filter("k1 is not null").groupBy("k1", "k2").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("n"))
     judged = groups.join(near, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")), "left").filter(
         "n > 1 or near").select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), "first", F.coalesce("near", F.lit(False)).alias("near"))
