@@ -1,11 +1,9 @@
-import os
+"""Fixtures of the operators' tests; ``spark`` comes from the tests above."""
+
 import random
-import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, id long, size long, kept boolean"
 
 

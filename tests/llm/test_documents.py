@@ -4,6 +4,7 @@ import random
 
 import brute
 import pytest
+from material import corpus, make_docs, work  # noqa: F401
 from pyspark.sql import functions as F
 
 from groundtrace.llm import exact_dedup, line_dedup, mixing, near_dedup, passage_dedup

@@ -8,6 +8,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
+from material import corpus, make_docs, work  # noqa: F401
 from pyspark.sql import functions as F
 
 from groundtrace.llm import language_id, license_scan, pieces, vector_dedup, warc
