@@ -198,21 +198,21 @@ context = {
     "high_risk_context": flag(f"{RISK} >= 5"),
 }
 
-# The patterns in the dialect of this engine.
+# The patterns, with the white-space class spelt out for this engine.
 PATTERNS = {
-    "url_encoding": [r"(?i)%[0-9a-f]{2}", r"(?i)%u[0-9a-f]{4}"],
-    "hex_encoding": [r"(?i)\\x[0-9a-f]{2}", r"(?i)0x[0-9a-f]+"],
-    "base64_encoding": [r"(?i)[a-z0-9+/]{20,}={0,2}"],
-    "unicode_encoding": [r"(?i)\\u[0-9a-f]{4}", r"(?i)&#x[0-9a-f]+;"],
-    "case_manipulation": [r"(?i)[a-z]{3,}", r"(?i)[a-z]{3,}[a-z]{3,}"],
+    "url_encoding": [r"(?i)%[0-9a-fA-F]{2}", r"(?i)%u[0-9a-fA-F]{4}"],
+    "hex_encoding": [r"(?i)\\x[0-9a-fA-F]{2}", r"(?i)0x[0-9a-fA-F]+"],
+    "base64_encoding": [r"(?i)[A-Za-z0-9+/]{20,}={0,2}"],
+    "unicode_encoding": [r"(?i)\\u[0-9a-fA-F]{4}", r"(?i)&#x[0-9a-fA-F]+;"],
+    "case_manipulation": [r"(?i)[A-Z]{3,}", r"(?i)[a-z]{3,}[A-Z]{3,}"],
     "whitespace_manipulation": [r"[\s\p{Z}]{3,}", r"\t+"],
     "string_concatenation": [r"""\+["']""", r"""["'][\s\p{Z}]*\+[\s\p{Z}]*["']"""],
-    "environment_variables": [r"(?i)%[a-z_]+%", r"(?i)\$\{[a-z_]+\}"],
+    "environment_variables": [r"(?i)%[A-Z_]+%", r"(?i)\$\{[A-Z_]+\}"],
     "command_chaining": [r"&&", r"\|\|", r"`.*`"],
-    "powershell_obfuscation": [r"(?i)-enc[\s\p{Z}]+[a-z0-9+/=]+", r"(?i)-e[\s\p{Z}]+[a-z0-9+/=]+",
-                               r"(?i)\[char\]", r"(?i)\.replace\("],
-    "javascript_obfuscation": [r"(?i)javascript:", r"(?i)eval\(", r"(?i)string\.fromcharcode\("],
-    "cmd_obfuscation": [r"(?i)cmd[\s\p{Z}]+/c[\s\p{Z}]+/c", r"(?i)^[^a-z0-9\s\p{Z}/\\-]+"],
+    "powershell_obfuscation": [r"(?i)-enc[\s\p{Z}]+[A-Za-z0-9+/=]+", r"(?i)-e[\s\p{Z}]+[A-Za-z0-9+/=]+",
+                               r"(?i)\[char\]", r"(?i)\.Replace\("],
+    "javascript_obfuscation": [r"(?i)javascript:", r"(?i)eval\(", r"(?i)String\.fromCharCode\("],
+    "cmd_obfuscation": [r"(?i)cmd[\s\p{Z}]+/c[\s\p{Z}]+/c", r"(?i)^[^a-zA-Z0-9\s\p{Z}/\\-]+"],
 }
 
 

@@ -3,24 +3,49 @@
 from pyspark.sql import types as T
 
 # --- Fixed values: production fields (the allow-list of the sanitiser) --------------------------
-STRING_FIELDS = (
-    "EventTime", "UtcTime", "Hostname", "Channel",
-    "Image", "SourceImage", "CommandLine", "ProcessGUID", "ParentImage", "ParentProcessGUID",
-    "ParentCommandLine",
-    "User", "Domain", "AccountName", "IntegrityLevel", "LogonId",
-    "DestinationIp", "DestinationHostname", "Protocol",
-    "TargetFilename", "TargetObject", "EventType", "CreationUtcTime",
-    "CurrentDirectory", "Hashes", "Company", "Description", "Product", "Version",
-    "OriginalFileName", "FileVersion", "Signed", "Signature", "SignatureStatus",
-)
-NUMBER_FIELDS = {
+FIELDS = {
     "EventID": "int",
+    "EventTime": "string",
+    "UtcTime": "string",
+    "Hostname": "string",
+    "Channel": "string",
+    "Image": "string",
+    "SourceImage": "string",
+    "CommandLine": "string",
     "ProcessId": "bigint",
+    "ProcessGUID": "string",
+    "ParentImage": "string",
     "ParentProcessId": "bigint",
+    "ParentProcessGUID": "string",
+    "ParentCommandLine": "string",
+    "User": "string",
+    "Domain": "string",
+    "AccountName": "string",
+    "IntegrityLevel": "string",
+    "LogonId": "string",
     "SourcePort": "int",
+    "DestinationIp": "string",
     "DestinationPort": "int",
+    "DestinationHostname": "string",
+    "Protocol": "string",
+    "TargetFilename": "string",
+    "TargetObject": "string",
+    "EventType": "string",
+    "CreationUtcTime": "string",
+    "CurrentDirectory": "string",
+    "Hashes": "string",
+    "Company": "string",
+    "Description": "string",
+    "Product": "string",
+    "Version": "string",
+    "OriginalFileName": "string",
+    "FileVersion": "string",
+    "Signed": "string",
+    "Signature": "string",
+    "SignatureStatus": "string",
 }
-ALLOWED_FIELDS = tuple(NUMBER_FIELDS) + STRING_FIELDS
+ALLOWED_FIELDS = tuple(FIELDS)
+NUMBER_FIELDS = {name: kind for name, kind in FIELDS.items() if kind != "string"}
 
 # --- Fixed values: training metadata ------------------------------------------------------------
 LABEL_FIELD = "_label"
