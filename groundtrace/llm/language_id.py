@@ -4,7 +4,7 @@ Subwords are the byte n-grams of a lower-cased word with its borders, hashed to
 small embedding. A text's score is the softmax of a linear map of the mean embedding; since mean and map
 are linear, prediction sums one row of class scores per n-gram. Training is stochastic gradient descent
 in numpy over at most ``FIT_ROWS`` different labelled texts per language and some ``FIT_TOTAL`` in all, those of smallest
-hash, the only bounded sample: their counts are made in Spark tasks, the driver holds the counts. A fifth of the sample sets the temperature of the
+hash, the only bounded sample: their counts are made in Spark tasks and one task trains on them. A fifth of the sample sets the temperature of the
 scores and the level below which a prediction is rejected.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected. Without any
@@ -13,6 +13,7 @@ read whole, in pieces. Repeated rows are predicted alike. Extra columns pass thr
 gives an empty result.
 """
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -164,6 +165,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: i
         F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sample = _sample(labelled, rows, total, seed).select("label", "h", _spaced(F.col("text")).alias("text"))
 
+    counted = pa.schema([("label", pa.string()), ("h", pa.int64()), ("idx", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
+
     def count(batches):
         for batch in batches:
             got = _counts(batch.column("text"))
@@ -172,7 +175,17 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: i
                  pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))],
                 names=["label", "h", "idx", "n"])
 
-    found = sample.mapInArrow(count, "label string, h long, idx array<int>, n array<int>").toArrow()
+    def train(batches):
+        table = pa.Table.from_batches(list(batches), schema=counted)
+        yield pa.record_batch([pa.array([pickle.dumps(_fit(table, seed))], pa.binary())], names=["model"])
+
+    counts = sample.mapInArrow(count, "label string, h long, idx array<int>, n array<int>").repartition(1)
+    row = counts.mapInArrow(train, "model binary").first()
+    return pickle.loads(row["model"]) if row else Model([], np.zeros((BUCKETS + 1, 0)), np.zeros(0), 1.0, 0.0)
+
+
+def _fit(found: pa.Table, seed: int) -> Model:
+    """Train and calibrate on the counts of the sample, in one task: the sample is bounded."""
     label, h = found.column("label").to_pylist(), found.column("h").to_numpy()
     labels = sorted(set(label))
     if len(labels) < 2:
@@ -193,7 +206,6 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: i
         return np.concatenate([idx[i] for i in rows]), np.concatenate([val[i] for i in rows]), ptr, y[rows]
 
     scores, bias = _train(*matrix(np.flatnonzero(~hold)), len(labels), seed)
-    pa.default_memory_pool().release_unused()
     model = Model(labels, np.vstack([scores, np.zeros((1, len(labels)), np.float32)]), bias, 1.0, 0.0)
     test = np.flatnonzero(hold if hold.any() else ~hold)
     sums = np.array([val[i] @ scores[idx[i]] for i in test])
