@@ -11,6 +11,8 @@ takes part; its component is the smallest vec_id reachable, if any. A shard hold
 vectors on average. An empty table gives an empty result. Extra columns are ignored.
 """
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +24,7 @@ from groundtrace.llm.tables import Work, arrow_batches
 
 COSINE = 0.9
 SHARDS = 8  # at least; more where a shard would exceed SHARD_ROWS
-SHARD_ROWS = 1 << 17
+SHARD_ROWS = 1 << 16
 TASK_QUERIES = 1 << 14  # queries of one copy of a graph
 BEAM = 16
 AUDIT = 24  # audited queries of a batch
@@ -48,52 +50,67 @@ def _audited(graph: Graph, queries: np.ndarray, width: int, least: float) -> tup
         width *= 2
 
 
+def _build(members: DataFrame, work: Work) -> DataFrame:
+    """(shard, graph): the pickled ids, unit vectors and graph of each shard, built once."""
+    def run(batches):
+        shard, ids, rows = None, [], []
+
+        def made():
+            x = unit(rows)
+            hashed = (np.array(ids, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)
+            level = (-np.log((hashed.astype(np.float64) + 1) * 2.0 ** -53) / np.log(DEGREE)).astype(np.int64)
+            order = np.argsort(-level, kind="stable")
+            data = pickle.dumps((np.array(ids)[order], x[order], Graph(x[order], level[order])))
+            return pa.record_batch([pa.array([shard], pa.int64()), pa.array([data], pa.binary())], names=["shard", "graph"])
+
+        for batch in batches:
+            for home, cid, vector in zip(*(c.to_pylist() for c in batch.columns)):
+                if home != shard:
+                    if rows:
+                        yield made()
+                    shard, ids, rows = home, [], []
+                ids.append(cid)
+                rows.append(vector)
+        if rows:
+            yield made()
+
+    dealt = members.repartition("shard").sortWithinPartitions("shard", "cid").select("shard", "cid", "vector")
+    return work.store(dealt.mapInArrow(run, "shard long, graph binary"))
+
+
 def _search(dealt: DataFrame, cosine: float) -> DataFrame:
-    """(a, b) of the links between the queries and the members of each shard; members come before queries."""
+    """(a, b) of the links between the queries and the members of each shard; the graph comes before its queries."""
     def run(batches):
-        group, graph, width = None, None, BEAM
-        ids, rows, members, waiting, asked = [], [], None, [], []
+        group, held, width, waiting, asked = None, None, BEAM, [], []
 
         def answer():
-            nonlocal graph, width, members
-            if graph is None and rows:
-                x = unit(rows)
-                hashed = (np.array(ids, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)
-                level = (-np.log((hashed.astype(np.float64) + 1) * 2.0 ** -53) / np.log(DEGREE)).astype(np.int64)
-                order = np.argsort(-level, kind="stable")
-                members = (np.array(ids)[order], x[order])
-                graph = Graph(members[1], level[order])
-                rows.clear()
-            if graph is None or not waiting:
+            nonlocal width
+            if held is None or not waiting:
                 return None
+            members, vectors, graph = held
             x, names = unit(waiting), np.array(asked)
             q, m, width = _audited(graph, x, width, cosine - _SLACK)
-            a, b = names[q], members[0][m]
-            exact = np.einsum("ed,ed->e", x[q], members[1][m]) >= cosine
-            use = exact & (a != b)
+            a, b = names[q], members[m]
+            use = (np.einsum("ed,ed->e", x[q], vectors[m]) >= cosine) & (a != b)
             return pa.record_batch([pa.array(np.maximum(a, b)[use]), pa.array(np.minimum(a, b)[use])], names=["a", "b"])
 
         for batch in batches:
-            for shard, copy, query, cid, vector in zip(*(c.to_pylist() for c in batch.columns)):
-                if (shard, copy) != group:
+            for shard, copy, cid, vector, graph in zip(*(c.to_pylist() for c in batch.columns)):
+                if (shard, copy) != group or len(waiting) == BATCH:
                     if (found := answer()) is not None:
                         yield found
-                    group, graph, width = (shard, copy), None, BEAM
-                    ids, rows, members, waiting, asked = [], [], None, [], []
-                if query:
+                    waiting, asked = [], []
+                if (shard, copy) != group:
+                    group, held, width = (shard, copy), None, BEAM
+                if graph is not None:
+                    held = pickle.loads(graph)
+                else:
                     waiting.append(vector)
                     asked.append(cid)
-                    if len(waiting) == BATCH:
-                        if (found := answer()) is not None:
-                            yield found
-                        waiting, asked = [], []
-                else:
-                    ids.append(cid)
-                    rows.append(vector)
         if (found := answer()) is not None:
             yield found
 
-    return dealt.select("shard", "copy", "query", "cid", "vector").mapInArrow(run, "a long, b long")
+    return dealt.select("shard", "copy", "cid", "vector", "graph").mapInArrow(run, "a long, b long")
 
 
 def _links(classes: DataFrame, work: Work, cosine: float) -> DataFrame:
@@ -102,13 +119,16 @@ def _links(classes: DataFrame, work: Work, cosine: float) -> DataFrame:
     shards = max(SHARDS, -(-total // SHARD_ROWS))
     copies = max(1, -(-total // TASK_QUERIES))
     vector = classes.withColumn("dim", F.size("vector"))
-    home = F.pmod(F.xxhash64("cid"), F.lit(shards)) * 65536 + F.col("dim") % 65536
-    members = vector.select(home.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"),
-                            F.lit(False).alias("query"), "cid", "vector")
+    home = (F.pmod(F.xxhash64("cid"), F.lit(shards)) * 65536 + F.col("dim") % 65536).cast("long")
+    graphs = _build(vector.select(home.alias("shard"), "cid", "vector"), work)
+    empty = F.lit(None)
+    held = graphs.select("shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(False).alias("query"),
+                         empty.cast("long").alias("cid"), empty.cast("array<double>").alias("vector"), "graph")
     queries = vector.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(
         (F.col("s") * 65536 + F.col("dim") % 65536).cast("long").alias("shard"),
-        F.pmod(F.xxhash64("cid", F.lit(3)), F.lit(copies)).cast("int").alias("copy"), F.lit(True).alias("query"), "cid", "vector")
-    dealt = members.unionByName(queries).repartition(shards * copies, "shard", "copy").sortWithinPartitions(
+        F.pmod(F.xxhash64("cid", F.lit(3)), F.lit(copies)).cast("int").alias("copy"), F.lit(True).alias("query"), "cid", "vector",
+        empty.cast("binary").alias("graph"))
+    dealt = held.unionByName(queries).repartition(shards * copies, "shard", "copy").sortWithinPartitions(
         "shard", "copy", "query", "cid")
     return work.store(_search(dealt, cosine).distinct())
 
