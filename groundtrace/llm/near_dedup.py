@@ -5,11 +5,14 @@ only its smallest id goes on. ``TREES`` orders sort the classes by a signature o
 Classes that share the first ``BASE`` values of an order form a region. In a region of at most ``REGION``
 classes all are candidates of each other. In a larger one each class first is a candidate of the smallest class
 of its region and of the smallest that shares its longest prefix. What this leaves apart is compared in a second
-turn, region by region, at the smallest depth at which the pairs between different components are few.
+turn, region by region, at the smallest depth at which the pairs between different components are few. Members of
+regions that are put off to a greater depth get further orders, read at the last depth alone, as many as
+``last_orders`` takes from the threshold: a pair at the threshold is then missed there no more often than in small regions.
 
 Candidates are confirmed on the full sets (64-bit hashes of every shingle): first the most frequent candidate of
 each class, then all that still lie in different components. With 20 orders and a base of 4, a pair at the
-threshold 0.85 shares no region with probability 4e-7.
+threshold 0.85 shares no region with probability 4e-7, one at 0.8 with 2.6e-5; with 47 and 58 orders at the last
+depth the same holds for what is put off.
 
 Defined cases: null texts and texts without words have no set and stay alone. Rows of one doc_id are one
 document of the graph: they share a component, each row has its own n_shingles. Rows without a doc_id stay
@@ -17,6 +20,8 @@ alone, component null, kept. Texts are read whole, in pieces. Ties go to the sma
 an empty result. Extra columns are ignored.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,14 +54,23 @@ def shingle_sets(texts: pa.Array, k: int):
             yield np.zeros(0, _U)
 
 
-def _hashers() -> tuple[np.ndarray, np.ndarray]:
-    seeds = mix(np.arange(1, 2 * TREES * DEPTH + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
-    return seeds[:TREES * DEPTH] | _U(1), seeds[TREES * DEPTH:]
+def last_orders(percent: int) -> int:
+    """Orders besides TREES with which sharing no last prefix is as rare as sharing no region, at the threshold."""
+    s = percent / 100
+    if not 0 < s < 1:
+        return 0
+    return max(0, math.ceil(TREES * math.log1p(-s ** BASE) / math.log1p(-s ** DEPTH)) - TREES)
+
 
+def _hashers(before: int, trees: int) -> tuple[np.ndarray, np.ndarray]:
+    at = np.arange(1, 2 * trees * DEPTH + 1, dtype=_U) + _U(2 * before * DEPTH)
+    seeds = mix(at * _U(0x9E3779B97F4A7C15))
+    return seeds[:trees * DEPTH] | _U(1), seeds[trees * DEPTH:]
 
-def signature(values: np.ndarray) -> np.ndarray:
-    """TREES * DEPTH min-hashes of a non-empty set."""
-    factor, offset = _hashers()
+
+def signature(values: np.ndarray, before: int = 0, trees: int = TREES) -> np.ndarray:
+    """trees * DEPTH min-hashes of a non-empty set, for the orders after the first ``before``."""
+    factor, offset = _hashers(before, trees)
     least = np.full(len(factor), np.iinfo(_U).max, _U)
     for at in range(0, len(values), _CHUNK):
         part = values[at:at + _CHUNK, None] * factor[None, :] + offset[None, :]
@@ -64,10 +78,10 @@ def signature(values: np.ndarray) -> np.ndarray:
     return (mix(least) >> _U(32)).astype(np.uint32)
 
 
-def _keys(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _keys(sig: np.ndarray, before: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Per tree: a 64-bit key of the first BASE values, and the later values as prefix keys."""
-    sig = sig.reshape(TREES, DEPTH).astype(_U)
-    key = mix(np.arange(1, TREES + 1, dtype=_U))
+    sig = sig.reshape(-1, DEPTH).astype(_U)
+    key = mix(np.arange(before + 1, before + len(sig) + 1, dtype=_U))
     out = []
     for i in range(DEPTH):
         key = mix((key ^ sig[:, i]) * _U(0x9E3779B97F4A7C15) + _U(i))
@@ -125,6 +139,23 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int, id_col: str, text_col:
     return wanted.mapInArrow(run, "id long, set array<long>")
 
 
+def _last_keys(sets: DataFrame, orders: int) -> DataFrame:
+    """(p, id, n): the last prefix of every set in the orders after the first TREES."""
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            offsets = batch.column(1).offsets.to_numpy()
+            values = batch.column(1).values.to_numpy().view(_U)
+            n = np.diff(offsets).astype(np.int64)
+            keys = [_keys(signature(values[at:to], TREES, orders), TREES)[1][:, -1]
+                    for at, to in zip(offsets[:-1], offsets[1:])]
+            yield pa.record_batch([pa.array(np.concatenate(keys)), batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), orders))),
+                                   pa.array(np.repeat(n, orders))], names=["p", "id", "n"])
+
+    return sets.select("id", "set").mapInArrow(run, "p long, id long, n long")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     a = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
@@ -161,11 +192,31 @@ def _region_pairs(inside: DataFrame, percent: int) -> DataFrame:
     return pairs.unionByName(stars).groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
 
 
-def _left_over(inside: DataFrame, found: DataFrame, work: Work, percent: int) -> DataFrame:
+def _split_regions(level: DataFrame) -> DataFrame:
+    """Members of the regions ``p`` that lie in several components, with the largest of these and the rows outside it."""
+    parts = level.groupBy("p", "c").agg(F.count(F.lit(1)).alias("k"))
+    regions = parts.groupBy("p").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("m"),
+                                     F.count(F.lit(1)).alias("parts")).filter("parts > 1").select(
+        F.col("p").alias("q"), F.col("top.c").alias("main"), "m", (F.col("m") - F.col("top.k")).alias("few"))
+    return level.join(regions, F.col("p") == F.col("q")).drop("q")
+
+
+def _across(here: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a region between different components."""
+    few = here.filter("c <> main").select("p", F.col("id").alias("x"), F.col("n").alias("nx"),
+                                          F.col("c").alias("cx"))
+    return few.join(here.select("p", "id", "n", "c", "main"), "p").filter(
+        ((F.col("c") == F.col("main")) | (F.col("c") < F.col("cx"))) & (F.col("c") != F.col("cx"))
+        & _near_sizes("nx", "n", percent)).select(
+        F.greatest("x", "id").alias("a"), F.least("x", "id").alias("b")).distinct()
+
+
+def _left_over(inside: DataFrame, found: DataFrame, sets: DataFrame, work: Work, percent: int) -> DataFrame:
     """Candidates of the second turn: pairs of a large region in different components.
 
     A region is compared at the smallest depth at which those who are not in its largest component, held
     against all, make at most REGION pairs for each class; at the last depth all that is left is compared.
+    Whoever was in a region put off is also compared by the last prefixes of the further orders.
     """
     large = inside.filter(F.col("m") > REGION).select("key", "id", "n", "deeper")
     own = found.select(F.col("node").alias("id"), "component")
@@ -173,25 +224,20 @@ def _left_over(inside: DataFrame, found: DataFrame, work: Work, percent: int) ->
         F.col("key").alias("p"), "id", "n", "deeper", F.coalesce("component", "id").alias("c")))
     out = None
     for depth in range(BASE, DEPTH + 1):
-        parts = level.groupBy("p", "c").agg(F.count(F.lit(1)).alias("k"))
-        regions = parts.groupBy("p").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("m"),
-                                         F.count(F.lit(1)).alias("parts")).filter("parts > 1").select(
-            F.col("p").alias("q"), F.col("top.c").alias("main"), "m", (F.col("m") - F.col("top.k")).alias("few"))
-        joined = work.store(level.join(regions, F.col("p") == F.col("q")).drop("q"))
+        joined = work.store(_split_regions(level))
         now = F.lit(True) if depth == DEPTH else F.col("few") <= REGION
-        here = joined.filter(now)
-        few = here.filter("c <> main").select("p", F.col("id").alias("x"), F.col("n").alias("nx"),
-                                              F.col("c").alias("cx"))
-        pairs = few.join(here.select("p", "id", "n", "c", "main"), "p").filter(
-            ((F.col("c") == F.col("main")) | (F.col("c") < F.col("cx"))) & (F.col("c") != F.col("cx"))
-            & _near_sizes("nx", "n", percent)).select(
-            F.greatest("x", "id").alias("a"), F.least("x", "id").alias("b")).distinct()
+        pairs = _across(joined.filter(now), percent)
         out = pairs if out is None else out.unionByName(pairs)
         if depth == DEPTH:
             break
         rest = joined.filter(~now)
         if not rest.limit(1).count():
             break
+        if depth == BASE and last_orders(percent):
+            off = rest.select("id").distinct()
+            keys = _last_keys(sets.join(off, "id", "left_semi"), last_orders(percent)).join(own, "id", "left").select(
+                "p", "id", "n", F.coalesce("component", "id").alias("c"))
+            out = out.unionByName(_across(work.store(_split_regions(work.store(keys))), percent))
         level = rest.select(F.col("deeper")[depth - BASE].alias("p"), "id", "n", "deeper", "c")
     return out.distinct()
 
@@ -224,7 +270,7 @@ def near_duplicates(docs: DataFrame, work: Work, shingle: int = SHINGLE, percent
         links = links.unionByName(more)
         found = work.store(components(links, work))
     if inside.filter(F.col("m") > REGION).limit(1).count():
-        rest = work.store(_confirm(_left_over(inside, found, work, percent), sets, percent))
+        rest = work.store(_confirm(_left_over(inside, found, sets, work, percent), sets, percent))
         links = links.unionByName(rest)
         changed = rest.limit(1).count()
     else:

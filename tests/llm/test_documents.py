@@ -33,6 +33,17 @@ def test_near_duplicates_of_large_regions(make_docs, work):
     assert by_id(got, "id", "n_shingles", "component", "kept") == brute.near(docs, 3, 85)
 
 
+def test_near_duplicates_of_pairs_on_one_template(make_docs, work):
+    template = [f"t{i}" for i in range(700)]
+    docs = []
+    for g in range(250):
+        group = template + [f"g{g}x{i}" for i in range(40)]
+        docs += [(2 * g + j, " ".join(group + [f"d{g}x{j}x{i}" for i in range(90)])) for j in range(2)]
+    assert near_dedup.last_orders(80) == 38
+    got = near_dedup.near_duplicates(make_docs(docs), work, 1, 80)
+    assert by_id(got, "id", "n_shingles", "component", "kept") == brute.near(docs, 1, 80)
+
+
 def test_near_duplicates_odd_rows(make_docs, work):
     same = "one two three four five six"
     rows = [(3, same), (1, same), (1, same), (None, same), (1, "a b c d e f g"), (9, "a b c d e f g"), (None, None)]
