@@ -251,7 +251,8 @@ def near_duplicates(docs: DataFrame, work: Work, shingle: int = SHINGLE, percent
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     first = rep.select("rep", "n", F.col("c1").alias("r1"), F.col("c2").alias("r2"))
     heads = named.join(first.select("rep", "r1", "r2"), (F.col("id") == F.col("rep")) & (F.col("c1") == F.col("r1"))
-                       & (F.col("c2") == F.col("r2"))).select("id", "n", "keys", "deeper").dropDuplicates(["id", "n"])
+                       & (F.col("c2") == F.col("r2"))).select("id", "n", "c1", "c2", "keys", "deeper").dropDuplicates(
+        ["id", "n", "c1", "c2"])  # one doc_id may head several sets, also of one size
     width = DEPTH - BASE
     members = heads.select("id", "n", F.posexplode("keys").alias("t", "key"), "deeper").select(
         "id", "n", "key", F.slice("deeper", F.col("t") * width + 1, F.lit(width)).alias("deeper"))

@@ -56,6 +56,13 @@ def test_near_duplicates_odd_rows(make_docs, work):
     assert kept.columns == make_docs([]).columns and kept.count() == 5
 
 
+def test_near_duplicates_of_two_sets_under_one_id(make_docs, work):
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a[:-1] + ["x"])), (3, " ".join(b[:-1] + ["x"]))]
+    got = near_dedup.near_duplicates(make_docs(rows), work, 3, 85)
+    assert sorted((r.id, r.component) for r in got.collect()) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
 def test_exact_deduplication(make_docs, work, corpus, spark):
     index = exact_dedup.DigestIndex(spark, f"{work.folder}/index", 4)
     rows = corpus + [(200, corpus[0][1]), (None, corpus[0][1]), (200, corpus[0][1])]
