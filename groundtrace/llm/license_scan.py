@@ -1,8 +1,8 @@
 """Licence scans: TF-IDF cosine to licence templates, then inheritance from the nearest directory.
 
-Every line of a file, and the file as a whole, is a sparse vector of word counts times inverse document frequency,
-held against short templates by cosine. The best line of at least ``LINE_COSINE`` is the file's own licence; a file
-that as a whole reaches ``FILE_COSINE`` is a licence file of its directory. A file without a licence of its own takes
+Every line of a file, every run of lines as long as a wrapped notice can be, and the file as a whole, is a sparse vector
+of word counts times inverse document frequency, held against short templates by cosine. Lines without words are
+skipped in runs. The best line or run of at least ``LINE_COSINE`` is the file's own licence; a file that as a whole reaches ``FILE_COSINE`` is a licence file of its directory. A file without a licence of its own takes
 that of the nearest directory above it, found by joins on the paths of the directories.
 
 Frequencies are counted over all files for the words of the templates; other words count as unseen. Lines without one
@@ -10,7 +10,7 @@ of the templates' telling words are passed over: without them the cosine stays b
 Cauchy-Schwarz bound, whatever else they hold.
 
 Defined cases: null and empty texts have no licence of their own. A null path neither gives nor takes one. Ties go to the
-earlier template, then the earlier line; of several licence files in a directory the closest counts, then the
+earlier template, then the earlier line, then the shorter run; of several licence files in a directory the closest counts, then the
 smallest path. Repeated rows have equal results. Texts are read whole. An empty table gives an empty result. Extra
 columns are ignored.
 """
@@ -25,6 +25,7 @@ from groundtrace.llm.words import buffers, words
 
 LINE_COSINE = 0.7
 FILE_COSINE = 0.5
+RUNS = 4096
 
 # Notices by which licences are stated.
 TEMPLATES = (
@@ -39,8 +40,20 @@ TEMPLATES = (
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
                 "General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("GPL-2.0", "This program is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                "General Public License as published by the Free Software Foundation; either version 2 of the License, or "
+                "(at your option) any later version."),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                 "Lesser General Public License as published by the Free Software Foundation, either version 3 of the "
+                 "License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                 "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the "
+                 "License, or (at your option) any later version."),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                 "Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+                 "License, or (at your option) any later version."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted "
                      "provided that the following conditions are met"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
@@ -85,6 +98,7 @@ class Templates:
                 break
             common[term] = True
         self.telling = ~common
+        self.longest = int(self.counts.sum(axis=0).max())
 
     def index(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
@@ -112,6 +126,47 @@ class Templates:
         return marked, best, cosine[np.arange(len(best)), best]
 
 
+def _runs(known: Templates, line: np.ndarray, doc: np.ndarray, term: np.ndarray, least: float):
+    """First and last + 1 word of the runs of two or more lines that may reach ``least``, by first line, then length.
+
+    Words of a run that repeat only add to its norm, so sums over lines bound the cosine from above. A run begins and
+    ends with a line that holds a template word, and has at most twice as many words as the longest template.
+    """
+    none = np.zeros(0, np.int64)
+    if not len(line):
+        return none, none
+    first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+    edge = np.r_[first, len(line)]
+    n, of = len(first), doc[first]
+    seen = np.flatnonzero(term >= 0)
+    row = (np.searchsorted(first, seen, "right") - 1)
+    weight = known.idf[term[seen]]
+    dots = np.stack([np.bincount(row, weight * v[term[seen]], n) for v in known.vectors.T], axis=1)
+    square = np.add.reduceat(np.where(term >= 0, known.idf[np.maximum(term, 0)], known.unseen) ** 2, first)
+    holds = dots.max(axis=1) > 0
+    at, size = np.flatnonzero(holds), 1
+    dot, norm = dots[at].copy(), square[at].copy()
+    begin, end = [], []
+    while True:
+        to = at + size
+        go = to < n
+        go[go] = (of[to[go]] == of[at[go]]) & (edge[to[go] + 1] - edge[at[go]] <= 2 * known.longest)
+        at, dot, norm, to = at[go], dot[go], norm[go], to[go]
+        if not len(at):
+            break
+        dot += dots[to]
+        norm += square[to]
+        size += 1
+        hit = holds[to] & (dot.max(axis=1) >= (least - 1e-9) * np.sqrt(norm))
+        begin.append(edge[at[hit]])
+        end.append(edge[to[hit] + 1])
+    if not begin:
+        return none, none
+    begin, end = np.concatenate(begin), np.concatenate(end)
+    order = np.lexsort((end, begin))
+    return begin[order], end[order]
+
+
 def _frequencies(files: DataFrame, templates: Templates, text_col: str) -> tuple[np.ndarray, int]:
     """Files that hold each template word, and the number of files: one small row for each batch."""
     size = len(templates.terms)
@@ -153,7 +208,17 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
             unit, best, cosine = unit[good], best[good], cosine[good]
             at = doc[np.searchsorted(line, unit)] if len(unit) else unit
             base = np.searchsorted(breaks, buffers(batch.column(1))[1][:-1])
-            for u, d, b, c in zip(unit, at, best, cosine):
+            start, end = _runs(known, line, doc, term, LINE_COSINE)
+            for k in range(0, len(start), RUNS):  # words of runs overlap: some runs at a time
+                s, size = start[k:k + RUNS], (end - start)[k:k + RUNS]
+                run_of = np.repeat(np.arange(len(s)), size)
+                word = np.arange(len(run_of)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(s, size)
+                u, b, c = known.closest(run_of, w.hash[word], term[word])
+                good = c >= LINE_COSINE
+                unit, at = np.r_[unit, line[s[u[good]]]], np.r_[at, doc[s[u[good]]]]
+                best, cosine = np.r_[best, b[good]], np.r_[cosine, c[good]]
+            order = np.argsort(unit, kind="stable")
+            for u, d, b, c in zip(unit[order], at[order], best[order], cosine[order]):
                 if c > score[d]:
                     own[d], score[d], place[d] = names[b], c, u - d - base[d]
             whole, whole_score = np.full(n, None, object), np.zeros(n)

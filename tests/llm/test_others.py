@@ -214,6 +214,24 @@ def test_licences(spark, work):
     assert license_scan.with_inherited(license_scan.scan(empty), work).count() == 0
 
 
+def test_wrapped_licence_headers(spark):
+    gnu = ("# Copyright 2020 Some Body\n#\n# This {0} is free software{1} you can redistribute it and/or modify\n"
+           "# it under the terms of the GNU {2}General Public License as published by\n"
+           "# the Free Software Foundation{3} either version {4} of the License, or\n# (at your option) any later version.\n"
+           "#\nimport os\nprint(os.name)\n")
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy\n"
+           "of this software and associated documentation files (the \"Software\"), to deal\n"
+           "in the Software without restriction, including without limitation the rights\n")
+    texts = {"GPL-3.0": gnu.format("program", ":", "", ",", 3), "AGPL-3.0": gnu.format("program", ":", "Affero ", ",", 3),
+             "LGPL-3.0": gnu.format("program", ":", "Lesser ", ",", 3), "GPL-2.0": gnu.format("program", ";", "", ";", 2),
+             "LGPL-2.1": gnu.format("library", ";", "Lesser ", ";", 2.1), "MIT": mit, "none": "import os\n" * 5}
+    rows = list(texts.items()) + [(f"x{i}", f"words of file {i}\nand of the free version") for i in range(60)]
+    found = {r.path: (r.own, r.line) for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {p: found[p][0] for p in texts} == {p: p if p != "none" else None for p in texts}
+    assert found["AGPL-3.0"][1] == 2 and found["MIT"][1] == 0
+    assert all(found[f"x{i}"] == (None, -1) for i in range(60))
+
+
 def test_licence_cosine_by_hand(spark):
     texts = ["alpha beta", "All rights reserved.", "all rights reserved to beta and gamma", None]
     files = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
