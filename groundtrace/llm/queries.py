@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundtrace.llm import exact_dedup, language_id, license_scan, line_dedup, mixing, near_dedup, passage_dedup, pieces, vector_dedup, warc
+from groundtrace.llm import conversation_repair, exact_dedup, language_id, license_scan, line_dedup, mixing, near_dedup, passage_dedup, pieces, quality, vector_dedup, warc, whitening
 from groundtrace.llm.tables import Work
 
 
@@ -85,10 +85,42 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved(records).drop("url")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is null where a long cannot hold it, with some 10^8 vectors and more."""
+    rows = whitening.whiten(_table(spark, sf_dir, "embeddings"), Work(spark, "whitening"), "vec_id", "embedding")
+    return rows.select(F.col("id").alias("vec_id"), "component", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"),
+                       "whitened", "explained", "identity_error")
+
+
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """Rows changed by their key: dropped, emptied, without ends of sentences, repeated, or given to the user."""
+    shown = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    fault = F.crc32(F.concat(shown["conv_id"], F.lit(":"), shown["turn"])) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.translate(shown["text"], ".!?", "")).otherwise(shown["text"])
+    return turns.select("conv_id", "turn", F.when(fault == 4, "user").otherwise(shown["role"]).alias("role"), text.alias("text"),
+                        (fault != 0).alias("present"),
+                        F.explode(F.array_repeat(F.lit(1), F.when(fault == 3, 2).otherwise(1))).alias("copy"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversation_repair.repair(damaged_turns(_table(spark, sf_dir, "conversations")), present="present")
+    return found.select(F.col("conv").alias("conv_id"), *conversation_repair.COUNTS, F.col("edits").alias("audit"),
+                        F.col("digest").alias("repaired_sha256"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = quality.fit(docs, labels.filter(~held_out))
+    return quality.score(docs.withColumn("held_out", held_out), model).select(
+        "doc.doc_id", "doc.held_out", "quality.score", (F.col("quality.score") >= 0.7).cast("int").alias("predicted"),
+        "quality.difference", "quality.good_bytes", "quality.bad_bytes")
+
+
 QUERIES = {"op1_language_id": op1_language_id, "op2_license_scan": op2_license_scan, "op3_sentencepiece": op3_sentencepiece,
            "op4_mixing": op4_mixing, "op5_line_dedup": op5_line_dedup, "op6_vector_dedup": op6_vector_dedup, "op7_near_dedup": op7_near_dedup,
            "op8_exact_dedup": op8_exact_dedup, "op9_passage_dedup": op9_passage_dedup,
-           "op10_warc": op10_warc}
+           "op10_warc": op10_warc, "op11_whitening": op11_whitening, "op12_repair": op12_repair, "op13_quality": op13_quality}
 
 ORACLE = {
     "op5_line_dedup": r"""
@@ -128,6 +160,72 @@ ORACLE = {
                t.vec_id = least(t.vec_id, coalesce(c.m, t.vec_id)) AS kept
         FROM embeddings t LEFT JOIN (SELECT a, count(*) AS k FROM l GROUP BY a) n ON n.a = t.vec_id
         LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) c ON c.a = t.vec_id""",
+    "op12_repair": r"""
+        WITH RECURSIVE k AS (
+          SELECT *, list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, _:
+            CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t,
+            list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                           lambda ch: ascii(ch)::BIGINT) AS bytes
+          FROM conversations),
+        f AS (
+          SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 xor(list_reduce([4294967295] || bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fault
+          FROM k),
+        d AS (
+          SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+                 CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                 unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy
+          FROM f WHERE fault <> 0),
+        g AS (
+          SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen,
+                 right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS final FROM d),
+        l AS (
+          SELECT conv_id, turn, role, text, left(role, 1) AS r,
+                 CASE WHEN final = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+                 row_number() OVER w AS i, lag(left(role, 1)) OVER w AS before
+          FROM g WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, seen)),
+        c AS (
+          SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                 count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+                 count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+                 count(*) FILTER (WHERE before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal
+          FROM l GROUP BY conv_id),
+        ins(q, p, n) AS (VALUES (0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (0, 2, 1), (1, 2, 1), (2, 3, 1), (3, 2, 1),
+                                (0, 3, 2), (1, 3, 2), (2, 2, 2), (3, 3, 2)),
+        keep(q, r, p) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+        way(conv_id, i, q, b) AS (
+          SELECT conv_id, 0::BIGINT, 0, {'c': 0::BIGINT, 'a': ''} FROM c
+          UNION ALL
+          SELECT o.conv_id, o.i, o.p, min({'c': o.c, 'a': o.a}) FROM (
+            SELECT way.conv_id, way.i + 1 AS i, e.p AS p, way.b.c + 2 * ins.n + e.c AS c, way.b.a || repeat('I', ins.n) || e.a AS a
+            FROM way JOIN l ON l.conv_id IS NOT DISTINCT FROM way.conv_id AND l.i = way.i + 1 JOIN ins ON ins.q = way.q,
+            LATERAL (
+              SELECT ins.p AS p, 3 AS c, 'D' AS a
+              UNION ALL SELECT CASE WHEN ins.p = 2 THEN 3 ELSE 2 END, 2 + (l.fault IS NOT NULL)::INT, 'R' WHERE coalesce(l.fault, '') NOT IN ('blank', 'duplicate')
+              UNION ALL SELECT keep.p, (l.fault IS NOT NULL)::INT, 'K' FROM keep
+                WHERE keep.q = ins.p AND keep.r = l.r AND coalesce(l.fault, '') NOT IN ('blank', 'duplicate')) e) o
+          GROUP BY o.conv_id, o.i, o.p),
+        best AS (
+          SELECT c.conv_id, min({'c': way.b.c + 2 * ins.n, 'a': way.b.a || repeat('I', ins.n)}) AS b
+          FROM c JOIN way ON way.conv_id IS NOT DISTINCT FROM c.conv_id AND way.i = c.n JOIN ins ON ins.q = way.q AND ins.p IN (0, 3)
+          GROUP BY c.conv_id),
+        s AS (
+          SELECT conv_id, length(replace(b.a, 'D', '')) AS m, unnest(string_split(b.a, '')) AS e, generate_subscripts(string_split(b.a, ''), 1) AS x
+          FROM best),
+        p AS (
+          SELECT *, count(*) FILTER (WHERE e <> 'I') OVER w AS i, count(*) FILTER (WHERE e <> 'D') OVER w AS place
+          FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY x)),
+        h AS (
+          SELECT p.conv_id, string_agg(
+            CASE WHEN e = 'K' THEN l.role WHEN (place - m % 2) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(l.text, ''),
+            chr(10) ORDER BY place) AS whole
+          FROM p LEFT JOIN l ON l.conv_id IS NOT DISTINCT FROM p.conv_id AND l.i = p.i AND p.e <> 'I'
+          WHERE p.e NOT IN ('D', '') GROUP BY p.conv_id)
+        SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+               coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, coalesce(best.b.c, 0) AS cost,
+               coalesce(best.b.a, '') AS audit, sha256(coalesce(h.whole, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM o.conv_id""",
     "op10_warc": r"""
         WITH p AS (
           SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
