@@ -685,6 +685,14 @@ ORACLE: dict[str, str] = {
     "page_obfuscation": text_flags("pages", "page_id", "html"),
     "rule_hits_long": f"""{EVENTS}, r(rule, indicator) AS (VALUES {LISTED_RULES})
         SELECT event_key, rule, indicator FROM f JOIN r ON contains(lc, indicator)""",
+    "rule_table_hits": """WITH r AS (
+          SELECT DISTINCT rule, trim(part) AS indicator FROM (
+            SELECT item_id::VARCHAR AS rule, unnest(string_split(lower(text), '.')) AS part FROM benchmark)
+          WHERE trim(part) <> ''),
+        c AS (
+          SELECT 'd' || doc_id AS event_key, lower(coalesce(text, '')) AS lc FROM documents
+          UNION ALL SELECT concat_ws('-', 'c', conv_id, turn), lower(coalesce(text, '')) FROM conversations)
+        SELECT event_key, rule, indicator FROM c JOIN r ON contains(lc, indicator)""",
     "technique_summary": f"""{EVENTS}, x AS (SELECT label, {columns(technique)} FROM f)
         SELECT label, count(*) AS events, sum(apt_lotl_score)::BIGINT AS indicator_hits,
         sum(apt_lotl_detected)::BIGINT AS detected, sum(high_confidence_apt)::BIGINT AS high_confidence

@@ -235,6 +235,23 @@ def rule_hits_long(spark, sf_dir):
     return tr.rule_hits(process_events(spark, sf_dir))
 
 
+def benchmark_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules from a table: the different sentences of each benchmark item."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("rule"), F.lower("text").alias("text"))
+    sentences = items.select("rule", F.explode(F.split("text", r"\.")).alias("part")).select("rule", F.trim("part").alias("indicator"))
+    return sentences.filter("indicator <> ''").distinct()
+
+
+@query
+def rule_table_hits(spark, sf_dir):
+    """Every whole document and conversation turn against a table of rules."""
+    documents = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("event_key"),
+                                                         F.col("text").alias("CommandLine"))
+    turns = table(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", F.lit("c"), "conv_id", "turn").alias("event_key"), F.col("text").alias("CommandLine"))
+    return tr.rule_hits(documents.unionAll(turns), benchmark_rules(spark, sf_dir))
+
+
 @query
 def technique_summary(spark, sf_dir):
     """Technique flags per label: the flagship summary."""

@@ -8,6 +8,7 @@ from groundtrace.functions import text as t
 from groundtrace.functions.paths import basename
 from groundtrace.operators.native_rules import points, total
 from groundtrace.operators.prepare import field, image_of, user_of
+from groundtrace.operators.rule_join import joined_hits
 
 
 def _first_hit(words: tuple[str, ...], *texts: Column) -> Column:
@@ -100,9 +101,6 @@ def heuristic_verdict(df: DataFrame, verdict: Column | None = None) -> DataFrame
     return scored.withColumn("heuristic_reasons", reasons).drop("_c", "_l", "_e", "_u", "_g")
 
 
-ANCHOR = 4  # characters of an indicator that are looked up before it is compared
-
-
 def technique_rule_list() -> list[tuple[str, str]]:
     return [(rule, word) for rule, words in v.TECHNIQUE_INDICATORS.items() for word in words]
 
@@ -116,33 +114,9 @@ def rule_hits(df: DataFrame, rules: list[tuple[str, str]] | DataFrame | None = N
     """
     staged = df.select(*keep, F.lower(t.nz(field(df, "CommandLine"))).alias("_lc"))
     if isinstance(rules, DataFrame):
-        return _joined_hits(staged, rules, keep)
+        return joined_hits(staged, rules, keep)
     listed = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(w).alias("indicator"))
                        for r, w in (technique_rule_list() if rules is None else rules)])
     found = F.filter(listed, lambda r: F.contains(F.col("_lc"), r["indicator"]))
     # The outer form spares a second evaluation of the array as a filter at the scan.
     return staged.select(*keep, F.inline_outer(found)).filter(F.col("rule").isNotNull())
-
-
-def _joined_hits(staged: DataFrame, rules: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """Indicators by their first characters: a command's grams meet the rules of that beginning.
-
-    Only digests and grams travel; candidates then come back to the commands and are compared. An empty
-    indicator is found in every command, a null one in none.
-    """
-    known = rules.select("rule", "indicator").filter(F.col("indicator").isNotNull()).distinct()
-    anchors = known.select("rule", "indicator", F.substring("indicator", 1, ANCHOR).alias("_anchor"))
-    sizes = [r[0] for r in anchors.select(F.length("_anchor")).distinct().collect()]  # at most ANCHOR + 1 rows
-    digest = F.struct(F.xxhash64("_lc").alias("a"), F.xxhash64(F.lit(1), F.col("_lc")).alias("b"))
-    keyed = staged.withColumn("_digest", digest)
-    starts = F.sequence(F.lit(1), F.length("_lc") + 1)
-
-    def grams_of(size: int) -> Column:
-        cut = F.transform(starts, lambda i: F.substring(F.col("_lc"), i, F.lit(size)))
-        return F.filter(cut, lambda g: F.length(g) == size)
-
-    grams = F.array_distinct(F.flatten(F.array(*map(grams_of, sizes)))) if sizes else F.array().cast("array<string>")
-    met = keyed.select("_digest", F.explode(grams).alias("_gram")).join(
-        anchors, F.col("_gram") == F.col("_anchor")).select(F.col("_digest").alias("_d"), "rule", "indicator").distinct()
-    return keyed.join(met, F.col("_digest") == F.col("_d")).filter(
-        F.contains("_lc", "indicator")).select(*keep, "rule", "indicator")

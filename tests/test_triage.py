@@ -120,3 +120,38 @@ def test_computed_filters_stay_above_their_columns(spark):
     scored = tr.heuristic_verdict(process_events(spark, SF.replace("0.001", "0.01"))).withColumnRenamed("heuristic_verdict", "prediction")
     plan = lb.misclassified(scored)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"- Filter \(", plan)) == 1 and "_task" in plan
+
+
+def test_rules_of_one_beginning_meet_few_commands(spark):
+    """20,000 rules and 3,000 commands that all begin alike: by first characters that would be 60 million pairs."""
+    from groundtrace.operators import rule_join
+
+    rules = spark.range(20_000).select(F.concat(F.lit("net use share"), F.md5(F.col("id").cast("string"))).alias("indicator"))
+    texts = spark.range(3_000).select(F.concat(F.lit("net use share"), F.md5((F.col("id") * 7).cast("string")), F.lit(" /y")).alias("text"))
+    commands = texts.select(F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")).alias("digest"), "text")
+    pairs = rule_join.candidates(commands, rules)
+    assert pairs.count() <= 20_000  # a gram of five hexadecimal digits at least is particular to a rule or missing
+    events = texts.select(F.monotonically_increasing_id().alias("event_key"), F.col("text").alias("CommandLine"))
+    hits = tr.rule_hits(events, rules.withColumn("rule", F.lit("r")))
+    assert hits.count() == sum(1 for i in range(3_000) if i * 7 < 20_000)
+    assert hits.select("event_key").distinct().count() == hits.count()
+
+
+def test_frequent_grams_are_salted(spark):
+    from groundtrace.operators import rule_join
+
+    commands = spark.range(500).select(F.struct(F.xxhash64("id").alias("a"), F.xxhash64(F.lit(1), "id").alias("b")).alias("digest"),
+                                       F.concat(F.lit("aaaa"), F.col("id").cast("string")).alias("text"))
+    rules = spark.createDataFrame([("aaaa",), ("aaaaa",), ("aaa",), ("",)], "indicator string")
+    few = rule_join.candidates(commands, rules, hot=7).collect()
+    assert sorted(map(str, few)) == sorted(map(str, rule_join.candidates(commands, rules).collect()))
+    assert len(few) == 2_000  # the grams of the second are those of the first; the comparison rejects it
+
+
+def test_rules_in_long_texts(spark):
+    text = "".join(chr(97 + i * i % 23) for i in range(200_000)) + " the Needle é at the end"
+    events = spark.createDataFrame([(1, text), (2, text[:65_536 + 2]), (3, None)], "event_key long, CommandLine string")
+    rules = spark.createDataFrame([("a", "needle é"), ("b", text[65_530:65_545]), ("c", text[250:262]), ("d", "é")], "rule string, indicator string")
+    known = [("a", "needle é"), ("b", text[65_530:65_545]), ("c", text[250:262]), ("d", "é")]
+    want = sorted((k, r) for k, t in ((1, text.lower()), (2, text[:65_538])) for r, w in known if w in t)
+    assert sorted((h.event_key, h.rule) for h in tr.rule_hits(events, rules).collect()) == want
