@@ -589,6 +589,18 @@ AUGMENTED = f"""{EVENTS}, o AS (SELECT *, row_number() OVER (ORDER BY {in_order(
       ELSE nullif(cmd, '') END, {flipped('img_main')}, {flipped('img_source')}
   FROM o WHERE r <= floor(n * 0.5::DOUBLE)"""
 
+# The same changes for each fold's training side, under the seed of that fold.
+PER_FOLD = f"""{EVENTS}{JUDGED}{FOLDS}, m AS (SELECT n.*, i AS for_fold FROM n JOIN range(1, 6) r(i) ON i <> fold),
+  o AS (SELECT *, row_number() OVER (PARTITION BY for_fold ORDER BY {in_order(42, 'event_key', 'augment')}) AS r,
+    count(*) OVER (PARTITION BY for_fold) AS size FROM m),
+  copies AS (SELECT event_key, label, fold::INTEGER AS fold, for_fold::INTEGER AS for_fold,
+    CASE WHEN {WAY} = 0 AND cmd <> '' AND {uniform(42, KEY, 'case')} < 0.3 THEN {SHOUTED}
+      WHEN {WAY} = 2 AND cmd <> '' AND {uniform(42, KEY, 'space')} < 0.3 THEN {SQUEEZED}
+      ELSE nullif(cmd, '') END AS CommandLine, {flipped('img_main')} AS Image, {flipped('img_source')} AS SourceImage
+    FROM o WHERE r <= floor(size * 0.5::DOUBLE))""".replace("'42:augment:'", "(42 + for_fold) || ':augment:'")
+for _salt in ("technique", "case", "space", "trail", "path", "word"):
+    PER_FOLD = PER_FOLD.replace(f"'42:{_salt}:'", f"(42 + for_fold) || ':{_salt}:'")
+
 LISTED_RULES = values((r, w) for r, ws in v.TECHNIQUE_INDICATORS.items() for w in ws)
 Z_COLUMNS = {"cmdline_length": "len", "num_dashes": command["num_dashes"],
              "native_binary_abuse_score": native["native_binary_abuse_score"],
@@ -769,6 +781,21 @@ ORACLE: dict[str, str] = {
     "keyed_predictions": f"""{EVENTS} SELECT event_key, label, toxic AS prediction
         FROM f JOIN labels ON doc_id = event_key WHERE quality <> 0""",
     "augment_sample": AUGMENTED,
+    "augment_folds": f"{PER_FOLD} SELECT event_key, fold, for_fold, CommandLine, Image, SourceImage FROM copies",
+    "failure_cases": f"""{EVENTS}{JUDGED} SELECT event_key, label AS ground_truth, prediction AS model_prediction,
+        rpred AS reviewer_prediction, CASE WHEN rpred = label THEN {PATTERN} END AS failure_pattern,
+        CASE WHEN rpred = label THEN {EVIDENCE} END AS evidence FROM j WHERE rpred <> prediction""",
+    "stream_json": f"""{EVENTS}{JUDGED} SELECT event_key, hscore AS heuristic_score, prediction AS heuristic_verdict,
+        NULL AS bad_line FROM j WHERE event_key % 997 <> 5
+        UNION ALL SELECT NULL, NULL, NULL, left('{{"event_key":' || event_id || ',"EventID":"', 20)
+        FROM events WHERE event_id % 997 = 5""",
+    "single_event_latency": "SELECT 'single_event' AS stage, least(count(*), 10) AS runs, true AS ordered FROM events",
+    "entropy_long_documents": f"""WITH {entropy_of('documents', 'doc_id', 'text')}
+        SELECT doc_id, round(coalesce(h, 0.0), 6) AS entropy
+        FROM documents LEFT JOIN ent ON ent.k = doc_id""",
+    "entropy_long_pages": f"""WITH {entropy_of('pages', 'page_id', 'html')}
+        SELECT page_id, round(coalesce(h, 0.0), 6) AS entropy
+        FROM pages LEFT JOIN ent ON ent.k = page_id""",
     "local_contributions": f"""{CONTRIBUTIONS} SELECT event_key, rank::INTEGER AS rank, feature,
         round(value, 6) AS value, round(contribution, 6) AS contribution FROM t""",
     "drivers": f"""{CONTRIBUTIONS}{DRIVERS} SELECT event_key, concat_ws('; ', 'Key indicators: ' || a,

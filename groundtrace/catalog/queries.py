@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from groundtrace import schema
 from groundtrace import vocabulary as v
-from groundtrace.catalog.binding import as_process_events, process_events
+from groundtrace.catalog.binding import as_process_events, process_events, raw_process_events
 from groundtrace.functions import text as t
 from groundtrace.operators import contributions as co
 from groundtrace.operators import forest as fo
@@ -22,7 +22,7 @@ from groundtrace.operators import triage as tr
 from groundtrace.operators.base_fields import RuleOptions
 from groundtrace.operators.event_rules import embedding_summary as summarise_vectors
 from groundtrace.operators.feature_table import FEATURES, feature_group, feature_table
-from groundtrace.operators.obfuscation import text_entropy, text_obfuscation
+from groundtrace.operators.obfuscation import long_text_entropy, text_entropy, text_obfuscation
 from groundtrace.plans import comparison as cp
 from groundtrace.plans import scoring as sc
 from groundtrace.plans import training as tn
@@ -188,6 +188,18 @@ def entropy_documents(spark, sf_dir):
     return rounded(text_entropy(documents, "text", ("doc_id",)))
 
 
+@query
+def entropy_long_documents(spark, sf_dir):
+    """The two-step form for long texts."""
+    documents = table(spark, sf_dir, "documents")
+    return rounded(long_text_entropy(documents, "text", ("doc_id",)))
+
+
+@query
+def entropy_long_pages(spark, sf_dir):
+    return rounded(long_text_entropy(table(spark, sf_dir, "pages"), "html", ("page_id",)))
+
+
 TEXT_COLUMNS = ("cmdline_length", "cmdline_ratio_alphanumeric", "cmdline_ratio_special",
                 "num_suspicious_chars", "encoding_indicators", "nested_quotes", "nested_brackets",
                 "command_chains")
@@ -376,6 +388,16 @@ def failure_pattern_counts(spark, sf_dir):
     return tr.pattern_counts(cp.analyze_failures(judged_events(spark, sf_dir)).patterns)
 
 
+@query
+def failure_cases(spark, sf_dir):
+    """Both sides' failures from one pass: what each output of the analysis holds."""
+    found = cp.analyze_failures(judged_events(spark, sf_dir))
+    columns = ["event_key", "ground_truth", "model_prediction", "reviewer_prediction"]
+    none = F.lit(None).cast("string")
+    return found.patterns.select(*columns, "failure_pattern", "evidence").unionByName(
+        found.better_than.select(*columns, none.alias("failure_pattern"), none.alias("evidence")))
+
+
 @query
 def failure_summary(spark, sf_dir):
     return cp.analyze_failures(judged_events(spark, sf_dir)).summary
@@ -435,6 +457,15 @@ def augment_sample(spark, sf_dir):
         "CommandLine", "Image", "SourceImage")
 
 
+@query
+def augment_folds(spark, sf_dir):
+    """The changed copies that join the training side of each of five folds."""
+    folded = sm.stratified_folds(process_events(spark, sf_dir))
+    picked = sm.choose_for_folds(folded, 0.5, 5)
+    return sm.augment(picked, F.lit(42) + F.col("for_fold")).select(
+        "event_key", "fold", "for_fold", "CommandLine", "Image", "SourceImage")
+
+
 # ---- explanations with fixed weights ---------------------------------------------------------------
 
 # Fixed importance per feature, so that the result can be stated in SQL.
@@ -714,3 +745,36 @@ def stream_score(spark, sf_dir):
     model = tn.fit_final(process_events(spark, sf_dir))
     scores = st.score_stream(event_stream(spark, sf_dir), model)
     return _drained(spark, scores).select("event_key", "prediction", "confidence", "drivers")
+
+
+def _json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw events as JSON text, fields under both spellings; every 997th line is cut short."""
+    raw = raw_process_events(spark, sf_dir)
+    spelled = {schema.alt(f): s for f, s in schema.SPELLINGS.items()} | {schema.REVIEWER: schema.REVIEWER_SOURCE_FIELD}
+    line = F.to_json(F.struct(*[F.col(f"`{c}`").alias(spelled.get(c, c)) for c in raw.columns]))
+    return raw.select("event_key", F.when(F.col("event_key") % 997 == 5, F.substring(line, 1, 20)).otherwise(line).alias("value"))
+
+
+@query
+def stream_json(spark, sf_dir):
+    """Events as JSON lines through a stream with two sinks, in batches of a file, stopped and resumed."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    lines = _json_lines(spark, sf_dir)
+    for part in (0, 1):  # the second run finds the checkpoint of the first and the files that came since
+        lines.filter(F.pmod("event_key", F.lit(2)) == part).select("value").repartition(3).write.mode("append").text(f"{folder}/in")
+        st.score_json_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", st.heuristic_stream,
+                             files_per_trigger=1, extra={"event_key": "bigint"}).awaitTermination()
+    scores = st.read_batches(spark, f"{folder}/out", "scores").select(
+        "event_key", "heuristic_score", "heuristic_verdict", F.lit(None).cast("string").alias("bad_line"))
+    return scores.unionByName(st.read_batches(spark, f"{folder}/out", "bad_lines").select(
+        F.lit(None).cast("long").alias("event_key"), F.lit(None).cast(scores.schema["heuristic_score"].dataType).alias("heuristic_score"),
+        F.lit(None).cast("string").alias("heuristic_verdict"), F.col("line").alias("bad_line")))
+
+
+@query
+def single_event_latency(spark, sf_dir):
+    """Ten events of the table, each a trigger of its own: how many were timed, and whether the times make sense."""
+    folder = f"{shared_folder(spark)}/latency-{uuid.uuid4().hex}"
+    timings = st.single_event_timings(spark, process_events(spark, sf_dir), folder, st.heuristic_stream)
+    return mt.timing_summary(timings).select(
+        "stage", "runs", ((F.col("min_ms") > 0) & (F.col("min_ms") <= F.col("mean_ms")) & (F.col("mean_ms") <= F.col("max_ms"))).alias("ordered"))

@@ -79,3 +79,23 @@ def text_obfuscation(df: DataFrame, text_col: str, keep: tuple[str, ...]) -> Dat
 def text_entropy(df: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     """Shannon entropy per row of a (possibly long) text column; map-only."""
     return df.select(*keep, t.entropy(t.nz(F.col(text_col))).alias("entropy"))
+
+
+SLICE = 1 << 18  # characters of a long text that are looked at together
+
+
+def long_text_entropy(df: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """The same for texts of any length, in two steps: characters counted per slice and row, entropy from the counts.
+
+    No row holds more than a slice taken apart, and a row's counts are summed before they are shuffled. ``keep``
+    must tell the rows apart.
+    """
+    text = t.nz(F.col(text_col))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(SLICE))
+    slices = df.select(*keep, F.explode(F.transform(starts, lambda i: F.substring(text, i, F.lit(SLICE)))).alias("_slice"))
+    counts = slices.select(*keep, F.explode(F.split("_slice", "")).alias("_char")).groupBy(*keep, "_char").agg(
+        F.count(F.lit(1)).alias("_n"))
+    n = F.when(F.col("_char") != "", F.col("_n")).otherwise(0)  # an empty text is one empty character
+    total, weighted = F.sum(n), F.sum(F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(0.0))
+    bits = F.greatest(F.log2(total.cast("double")) - weighted / total, F.lit(0.0))
+    return counts.groupBy(*keep).agg(F.when(total > 0, bits).otherwise(0.0).alias("entropy"))

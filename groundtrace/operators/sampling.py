@@ -26,7 +26,7 @@ class Order:
     copies of the key at a cut; without it a cut inside the rows of one key is an error.
     """
 
-    seed: int = 42
+    seed: int | Column = 42  # a column where rows of one table follow different orders
     salt: str = ""
     key: str = "event_key"
     stratum: str | None = "label"
@@ -42,8 +42,7 @@ def _key(order: Order) -> Column:
 
 def _keyed(df: DataFrame, order: Order) -> DataFrame:
     stratum = F.col(order.stratum).cast("string") if order.stratum else F.lit("all")
-    narrow = df.select(stratum.alias("_stratum"), _key(order).alias("_key"))
-    return narrow.withColumn("_hash", order_hash(order.seed, F.col("_key"), order.salt))
+    return df.select(stratum.alias("_stratum"), _key(order).alias("_key"), order_hash(order.seed, _key(order), order.salt).alias("_hash"))
 
 
 def _holding(counted: DataFrame, group: list[str], ranks: Column) -> DataFrame:
@@ -172,7 +171,23 @@ def _first_rows(df: DataFrame, order: Order, rank) -> DataFrame:
     return with_position(df, one, cuts, "_after").filter(F.col("_after") == 0).drop("_after")
 
 
-def augment(events: DataFrame, seed: int = 42, key: str = "event_key") -> DataFrame:
+def choose_for_folds(df: DataFrame, factor: float, folds: int, seed: int = 42, salt: str = "augment",
+                     key: str = "event_key") -> DataFrame:
+    """For each fold, floor(n * factor) of the n rows outside it, as rows with ``for_fold`` (G1 for all folds at once).
+
+    The rows for fold f are those that ``choose`` takes from the others with seed + f. Every row is a member of the
+    choices of all folds but its own; the cuts of all of them come from one narrow aggregate, and one pass over the rows
+    then takes the members before their cut.
+    """
+    others = F.filter(F.array(*[F.lit(f) for f in range(1, folds + 1)]), lambda f: f != F.col("fold"))
+    order = Order(F.lit(seed) + F.col("for_fold"), salt, key, "for_fold")
+    members = df.select("fold", key).select(key, F.explode(others).alias("for_fold"))
+    cuts = find_cuts(members, order, lambda n: F.array(F.floor(n * F.lit(factor))))
+    placed = with_position(df.withColumn("for_fold", F.explode(others)), order, cuts, "_after")
+    return placed.filter(F.col("_after") == 0).drop("_after")
+
+
+def augment(events: DataFrame, seed: int | Column = 42, key: str = "event_key") -> DataFrame:
     """Changed copies of events: case, path, white space or no change (G2, G3). Map-only."""
     k = F.col(key)
 

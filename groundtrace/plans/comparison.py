@@ -51,26 +51,24 @@ class FailureAnalysis:
     summary: DataFrame
 
 
-def analyze_failures(scored: DataFrame, store: bool = False) -> FailureAnalysis:
-    """Split by outcome and label the rows the model lost; ``store`` as in ``compare``."""
-    if store:
-        scored = stored(scored)
-    judged = with_outcome(scored)
-    extra = ("prediction", "reviewer_prediction")
-    lost = filter_here(judged, F.col("outcome") == "reviewer_only")
-    won = filter_here(judged, F.col("outcome") == "model_only")
+def analyze_failures(scored: DataFrame) -> FailureAnalysis:
+    """Split by outcome and label the rows the model lost.
 
-    def named(df: DataFrame) -> DataFrame:
-        return df.withColumnRenamed("prediction", "model_prediction")
-
-    summary = judged.agg(
+    The scored events are evaluated once: the rows on which one side alone was right, which are what all outputs are
+    made of, are written partitioned by outcome, and each output reads its partition.
+    """
+    judged = filter_here(with_outcome(scored), F.col("outcome").isin("reviewer_only", "model_only"))
+    wide = classify_failures(judged).withColumnRenamed("prediction", "model_prediction")
+    snapshots = event_snapshot(wide, "model_prediction", "reviewer_prediction", "failure_pattern", "evidence", "outcome")
+    split = stored(snapshots, ("outcome",))
+    named = ("failure_pattern", "evidence")
+    lost = split.filter(F.col("outcome") == "reviewer_only").drop("outcome")
+    won = split.filter(F.col("outcome") == "model_only").drop("outcome")
+    summary = split.agg(
         F.count_if(F.col("outcome") == "reviewer_only").alias("less_than"),
         F.count_if(F.col("outcome") == "model_only").alias("better_than"),
         F.count_if(F.col("outcome") == "reviewer_only").alias("labeled_failures"))
-    return FailureAnalysis(
-        named(event_snapshot(lost, *extra)), named(event_snapshot(won, *extra)),
-        named(event_snapshot(classify_failures(lost), *extra, "failure_pattern", "evidence")),
-        summary)
+    return FailureAnalysis(lost.drop(*named), won.drop(*named), lost, summary)
 
 
 def write_failure_analysis(analysis: FailureAnalysis, path: str) -> None:

@@ -15,7 +15,7 @@ from groundtrace.operators.labels import split_by_agreement
 from groundtrace.operators.metrics import binary_metrics, cost_comparison, fold_averages
 from groundtrace.operators.reviewer_rules import DISAGREEMENT, LABEL_MISMATCH, disagreement_features
 from groundtrace.operators.sampling import (
-    Order, augment, choose, choose_count, stratified_folds, stratified_holdout,
+    Order, augment, choose, choose_count, choose_for_folds, stratified_folds, stratified_holdout,
 )
 from groundtrace.plans.scoring import labelled_features
 from groundtrace.session import stored
@@ -44,22 +44,23 @@ def cross_validate(
     """Stratified k-fold validation of sanitised, labelled events.
 
     The features are row-local, so they are computed once for all folds and stored partitioned by
-    fold: a training set reads k - 1 partitions, a test set one. Only augmented copies, which differ
-    per fold and join the training side alone, are computed anew.
+    fold: a training set reads k - 1 partitions, a test set one. Augmented copies, which differ per fold
+    and join the training side alone, are chosen for all folds in one pass and stored by the fold they are for.
     """
     spark = events.sparkSession
     folded = stratified_folds(events, folds, Order(seed))
     table = stored(labelled_features(folded, names, ("fold",)), ("fold",))
+    if augment_share:
+        picked = choose_for_folds(folded, augment_share, folds, seed)
+        changed = augment(picked, F.lit(seed) + F.col("for_fold"))
+        copies = stored(labelled_features(changed, names, ("fold", "for_fold")), ("for_fold",))
     tests, timings = [], []
     for fold in range(1, folds + 1):
         train = table.filter(F.col("fold") != fold)
         if augment_share:
-            originals = folded.filter(F.col("fold") != fold)
-            picked = choose(originals, augment_share, Order(seed + fold, "augment", stratum=None))
-            copies = augment(picked, seed + fold)
-            train = train.unionByName(labelled_features(copies, names, ("fold",)))
+            train = train.unionByName(copies.filter(F.col("for_fold") == fold).drop("for_fold"))
         started = time.perf_counter()
-        model = _fit(train, names, settings, top_k, store=bool(augment_share))
+        model = _fit(train, names, settings, top_k, store=False)
         fitted = time.perf_counter()
         scored = stored(score(model, table.filter(F.col("fold") == fold),
                               ["event_key", "label", "fold"])

@@ -1,12 +1,16 @@
 """Streaming scoring (T1): the batch projections on a streaming input; stateless, append mode."""
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from groundtrace.operators.forest import ForestModel
 from groundtrace.operators.prepare import prepare_events, with_content_key
 from groundtrace.operators.triage import heuristic_verdict
 from groundtrace.plans.scoring import score_events
+from groundtrace.sources.events import read_event_stream, split_corrupt
 
 
 def _keyed(raw: DataFrame, keep: tuple[str, ...]) -> DataFrame:
@@ -33,3 +37,52 @@ def write_scores(scores: DataFrame, path: str, checkpoint: str, once: bool = Tru
     if once:
         writer = writer.trigger(availableNow=True)
     return writer.start(path)
+
+
+BAD_LINE = "_bad_line"
+
+
+def score_json_stream(spark: SparkSession, source: str, out: str, checkpoint: str, score: Callable[[DataFrame], DataFrame],
+                      files_per_trigger: int | None = None, extra: dict[str, str] | None = None, once: bool = True) -> StreamingQuery:
+    """JSON lines of a growing folder to two sinks below ``out``: ``scores`` and ``bad_lines``.
+
+    ``score`` maps raw events to result rows, for example ``heuristic_stream``. Each micro-batch writes both sinks
+    under its number and replaces what it finds there. A batch that was cut short is run again with the same files and
+    the same number, so a restart neither repeats nor loses a row.
+    """
+    raw = read_event_stream(spark, source, True, files_per_trigger, "PERMISSIVE", BAD_LINE, extra)
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.persist()  # both sinks read it
+        try:
+            events, bad = split_corrupt(batch, BAD_LINE)
+            score(events).write.mode("overwrite").parquet(f"{out}/scores/batch={number}")
+            bad.write.mode("overwrite").parquet(f"{out}/bad_lines/batch={number}")
+        finally:
+            batch.unpersist()
+
+    writer = raw.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def read_batches(spark: SparkSession, out: str, sink: str) -> DataFrame:
+    """All rows of a sink of ``score_json_stream``, with the number of their ``batch``."""
+    return spark.read.option("basePath", f"{out}/{sink}").parquet(f"{out}/{sink}/batch=*")
+
+
+def single_event_timings(spark: SparkSession, events: DataFrame, folder: str, score: Callable[[DataFrame], DataFrame],
+                         count: int = 10) -> DataFrame:
+    """(stage, rows, ms) of ``count`` triggers of one event each, as the stream's own progress reports them.
+
+    The first event pays for planning and code generation, as it does in service.
+    """
+    lines = events.limit(count).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in events.columns])).alias("value"))
+    lines.repartition(count, F.monotonically_increasing_id()).write.option("maxRecordsPerFile", 1).text(f"{folder}/events")
+    schema = events.schema
+    raw = spark.readStream.option("maxFilesPerTrigger", 1).schema(schema).json(f"{folder}/events")
+    running = score(raw).writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(
+        availableNow=True).start(f"{folder}/scores")
+    running.awaitTermination()
+    rows = [("single_event", int(p["numInputRows"]), float(p["durationMs"]["triggerExecution"]))
+            for p in running.recentProgress if p["numInputRows"]]
+    return spark.createDataFrame(rows, "stage string, rows long, ms double")

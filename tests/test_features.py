@@ -186,3 +186,23 @@ def test_plan_is_narrow_and_pruned(spark, tmp_path):
     few = feature_table(prepare_events(raw.drop("event_key"), ()), ["has_piping"], keep=())
     read = re.search(r"ReadSchema: struct<([^>]*)>", plan_of(few)).group(1)
     assert read == "CommandLine:string"
+
+
+def test_entropy_in_two_steps(spark, monkeypatch):
+    from groundtrace.operators import obfuscation as ob
+
+    texts = ["", None, "a", "abab", "été é " * 40, "x" * 1000 + "y", "日本語" * 77 + "\n\t"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    whole = {r.id: r.entropy for r in ob.text_entropy(rows, "text", ("id",)).collect()}
+    for size in (7, 1 << 18):
+        monkeypatch.setattr(ob, "SLICE", size)
+        parts = {r.id: r.entropy for r in ob.long_text_entropy(rows, "text", ("id",)).collect()}
+        assert parts.keys() == whole.keys() and all(abs(parts[k] - whole[k]) < 1e-9 for k in whole)
+    assert ob.long_text_entropy(rows.limit(0), "text", ("id",)).count() == 0
+
+
+def test_entropy_of_a_very_long_text(spark):
+    from groundtrace.operators.obfuscation import long_text_entropy
+
+    long = spark.range(1).select("id", F.repeat(F.lit("abcdefgh"), 1_500_000).alias("text"))
+    assert abs(long_text_entropy(long, "text", ("id",)).first()["entropy"] - 3.0) < 1e-12

@@ -108,3 +108,30 @@ def test_augmented_copies(events):
     assert changed.filter(squeezed != original).count() == 0
     assert pairs.filter(F.col("c.label") != F.col("o.label")).count() == 0
     assert pairs.filter(F.replace(F.col("c.Image"), F.lit("/"), F.lit("\\")) != F.col("o.Image")).count() == 0
+
+
+def jobs_of(spark, run):
+    group = f"count-{id(run)}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    result = run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return result, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_choices_for_all_folds_in_one_pass(spark, events):
+    jobs = []
+    for folds in (3, 7):
+        folded = sm.stratified_folds(events, folds).select("event_key", "label", "fold").persist()
+        folded.count()
+        (picked, n) = jobs_of(spark, lambda: sm.choose_for_folds(folded, 0.5, folds, 42).collect())
+        jobs.append(n)
+        for f in range(1, folds + 1):
+            alone = sm.choose(folded.filter(F.col("fold") != f), 0.5, sm.Order(42 + f, "augment", stratum=None)).collect()
+            assert sorted(r.event_key for r in picked if r.for_fold == f) == sorted(r.event_key for r in alone)
+    assert jobs[0] == jobs[1]
+
+
+def test_changes_follow_the_seed_of_the_fold(spark, events):
+    rows = events.limit(200)
+    by_column = sm.augment(rows.withColumn("s", F.lit(40) + 3), F.col("s")).drop("s")
+    assert by_column.exceptAll(sm.augment(rows, 43)).count() == 0

@@ -147,3 +147,42 @@ def test_content_keys_in_steps(spark, monkeypatch):
     rows = spark.range(100).select(F.lit("same").alias("a"))
     keyed = pr.with_event_key(rows)
     assert keyed.count() == 100 and keyed.select("event_key").distinct().count() == 100
+
+
+def test_two_sinks_survive_a_broken_batch(spark, tmp_path):
+    """A batch that fails between its sinks is run again under its number: no row twice, none lost."""
+    from groundtrace.streaming import score as st
+
+    (tmp_path / "in").mkdir()
+    for i in range(4):
+        lines = [json.dumps({"event_key": 10 * i + k, "commandLine": f"net view {k}"}) for k in range(3)] + ['{"event_key": 1,,']
+        (tmp_path / "in" / f"{i}.jsonl").write_text("\n".join(lines))
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    calls = []
+
+    def breaking(events):
+        calls.append(1)
+        scored = st.heuristic_stream(events)
+        if len(calls) == 2:
+            scored.write.parquet(f"{out}/scores/batch=1")  # half of the batch's work is there when it dies
+            raise RuntimeError("lost")
+        return scored
+
+    arguments = {"files_per_trigger": 1, "extra": {"event_key": "bigint"}}
+    with pytest.raises(Exception, match="lost"):
+        st.score_json_stream(spark, source, out, checkpoint, breaking, **arguments).awaitTermination()
+    st.score_json_stream(spark, source, out, checkpoint, st.heuristic_stream, **arguments).awaitTermination()
+    scores, bad = st.read_batches(spark, out, "scores"), st.read_batches(spark, out, "bad_lines")
+    assert sorted(r.event_key for r in scores.collect()) == [10 * i + k for i in range(4) for k in range(3)]
+    assert bad.count() == 4 and {r.line for r in bad.collect()} == {'{"event_key": 1,,'}
+    assert scores.select("batch").distinct().count() == 4
+
+
+def test_single_event_timings(spark, tmp_path):
+    from groundtrace.operators.metrics import timing_summary
+    from groundtrace.streaming import score as st
+
+    events = spark.createDataFrame([(i, f"net view {i}") for i in range(5)], "event_key long, CommandLine string")
+    timings = st.single_event_timings(spark, events, str(tmp_path / "one"), st.heuristic_stream, 3)
+    assert [(r.stage, r.rows) for r in timings.collect()] == [("single_event", 1)] * 3
+    assert timing_summary(timings).first()["runs"] == 3

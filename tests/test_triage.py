@@ -155,3 +155,19 @@ def test_rules_in_long_texts(spark):
     known = [("a", "needle é"), ("b", text[65_530:65_545]), ("c", text[250:262]), ("d", "é")]
     want = sorted((k, r) for k, t in ((1, text.lower()), (2, text[:65_538])) for r, w in known if w in t)
     assert sorted((h.event_key, h.rule) for h in tr.rule_hits(events, rules).collect()) == want
+
+
+def test_failure_analysis_reads_its_input_once(spark, events, tmp_path):
+    from groundtrace.plans import comparison as cp
+
+    path = str(tmp_path / "scored")
+    tr.heuristic_verdict(events).withColumnRenamed("heuristic_verdict", "prediction").write.parquet(path)
+    scored = spark.read.parquet(path)
+    analysis = cp.analyze_failures(scored)
+    for df in (analysis.less_than, analysis.better_than, analysis.patterns, analysis.summary):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert path not in plan and "outcome" in plan  # what was written once, by outcome
+    summary = analysis.summary.first()
+    assert (analysis.less_than.count(), analysis.better_than.count()) == (summary["less_than"], summary["better_than"])
+    want = lb.with_outcome(scored).groupBy("outcome").count().collect()
+    assert {r["outcome"]: r["count"] for r in want}["reviewer_only"] == summary["less_than"]
