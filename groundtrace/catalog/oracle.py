@@ -861,6 +861,17 @@ STUMP_FOLDS = f"""{STUMP_ROWS},
     p AS (SELECT folded.*, feature, cut, pl, pr FROM folded JOIN leaves ON g = fold),
     j AS (SELECT fold, label, {CALLED} AS prediction FROM p)"""
 ORACLE |= {
+    "adam_network": f"""{STUMP_ROWS}, r AS (SELECT event_key, label, row_number() OVER (PARTITION BY label ORDER BY {_ORDER}) AS no,
+        count(*) OVER (PARTITION BY label) AS n FROM x)
+        SELECT event_key, label, true AS is_probability, true AS called_by_half, true AS sure_as_called
+        FROM r WHERE no > floor(n * (1 - 0.2::DOUBLE))""",
+    "checkpoint_sweep": f"""{EVENTS}, c AS (SELECT label, count(*) AS n FROM f GROUP BY label),
+        t AS (SELECT label, n - floor(n * (1 - 0.2::DOUBLE)) AS n FROM c)
+        SELECT epoch, (sum(n) FILTER (WHERE label = 'malicious'))::BIGINT AS malicious, sum(n)::BIGINT AS tested, true AS best_is_restored
+        FROM t, (VALUES (5), (10)) e(epoch) GROUP BY epoch""",
+    "saved_models": """SELECT model, count(*) AS events, count(*) AS equal
+        FROM events, (VALUES ('network'), ('vote'), ('disagreement')) m(model) GROUP BY model""",
+    "vote_is_mean": "SELECT event_id AS event_key, true AS is_mean, true AS forest_as_alone, true AS is_probability FROM events",
     "feature_table_rows": f"""{EVENTS}{WITH_PATTERNS} SELECT event_key, label,
         {columns({n: f'round(({UNROUNDED[n]})::DOUBLE, 4)' for n in FEATURES})} FROM g""",
     "stump_score": f"""{STUMP_ALL} SELECT event_key, label, {CALLED} AS prediction, round({SURE}, 6) AS confidence,

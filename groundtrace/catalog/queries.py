@@ -2,8 +2,10 @@
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundtrace import schema
@@ -14,6 +16,7 @@ from groundtrace.operators import contributions as co
 from groundtrace.operators import forest as fo
 from groundtrace.operators import labels as lb
 from groundtrace.operators import metrics as mt
+from groundtrace.operators import network as nw
 from groundtrace.operators import prepare as pr
 from groundtrace.operators import reviewer_rules as rr
 from groundtrace.operators import sampling as sm
@@ -633,6 +636,74 @@ def disagreement_model(spark, sf_dir):
     return tn.score_disagreement(events, model)
 
 
+def _network_settings(features: DataFrame, epochs: int = 10) -> nw.NetworkSettings:
+    """Eight steps an epoch whatever the size; the default of 32 rows a step suits some thousand rows."""
+    return nw.NetworkSettings(epochs=epochs, batch=-(-features.count() // 8), rate=0.005)
+
+
+@query
+def adam_network(spark, sf_dir):
+    """The network's verdict on events that it never saw, with what must hold for each."""
+    table = stored(sc.labelled_features(sm.stratified_holdout(process_events(spark, sf_dir)), FEATURES, ("part",)), ("part",))
+    train = table.filter(F.col("part") == "train")
+    last = nw.fit_adam(train, FEATURES, _network_settings(train, 5))[-1].network
+    scored = nw.as_pipeline(network=last).transform(table.filter(F.col("part") == "test"))
+    p = F.col("p_malicious")
+    return scored.select("event_key", "label", p.between(0, 1).alias("is_probability"),
+                         ((F.col("prediction") == v.MALICIOUS) == (p > 0.5)).alias("called_by_half"),
+                         (F.col("confidence") == F.greatest(p, 1 - p)).alias("sure_as_called"))
+
+
+@query
+def checkpoint_sweep(spark, sf_dir):
+    """Snapshots of every fifth epoch on the hold-out, and whether the restored one is the best and scores as it did."""
+    table = stored(sc.labelled_features(sm.stratified_holdout(process_events(spark, sf_dir)), FEATURES, ("part",)), ("part",))
+    train, test = table.filter(F.col("part") == "train"), table.filter(F.col("part") == "test")
+    snapshots = nw.fit_adam(train, FEATURES, _network_settings(train))
+    swept = stored(nw.sweep(snapshots, test))
+    restored = nw.as_pipeline(network=nw.restore_best(snapshots, swept)).transform(test)
+    again = mt.binary_metrics(restored).select(F.col("f1").alias("again"))
+    return swept.crossJoin(F.broadcast(again)).select(
+        "epoch", (F.col("tp") + F.col("fn")).alias("malicious"), (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("tested"),
+        (F.max("f1").over(Window.partitionBy()) == F.col("again")).alias("best_is_restored"))
+
+
+@query
+def saved_models(spark, sf_dir):
+    """Network, vote and disagreement model saved, loaded, and held against what was saved, event by event."""
+    events = process_events(spark, sf_dir)
+    folder, table = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}", _table(spark, sf_dir)
+    network = nw.fit_adam(table, FEATURES, _network_settings(table, 2))[-1].network
+    forest = fo.fit_forest(table, FEATURES, store=False)
+    disagreement = tn.fit_disagreement_model(events)
+    other = stored(rr.disagreement_features(events, ("event_key",), FEATURES, with_mismatch=False))
+    models = {"network": (nw.as_pipeline(network=network), table), "vote": (nw.as_pipeline(forest, network), table),
+              "disagreement": (nw.as_pipeline(disagreement, classes=("agree", "differ")), other)}
+    results = []
+    for name, (model, rows) in models.items():
+        model.write().overwrite().save(f"{folder}/{name}")
+        loaded = PipelineModel.load(f"{folder}/{name}")
+        one = model.transform(rows).select("event_key", "prediction", F.col("p_malicious").alias("p"))
+        two = loaded.transform(rows).select(F.col("event_key").alias("key"), F.col("prediction").alias("as"), F.col("p_malicious").alias("q"))
+        results.append(one.join(two, F.col("event_key") == F.col("key")).agg(
+            F.count(F.lit(1)).alias("events"), F.count_if((F.col("p") == F.col("q")) & (F.col("prediction") == F.col("as"))).alias("equal")
+        ).select(F.lit(name).alias("model"), "events", "equal"))
+    return reduce(DataFrame.unionAll, results)
+
+
+@query
+def vote_is_mean(spark, sf_dir):
+    """Per event, whether the vote is the mean of the two models scored alone."""
+    table = _table(spark, sf_dir)
+    forest = fo.fit_forest(table, FEATURES, store=False)
+    network = nw.fit_adam(table, FEATURES, _network_settings(table, 2))[-1].network
+    scored = nw.as_pipeline(forest, network).transform(table).select("event_key", "p_malicious", "p_forest", "p_network")
+    alone = fo.score(forest, table, ["event_key"]).select(F.col("event_key").alias("key"), F.col("p_malicious").alias("alone"))
+    return scored.join(alone, F.col("event_key") == F.col("key")).select(
+        "event_key", (F.abs(F.col("p_malicious") - (F.col("p_forest") + F.col("p_network")) / 2) < 1e-12).alias("is_mean"),
+        (F.col("alone") == F.col("p_forest")).alias("forest_as_alone"), F.col("p_network").between(0, 1).alias("is_probability"))
+
+
 # One tree of one split over integer features: the fit is deterministic and SQL can state it.
 STUMP = ("native_binary_abuse_score", "apt_lotl_score", "cmdline_word_count", "num_slashes", "num_quotes",
          "image_path_depth", "execution_context_risk")
