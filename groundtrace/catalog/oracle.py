@@ -4,6 +4,8 @@ Written against the definitions of the rules, not derived from the Spark express
 lists are shared. Forests of many trees have no entry; trees of one split, whose fit SQL can state, have.
 """
 
+import re
+
 from groundtrace import vocabulary as v
 from groundtrace.catalog import binding as b
 from groundtrace.catalog.queries import STUMP, WEIGHTS
@@ -500,7 +502,7 @@ CONTRIBUTIONS = f"""{EVENTS}{JUDGED}, cmds AS (SELECT DISTINCT cmd FROM f),
   l AS ({LONG}),
   s AS (SELECT place, avg(value) AS m, stddev_pop(value) AS sd FROM l GROUP BY place),
   c AS (SELECT event_key, l.place, feature, value,
-          (value - m) / (CASE WHEN sd = 0 THEN 1 ELSE sd END) * w AS contribution
+          (value - m) / (CASE WHEN sd > 1e-12 * greatest(1, abs(m)) THEN sd ELSE 1 END) * w AS contribution
         FROM l JOIN s USING (place)),
   t AS (SELECT *, row_number() OVER (PARTITION BY event_key ORDER BY abs(contribution) DESC, place DESC) AS rank
         FROM c QUALIFY rank <= 5)"""
@@ -530,27 +532,34 @@ def title_case(feature: str) -> str:
     return " ".join(w.capitalize() for w in feature.split("_"))
 
 
-TALK = {k: (title, text) for _, k, title, text in v.SENTENCES}
-SENTENCE = "CASE " + " ".join(
-    [f"WHEN value > 0 AND feature = '{n}' THEN {spoken(q(TALK[n][0]), q(TALK[n][1]))}"
-     for n in ("system_account_admin_tool", "compression_operation", "process_discovery",
-               "network_discovery", "native_binary_abuse_score")]
-    + [f"WHEN value > 0 AND feature = 'is_system_user' THEN " + spoken(
-        q(TALK["is_system_user"][0]),
-        "replace(" + q(TALK["is_system_user"][1]) + ", '{user}', coalesce(usr, 'N/A'))")]
-    + ["WHEN value > 0 AND feature = 'obfuscation_score' THEN " + spoken(
-        q("Score obfuscation detected"), q("Command contains score patterns used to hide malicious intent."))]
-    + [f"WHEN value > 0 AND feature = 'apt_{k}' THEN " + spoken(
-        q(f"APT {k.replace('_', ' ')} indicator"),
-        q(f"Detected pattern associated with {k.replace('_', ' ')} techniques."))
-       for k in ("defense_evasion", "exfiltration", "lotl_score")]
-    + ["WHEN feature = 'cmdline_entropy' AND value > 4.5 THEN " + spoken(
-        *[q(x) for x in v.HIGH_ENTROPY_SENTENCE])]
-    + ["WHEN feature = 'cmdline_entropy' THEN " + spoken(*[q(x) for x in v.NORMAL_ENTROPY_SENTENCE])]
-    + [f"WHEN feature = '{n}' THEN " + spoken(
-        q(title_case(n)),
-        f"CASE WHEN contribution > 0 AND prediction = 'malicious' THEN {q(v.FALLBACK_MALICIOUS)}"
-        f" ELSE {q(v.FALLBACK_BENIGN)} END") for n in WEIGHTS]) + " END"
+def filled(template: str, feature: str, key: str) -> str:
+    """A sentence template as a SQL expression."""
+    kind = feature.replace(key, "").replace("_", " ")
+    known = {"exe": f"CASE WHEN img <> '' THEN {windows_name('img')} ELSE 'system binary' END", "user": "coalesce(usr, 'N/A')",
+             "kind": q(kind), "kind:title": q(" ".join(w.capitalize() for w in kind.split(" "))), "dim": q(feature.rsplit("_", 1)[-1])}
+    parts = re.split(r"\{([^}]*)\}", template)
+    return " || ".join(f"({known[x]})" if i % 2 else q(x) for i, x in enumerate(parts) if x)
+
+
+def sentences(feature: str) -> str:
+    """The sentence of one feature: the first rule whose key its name holds, else the general one."""
+    cases = []
+    for how, key, title, text in v.SENTENCES:
+        if not (feature.startswith(key) if how == "prefix" else key in feature):
+            continue
+        if how == "entropy":
+            cases.append(("value > 4.5", spoken(*[q(x) for x in v.HIGH_ENTROPY_SENTENCE])))
+            cases.append(("true", spoken(*[q(x) for x in v.NORMAL_ENTROPY_SENTENCE])))
+        else:
+            cases.append(("value > 0", spoken(filled(title, feature, key), filled(text, feature, key))))
+    if feature.startswith("text_embedding_"):
+        cases += [("true", spoken(filled(title, feature, part), q(text))) for part, title, text in v.EMBEDDING_SENTENCES if part in feature]
+    general = f"CASE WHEN contribution > 0 AND prediction = 'malicious' THEN {q(v.FALLBACK_MALICIOUS)} ELSE {q(v.FALLBACK_BENIGN)} END"
+    cases.append(("true", spoken(q(title_case(feature)), general)))
+    return " ".join(f"WHEN feature = '{feature}' AND {test} THEN {text}" for test, text in cases)
+
+
+SENTENCE = "CASE " + " ".join(map(sentences, WEIGHTS)) + " END"
 EXPLAINED = f"""{CONTRIBUTIONS}{ATTACK},
   lines AS (SELECT t.event_key, string_agg(rank || '. ' || {SENTENCE}, chr(10) ORDER BY rank) AS txt
     FROM t JOIN j ON j.event_key = t.event_key GROUP BY t.event_key)
@@ -602,24 +611,22 @@ for _salt in ("technique", "case", "space", "trail", "path", "word"):
     PER_FOLD = PER_FOLD.replace(f"'42:{_salt}:'", f"(42 + for_fold) || ':{_salt}:'")
 
 LISTED_RULES = values((r, w) for r, ws in v.TECHNIQUE_INDICATORS.items() for w in ws)
-Z_COLUMNS = {"cmdline_length": "len", "num_dashes": command["num_dashes"],
-             "native_binary_abuse_score": native["native_binary_abuse_score"],
-             "has_registry_ops": command["has_registry_ops"]}
 Z_SELECT = ", ".join(
-    f"round(({n} - avg({n}) OVER ()) / coalesce(nullif(stddev_pop({n}) OVER (), 0), 1), 6) AS {n}"
-    for n in Z_COLUMNS)
+    f"round(({n}::DOUBLE - m_{n}) / (CASE WHEN s_{n} > 1e-12 * greatest(1, abs(m_{n})) THEN s_{n} ELSE 1 END), 4) AS {n}" for n in FEATURES)
+Z_STATISTICS = ", ".join(f"avg({n}::DOUBLE) AS m_{n}, stddev_pop({n}::DOUBLE) AS s_{n}" for n in FEATURES)
 DESCRIBED = values(v.FEATURE_DESCRIPTIONS.items())
 
 
-def text_flags(source: str, key: str, text: str) -> str:
-    shown = {n: obfuscation[n] for n in obfuscation if n.startswith("obfuscation_")
-             and n != "obfuscation_intensity"}
-    shown |= statistics(text) | {n: obfuscation[n] for n in ("high_entropy", "num_obfuscation_patterns")}
-    return f"""WITH {entropy_of(source, key, text)},
-        g AS (SELECT {source}.*, coalesce(ent.h, 0.0) AS h,
-          {columns({'h_' + k: s for k, s in pattern_hits(text).items()})}
-          FROM {source} LEFT JOIN ent ON ent.k = {key})
-        SELECT {key}, {columns(shown)} FROM g"""
+def text_columns(source: str, text: str, *keys: str) -> str:
+    """All columns of the obfuscation group for a text column; equal texts are taken apart once."""
+    shown = {n: f"round(({UNROUNDED[n]})::DOUBLE, 4)" for n in obfuscation}
+    listed = ", ".join(keys)
+    return f"""WITH t AS (SELECT {listed}, coalesce({text}, '') AS cmd FROM {source}), d AS (SELECT DISTINCT cmd FROM t),
+        {entropy_of('d', 'cmd', 'cmd')},
+        g AS (SELECT t.*, lower(t.cmd) AS lc, length(t.cmd) AS len, coalesce(ent.h, 0.0) AS h,
+          {columns({'h_' + k: s for k, s in pattern_hits('t.cmd').items()})}
+          FROM t LEFT JOIN ent ON ent.k = t.cmd)
+        SELECT {listed}, {columns(shown)} FROM g"""
 
 
 def group_sql(items: dict[str, str]) -> str:
@@ -648,8 +655,8 @@ ORACLE: dict[str, str] = {
     "reviewer_disagreement_extract": from_events(
         {"reviewer_label": "rlabel", "reason": "reason", "label": "label", "technique": "technique"},
         key="", tail="WHERE rlabel IS DISTINCT FROM label"),
-    "content_keys": """SELECT user_id, event_type,
-        row_number() OVER (PARTITION BY user_id, event_type) AS occurrence FROM events""",
+    "content_keys": """SELECT *, row_number() OVER (PARTITION BY event_id, ts, user_id, event_type, value, props) AS occurrence
+        FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 3 = 0)""",
     "native_features": group_sql(native),
     "technique_features": group_sql(technique),
     "anomaly_features": group_sql(anomaly),
@@ -680,21 +687,16 @@ ORACLE: dict[str, str] = {
         round(stddev_pop(x), 5) AS text_embedding_std, round(min(x), 5) AS text_embedding_min,
         round(max(x), 5) AS text_embedding_max FROM u GROUP BY vec_id""",
     "reason_features": group_sql(reason),
-    "disagreement_features": group_sql(disagreement),
+    "disagreement_features": f"""{EVENTS}{WITH_PATTERNS} SELECT event_key,
+        {columns({n: f'round(({UNROUNDED[n]})::DOUBLE, 4)' for n in FEATURES} | {n: s for n, s in disagreement.items() if n not in FEATURES})}
+        FROM g""",
     "entropy_documents": f"""WITH {entropy_of('documents', 'doc_id', 'text')}
         SELECT doc_id, round(coalesce(h, 0.0), 6) AS entropy
         FROM documents LEFT JOIN ent ON ent.k = doc_id""",
-    "conversation_text_statistics":
-        f"SELECT conv_id, turn, {columns(statistics('text'))} FROM conversations",
-    "url_obfuscation": f"""WITH {entropy_of('pages', 'page_id', 'url')},
-        g AS (SELECT page_id, coalesce(ent.h, 0.0) AS h,
-          {columns({'h_' + k: s for k, s in pattern_hits('url').items()})}
-          FROM pages LEFT JOIN ent ON ent.k = page_id)
-        SELECT page_id, {columns({n: obfuscation[n] for n in obfuscation
-                                  if n.startswith('obfuscation_') or n == 'num_obfuscation_patterns'})}
-        FROM g""",
-    "document_obfuscation": text_flags("documents", "doc_id", "text"),
-    "page_obfuscation": text_flags("pages", "page_id", "html"),
+    "conversation_text_statistics": text_columns("conversations", "text", "conv_id", "turn"),
+    "url_obfuscation": text_columns("pages", "url", "page_id"),
+    "document_obfuscation": text_columns("documents", "text", "doc_id"),
+    "page_obfuscation": text_columns("pages", "html", "page_id"),
     "rule_hits_long": f"""{EVENTS}, r(rule, indicator) AS (VALUES {LISTED_RULES})
         SELECT event_key, rule, indicator FROM f JOIN r ON contains(lc, indicator)""",
     "rule_table_hits": """WITH r AS (
@@ -764,8 +766,9 @@ ORACLE: dict[str, str] = {
         count(*) FILTER (WHERE rpred = label AND prediction <> label) AS labeled_failures FROM j""",
     "heuristic_verdict": f"""{EVENTS}{JUDGED} SELECT event_key, hscore AS heuristic_score,
         prediction AS heuristic_verdict, {REASONS} AS heuristic_reasons FROM j""",
-    "z_scores": f"""{EVENTS}, x AS (SELECT event_key, {columns(Z_COLUMNS)} FROM f)
-        SELECT event_key, {Z_SELECT} FROM x""",
+    "z_scores": f"""{EVENTS}{WITH_PATTERNS}, x AS (SELECT event_key, {columns({n: UNROUNDED[n] for n in FEATURES})} FROM g),
+        s AS (SELECT {Z_STATISTICS} FROM x)
+        SELECT event_key, {Z_SELECT} FROM x, s""",
     "timing_summary": """WITH t AS (SELECT event_type AS stage, event_id % 7 + 1 AS n, value AS ms FROM events)
         SELECT stage, count(*) AS runs, round(avg(ms), 6) AS mean_ms, round(stddev_pop(ms), 6) AS std_ms,
         min(ms) AS min_ms, max(ms) AS max_ms, round(sum(ms) / sum(n), 6) AS ms_per_row,

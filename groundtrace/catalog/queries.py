@@ -117,11 +117,11 @@ def reviewer_disagreement_extract(spark, sf_dir):
 
 @query
 def content_keys(spark, sf_dir):
-    """Content keys of rows that repeat: occurrence numbers per (user, type)."""
-    rows = table(spark, sf_dir, "events").select("user_id", "event_type")
-    keyed = pr.with_event_key(rows)
+    """Content keys of whole rows, a third of which are there twice: occurrence numbers per row."""
+    rows = table(spark, sf_dir, "events")
+    keyed = pr.with_event_key(rows.unionAll(rows.filter("event_id % 3 = 0")))
     number = F.substring_index("event_key", "-", -1).cast("bigint")
-    return keyed.select("user_id", "event_type", number.alias("occurrence"))
+    return keyed.select(*rows.columns, number.alias("occurrence"))
 
 
 # ---- features -----------------------------------------------------------------------------------
@@ -181,8 +181,7 @@ def reason_features(spark, sf_dir):
 
 @query
 def disagreement_features(spark, sf_dir):
-    return rr.disagreement_features(process_events(spark, sf_dir), base=("cmdline_length",),
-                                    with_mismatch=True)
+    return rounded(rr.disagreement_features(process_events(spark, sf_dir), with_mismatch=True), 4)
 
 
 @query
@@ -203,46 +202,31 @@ def entropy_long_pages(spark, sf_dir):
     return rounded(long_text_entropy(table(spark, sf_dir, "pages"), "html", ("page_id",)))
 
 
-TEXT_COLUMNS = ("cmdline_length", "cmdline_ratio_alphanumeric", "cmdline_ratio_special",
-                "num_suspicious_chars", "encoding_indicators", "nested_quotes", "nested_brackets",
-                "command_chains")
+def _text_columns(df: DataFrame, column: str, *keys: str) -> DataFrame:
+    return rounded(text_obfuscation(df, column, keys), 4)
 
 
 @query
 def conversation_text_statistics(spark, sf_dir):
-    """The text statistics of the obfuscation group on conversation turns."""
-    turns = table(spark, sf_dir, "conversations")
-    return rounded(text_obfuscation(turns, "text", ("conv_id", "turn")).select(
-        "conv_id", "turn", *TEXT_COLUMNS))
+    """All columns of the obfuscation group on conversation turns."""
+    return _text_columns(table(spark, sf_dir, "conversations"), "text", "conv_id", "turn")
 
 
 @query
 def url_obfuscation(spark, sf_dir):
-    """The twelve pattern flags and the scores on page addresses."""
-    pages = table(spark, sf_dir, "pages")
-    flags = [f"obfuscation_{c}" for c in v.OBFUSCATION_PATTERNS]
-    return rounded(text_obfuscation(pages, "url", ("page_id",)).select(
-        "page_id", *flags, "num_obfuscation_patterns", "obfuscation_score",
-        "obfuscation_intensity"))
-
-
-def _text_flags(df: DataFrame, column: str, key: str) -> DataFrame:
-    flags = [f"obfuscation_{c}" for c in v.OBFUSCATION_PATTERNS]
-    return rounded(text_obfuscation(df, column, (key,)).select(
-        key, *flags, *TEXT_COLUMNS, "high_entropy", "num_obfuscation_patterns",
-        "obfuscation_score"))
+    return _text_columns(table(spark, sf_dir, "pages"), "url", "page_id")
 
 
 @query
 def document_obfuscation(spark, sf_dir):
-    """Pattern flags and text statistics of whole documents."""
-    return _text_flags(table(spark, sf_dir, "documents"), "text", "doc_id")
+    """The same for whole documents."""
+    return _text_columns(table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
 @query
 def page_obfuscation(spark, sf_dir):
-    """Pattern flags and text statistics of whole pages."""
-    return _text_flags(table(spark, sf_dir, "pages"), "html", "page_id")
+    """The same for whole pages."""
+    return _text_columns(table(spark, sf_dir, "pages"), "html", "page_id")
 
 
 @query
@@ -414,9 +398,9 @@ def heuristic_verdict(spark, sf_dir):
 
 @query
 def z_scores(spark, sf_dir):
-    names = ["cmdline_length", "num_dashes", "native_binary_abuse_score", "has_registry_ops"]
-    return rounded(mt.z_scores(feature_table(process_events(spark, sf_dir), names), names,
-                               ("event_key",)))
+    """All 103 columns."""
+    features = stored(feature_table(process_events(spark, sf_dir)))
+    return rounded(mt.z_scores(features, list(FEATURES), ("event_key",)), 4)
 
 
 @query
@@ -471,20 +455,14 @@ def augment_folds(spark, sf_dir):
 
 # ---- explanations with fixed weights ---------------------------------------------------------------
 
-# Fixed importance per feature, so that the result can be stated in SQL.
-WEIGHTS = {
-    "apt_defense_evasion": 0.11, "apt_exfiltration": 0.13, "apt_lotl_score": 0.07,
-    "cmdline_entropy": 0.17, "cmdline_length": 0.05, "compression_operation": 0.1031,
-    "is_system_user": 0.0721, "native_binary_abuse_score": 0.0913, "network_discovery": 0.0617,
-    "num_dashes": 0.0411, "obfuscation_score": 0.0533, "process_discovery": 0.0837,
-    "system_account_admin_tool": 0.0291,
-}
+# Fixed importance per feature, so that the result can be stated in SQL: a rule, no two alike.
+WEIGHTS = {n: round(0.0201 + (i * 37 % len(FEATURES)) * 0.00137 + i * 1e-7, 7) for i, n in enumerate(FEATURES)}
 
 
 def _contributions(spark, sf_dir, *keep: str) -> DataFrame:
     events = judged_events(spark, sf_dir)
     names = list(WEIGHTS)
-    features = feature_table(events, names, ["event_key", *keep])
+    features = stored(feature_table(events, names, ["event_key", *keep]))
     statistics = mt.feature_statistics(features, names)
     return co.local_contributions(features, WEIGHTS, statistics, ["event_key", *keep])
 
@@ -525,7 +503,7 @@ def global_contributions(spark, sf_dir):
     """Mean |contribution| per feature over all events, with descriptions."""
     events = process_events(spark, sf_dir)
     names = list(WEIGHTS)
-    features = feature_table(events, names)
+    features = stored(feature_table(events, names))
     statistics = mt.feature_statistics(features, names)
     items = F.array(*[c for _, _, c in co.contribution_items(WEIGHTS, statistics)])
     arrays = features.select(items.alias("items"))

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from groundtrace import vocabulary as v
 from groundtrace.functions.paths import basename
 from groundtrace.functions.text import first_nonempty
+from groundtrace.operators.feature_table import FEATURES
 from groundtrace.operators.metrics import standardised
+from groundtrace.operators.reviewer_rules import DISAGREEMENT
 
 ITEM = "array<struct<name:string,value:double,contribution:double>>"
 
@@ -83,12 +85,21 @@ def first_case(tests: list[tuple[Column, object]], default: object = None) -> Co
     return case.otherwise(default)
 
 
+def attack_type_name(name: str) -> str:
+    """Attack type of a feature: exact name, else the first key contained in it; empty if none."""
+    return v.ATTACK_TYPES.get(name) or next((kind for key, kind in v.ATTACK_TYPES.items() if key in name.lower()), "")
+
+
 def attack_type_of(name: Column) -> Column:
-    """Attack type of a feature: exact name, else the first key contained in it; null if none."""
+    """Attack type of a feature, null if none.
+
+    The types of the known features are resolved when the plan is built; only other names are tested by row.
+    """
+    known = F.try_element_at(F.create_map(*[F.lit(x) for n in (*FEATURES, *DISAGREEMENT) for x in (n, attack_type_name(n))]), name)
     lowered = F.lower(name)
     tests = [(name == key, kind) for key, kind in v.ATTACK_TYPES.items()]
     tests += [(F.contains(lowered, F.lit(key)), kind) for key, kind in v.ATTACK_TYPES.items()]
-    return first_case(tests)
+    return F.when(known.isNotNull(), F.nullif(known, F.lit(""))).otherwise(first_case(tests))
 
 
 def typed_contributions(top: Column) -> Column:
