@@ -8,7 +8,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from groundtrace.catalog.queries import WEIGHTS, event_stream
+from groundtrace.catalog.queries import event_stream
 from groundtrace.operators import contributions as co
 from groundtrace.operators import forest as fo
 from groundtrace.operators.feature_table import feature_table
@@ -19,7 +19,9 @@ from groundtrace.plans import training as tn
 from groundtrace.session import shared_folder
 from groundtrace.streaming import score as st
 
-NAMES = list(WEIGHTS)
+NAMES = ["apt_defense_evasion", "apt_exfiltration", "apt_lotl_score", "cmdline_entropy", "cmdline_length", "compression_operation",
+         "is_system_user", "native_binary_abuse_score", "network_discovery", "num_dashes", "obfuscation_score", "process_discovery",
+         "system_account_admin_tool"]
 
 
 @pytest.fixture(scope="module")
