@@ -901,3 +901,61 @@ ORACLE |= {
         SELECT *, {measures('reviewer_')}, {measures('model_')} FROM c""",
     "stream_stump": f"{STUMP_ALL} SELECT event_key, {CALLED} AS prediction, round({SURE}, 6) AS confidence FROM p",
 }
+
+# ---- what was written and read again, and models of one split in full ------------------------------------
+
+ORACLE |= {
+    "json_events_read_back": ORACLE["resolve_sanitize"],
+    "disagreement_csv_read_back": ORACLE["reviewer_disagreement_extract"],
+    "failure_files_read_back": f"""{EVENTS}{JUDGED}, c AS (
+          SELECT event_key, label AS ground_truth, cmd AS command_line, img AS image, coalesce(usr, acct, '') AS "user",
+            prediction AS model_prediction, rpred = label AS lost, {PATTERN} AS pattern FROM j WHERE rpred <> prediction)
+        SELECT * EXCLUDE (lost, pattern), NULL AS failure_pattern, CASE WHEN lost THEN 'less_than_reviewer' ELSE 'better_than_reviewer' END AS file FROM c
+        UNION ALL SELECT * EXCLUDE (lost, pattern), pattern, 'failure_patterns' FROM c WHERE lost""",
+    "nested_events_read_back": f"""{EVENTS}{JUDGED} SELECT event_key, label AS ground_truth, nullif(cmd, '') AS CommandLine,
+        pid AS ProcessId, usr AS "User" FROM j WHERE rpred <> prediction""",
+    "validation_read_back": f"SELECT *, 'folds=5,seed=42' AS settings FROM ({ORACLE['stump_kfold']})",
+    "evaluation_read_back": ORACLE["stump_holdout"],
+    "first_events": "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id LIMIT 10",
+    "stump_global_attributions": f"""WITH p AS ({STUMP_ALL} SELECT * FROM p), e AS (SELECT feature, avg(abs({P_STUMP} - (share * pl + (1 - share) * pr))) AS size FROM p GROUP BY feature),
+        w(name, description) AS (VALUES {DESCRIBED}), n(feature) AS (VALUES {values([(n,) for n in STUMP])}),
+        i AS (SELECT n.feature, coalesce(e.size, 0.0) AS importance FROM n LEFT JOIN e USING (feature))
+        SELECT feature, round(importance, 6) AS importance, coalesce(description, {q(v.NO_DESCRIPTION)}) AS description
+        FROM i LEFT JOIN w ON name = feature""",
+    "disagreement_training": f"""{EVENTS}, d AS (SELECT event_key, (rlabel IS NULL OR rlabel <> label)::INTEGER AS differ FROM f),
+        r AS (SELECT *, row_number() OVER (PARTITION BY differ ORDER BY {in_order(42, 'event_key', 'negatives')}) AS no,
+          sum(differ) OVER () AS n FROM d)
+        SELECT event_key, differ FROM r WHERE differ = 1 OR no <= n""",
+}
+
+# The alerts of the tree, with the names of its features in order of attribution: one is not 0.
+_SPOKEN = "CASE " + " ".join(map(sentences, STUMP)) + " END"
+_BASE = "(share * pl + (1 - share) * pr)"
+_PLACE = "CASE name " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(STUMP)) + " END"
+_OWN = "CASE name " + " ".join(f"WHEN '{n}' THEN {n}" for n in STUMP) + " END"
+ORACLE["stump_explanations"] = f"""{EVENTS}, p AS ({STUMP_ALL} SELECT * FROM p), n(name) AS (VALUES {values([(n,) for n in STUMP])}),
+    alerts AS (SELECT *, {CALLED} AS prediction, {SURE} AS sure, {P_STUMP} AS pm FROM p WHERE {P_STUMP} > 0.5),
+    a AS (SELECT event_key, prediction, sure, name, ({_OWN})::DOUBLE AS value, {_PLACE} AS place,
+          CASE WHEN name = feature THEN pm - {_BASE} ELSE 0.0::DOUBLE END AS contribution FROM alerts, n),
+    t AS (SELECT * EXCLUDE (name), name AS feature, row_number() OVER (PARTITION BY event_key ORDER BY abs(contribution) DESC, place) AS rank
+          FROM a QUALIFY rank <= 5){ATTACK},
+    lines AS (SELECT t.event_key, any_value(t.prediction) AS prediction, any_value(t.sure) AS sure,
+              string_agg(rank || '. ' || {_SPOKEN}, chr(10) ORDER BY rank) AS txt
+              FROM t JOIN (SELECT event_key, img, usr FROM f) f USING (event_key) GROUP BY t.event_key)
+    SELECT event_key, prediction, round(sure, 6) AS confidence, 'This event is classified as **malicious** with '
+      || format('{{:.0f}}', sure * 100) || '% confidence.' || chr(10) || '**Attack Type**: ' || coalesce(attack_type, 'attack type uncertain')
+      || chr(10) || chr(10) || '**Top Contributing Features:**' || chr(10) || chr(10) || txt AS explanation
+    FROM lines LEFT JOIN best USING (event_key)"""
+
+# The split between "differ" (malicious) and "agree" among the training rows, over base and reviewer features.
+_JUDGING = {n: s for n, s in disagreement.items() if n not in (*STUMP, "cmdline_length", "label_mismatch")}
+_BOTH = [*STUMP, *_JUDGING]
+_TAKEN = "CASE feature " + " ".join(f"WHEN '{n}' THEN {n}" for n in _BOTH) + " END"
+ORACLE["disagreement_stump"] = f"""{EVENTS}{WITH_PATTERNS},
+    x AS (SELECT 1 AS g, event_key, CASE WHEN rlabel IS NULL OR rlabel <> label THEN 'malicious' ELSE 'benign' END AS label,
+          {columns({n: UNROUNDED[n] for n in STUMP} | _JUDGING)} FROM g),
+    r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {in_order(42, 'event_key', 'negatives')}) AS no,
+          count(*) FILTER (WHERE label = 'malicious') OVER () AS size FROM x),
+    train AS (SELECT * EXCLUDE (no, size) FROM r WHERE label = 'malicious' OR no <= size), {stump('train', _BOTH)},
+    p AS (SELECT event_key, CASE WHEN {_TAKEN} <= cut THEN pl ELSE pr END AS q FROM x JOIN leaves USING (g))
+    SELECT event_key, (q > 0.5)::INTEGER AS disagreement, round(q, 6) AS p_disagreement FROM p"""

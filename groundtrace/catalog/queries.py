@@ -30,6 +30,8 @@ from groundtrace.plans import comparison as cp
 from groundtrace.plans import scoring as sc
 from groundtrace.plans import training as tn
 from groundtrace.session import shared_folder, stored
+from groundtrace.sources import sinks
+from groundtrace.sources.events import read_events
 from groundtrace.sources.sinks import disagreement_extract
 from groundtrace.streaming import score as st
 
@@ -827,3 +829,112 @@ def single_event_latency(spark, sf_dir):
     timings = st.single_event_timings(spark, process_events(spark, sf_dir), folder, st.heuristic_stream)
     return mt.timing_summary(timings).select(
         "stage", "runs", ((F.col("min_ms") > 0) & (F.col("min_ms") <= F.col("mean_ms")) & (F.col("mean_ms") <= F.col("max_ms"))).alias("ordered"))
+
+
+# ---- sinks and readers ------------------------------------------------------------------------------
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def json_events_read_back(spark, sf_dir):
+    """Raw events written as JSON lines under both spellings, read with the declared schema and resolved."""
+    folder = _folder(spark, "events")
+    raw = raw_process_events(spark, sf_dir)
+    spelled = {schema.alt(f): s for f, s in schema.SPELLINGS.items()} | {schema.REVIEWER: schema.REVIEWER_SOURCE_FIELD}
+    raw.select(F.to_json(F.struct(*[F.col(f"`{c}`").alias(spelled.get(c, c)) for c in raw.columns]))).write.text(folder)
+    events = pr.prepare_events(read_events(spark, folder, spellings=True, extra={"event_key": "bigint"}), ("event_key",))
+    return events.select("event_key", *SHOWN)
+
+
+@query
+def disagreement_csv_read_back(spark, sf_dir):
+    folder = _folder(spark, "csv")
+    sinks.write_disagreement_csv(process_events(spark, sf_dir), folder, "label")
+    rows = spark.read.option("header", True).option("escape", '"').csv(folder)
+    return rows.select(F.get_json_object(schema.REVIEWER, "$.predicted_label").alias("reviewer_label"),
+                       F.get_json_object(schema.REVIEWER, "$.reason").alias("reason"), "label",
+                       F.coalesce(schema.TECHNIQUE_FIELD, F.lit("")).alias("technique"))
+
+
+@query
+def failure_files_read_back(spark, sf_dir):
+    """The three files of a triage run, read again."""
+    folder = _folder(spark, "triage")
+    cp.write_failure_analysis(cp.analyze_failures(judged_events(spark, sf_dir)), folder)
+    fields = "event_key long, ground_truth string, command_line string, image string, user string, model_prediction string, failure_pattern string"
+    parts = [spark.read.schema(fields).json(f"{folder}/{name}").withColumn("file", F.lit(name))
+             for name in ("less_than_reviewer", "better_than_reviewer", "failure_patterns")]
+    return reduce(DataFrame.unionAll, parts)
+
+
+@query
+def nested_events_read_back(spark, sf_dir):
+    """Disagreements with their event as a nested object."""
+    folder = _folder(spark, "nested")
+    sinks.write_json_lines(lb.prediction_disagreements(judged_events(spark, sf_dir)), folder)
+    rows = spark.read.schema("event_key long, ground_truth string, event struct<CommandLine string, ProcessId bigint, User string>").json(folder)
+    return rows.select("event_key", "ground_truth", "event.CommandLine", "event.ProcessId", "event.User")
+
+
+@query
+def validation_read_back(spark, sf_dir):
+    """Fold results written with the settings of the run, read again."""
+    folder = _folder(spark, "folds")
+    result = tn.cross_validate(process_events(spark, sf_dir), settings=STUMP_SHAPE, names=STUMP)
+    tn.write_validation(result, folder, folds=5, seed=42)
+    fields = "fold int, tp long, fp long, tn long, fn long, accuracy double, precision double, recall double, f1 double"
+    settings = spark.read.schema("setting string, value string").json(f"{folder}/config").groupBy().agg(
+        F.sort_array(F.collect_list(F.concat("setting", F.lit("="), "value"))).alias("s"))
+    return rounded(spark.read.schema(fields).json(f"{folder}/folds")).crossJoin(F.broadcast(settings.select(
+        F.array_join("s", ",").alias("settings"))))
+
+
+@query
+def evaluation_read_back(spark, sf_dir):
+    """Hold-out metrics and cost, written and read again."""
+    folder = _folder(spark, "evaluation")
+    _, metrics, cost = tn.evaluate_holdout(process_events(spark, sf_dir), settings=STUMP_SHAPE, names=STUMP)
+    sinks.write_results(folder, metrics=metrics, cost=cost)
+    fields = "tp long, fp long, tn long, fn long, accuracy double, precision double, recall double, f1 double"
+    return rounded(spark.read.schema(fields).json(f"{folder}/metrics"))
+
+
+@query
+def first_events(spark, sf_dir):
+    """The ten latest events; of one time the smaller key."""
+    return sm.first_rows(table(spark, sf_dir, "events"), 10, F.desc("ts"), "event_id").select("event_id", "user_id", "event_type")
+
+
+# ---- models of one split, explained ------------------------------------------------------------------
+
+@query
+def stump_global_attributions(spark, sf_dir):
+    """Mean size of the exact attributions per feature, with descriptions."""
+    features, model = _stump(spark, sf_dir)
+    found = ta.tree_attributions(fo.score(model, features, ["event_key"]), model, ("event_key",))
+    return rounded(co.global_importance(found, "attributions", model.names, 10))
+
+
+@query
+def stump_explanations(spark, sf_dir):
+    """Verdict, exact attributions and explanation text of every alert."""
+    events = process_events(spark, sf_dir)
+    model = tn.fit_final(events, settings=STUMP_SHAPE, names=STUMP)
+    return rounded(sc.explain_events(events, model, exact=True, alerts_only=True).select(
+        "event_key", "prediction", "confidence", "explanation"))
+
+
+@query
+def disagreement_training(spark, sf_dir):
+    """The rows a disagreement model is fitted on."""
+    return tn.disagreement_training_rows(process_events(spark, sf_dir)).select("event_key", F.col("_target").cast("int").alias("differ"))
+
+
+@query
+def disagreement_stump(spark, sf_dir):
+    """A disagreement model of one split, over base and reviewer features."""
+    events = process_events(spark, sf_dir)
+    model = tn.fit_disagreement_model(events, settings=STUMP_SHAPE, base=STUMP)
+    return rounded(tn.score_disagreement(events, model, base=STUMP))

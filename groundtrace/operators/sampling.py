@@ -160,6 +160,14 @@ def choose(df: DataFrame, factor: float, order: Order, method: str = "exact") ->
     return _first_rows(df, order, lambda n: F.floor(n * F.lit(factor)))
 
 
+def first_rows(df: DataFrame, count: int, *order: str | Column) -> DataFrame:
+    """The first rows in the given order (L5); it must tell rows apart for the choice to be unique.
+
+    Each task keeps its own first rows and only those meet, so ``count`` should be small.
+    """
+    return df.orderBy(*order).limit(count)
+
+
 def choose_count(df: DataFrame, count: int, order: Order) -> DataFrame:
     """The first ``count`` rows in random order, all rows if there are fewer (L4)."""
     return _first_rows(df, order, lambda n: F.least(F.lit(count).cast("bigint"), n))

@@ -116,19 +116,20 @@ def evaluate_holdout(events: DataFrame, test_size: float = 0.2, seed: int = 42,
     return scored, binary_metrics(scored), cost_comparison(scored)
 
 
+def disagreement_training_rows(events: DataFrame, seed: int = 42) -> DataFrame:
+    """Rows on which reviewer and truth differ (``_target`` 1) and as many others, the first in a random order."""
+    agree, disagree = split_by_agreement(events)
+    # Counting and choosing need the keys alone; the features are computed for the chosen rows.
+    negatives = choose_count(agree, disagree.select("event_key").count(), Order(seed, "negatives", stratum=None))
+    return disagree.withColumn("_target", F.lit(1.0)).unionByName(negatives.withColumn("_target", F.lit(0.0)))
+
+
 def fit_disagreement_model(
     events: DataFrame, seed: int = 42, with_mismatch: bool = False,
     settings: ForestSettings = ForestSettings(trees=100, depth=5), base=FEATURES,
 ) -> ForestModel:
-    """Model of "reviewer and truth differ": all such rows against as many agreeing ones.
-
-    The agreeing rows are the first in a seeded random order.
-    """
-    agree, disagree = split_by_agreement(events)
-    # Counting and choosing need the keys alone; the features are computed for the chosen rows.
-    negatives = choose_count(agree, disagree.select("event_key").count(), Order(seed, "negatives", stratum=None))
-    both = disagree.withColumn("_target", F.lit(1.0)).unionByName(
-        negatives.withColumn("_target", F.lit(0.0)))
+    """Model of "reviewer and truth differ", fitted on ``disagreement_training_rows``."""
+    both = disagreement_training_rows(events, seed)
     names = [*base, *DISAGREEMENT] + ([LABEL_MISMATCH] if with_mismatch else [])
     table = disagreement_features(both, ("event_key", "_target"), base, with_mismatch=with_mismatch)
     return fit_forest(table, names, settings, target=F.col("_target"))
