@@ -959,3 +959,4 @@ ORACLE["disagreement_stump"] = f"""{EVENTS}{WITH_PATTERNS},
     train AS (SELECT * EXCLUDE (no, size) FROM r WHERE label = 'malicious' OR no <= size), {stump('train', _BOTH)},
     p AS (SELECT event_key, CASE WHEN {_TAKEN} <= cut THEN pl ELSE pr END AS q FROM x JOIN leaves USING (g))
     SELECT event_key, (q > 0.5)::INTEGER AS disagreement, round(q, 6) AS p_disagreement FROM p"""
+ORACLE["feature_table_by_commands"] = ORACLE["feature_table_rows"]

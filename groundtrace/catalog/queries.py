@@ -24,7 +24,7 @@ from groundtrace.operators import tree_attributions as ta
 from groundtrace.operators import triage as tr
 from groundtrace.operators.base_fields import RuleOptions
 from groundtrace.operators.event_rules import embedding_summary as summarise_vectors
-from groundtrace.operators.feature_table import FEATURES, feature_group, feature_table
+from groundtrace.operators.feature_table import FEATURES, feature_group, feature_table, feature_table_by_command
 from groundtrace.operators.obfuscation import long_text_entropy, text_entropy, text_obfuscation
 from groundtrace.plans import comparison as cp
 from groundtrace.plans import scoring as sc
@@ -770,6 +770,12 @@ def feature_table_rows(spark, sf_dir):
     return rounded(feature_table(process_events(spark, sf_dir), keep=("event_key", "label")), 4)
 
 
+@query
+def feature_table_by_commands(spark, sf_dir):
+    """The same with what follows from a command computed once per command."""
+    return rounded(feature_table_by_command(process_events(spark, sf_dir), keep=("event_key", "label")), 4)
+
+
 # ---- streaming ------------------------------------------------------------------------------------
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,14 +5,17 @@ Requesting fewer names drops whatever only the other columns needed.
 """
 
 from collections.abc import Sequence
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundtrace.operators import event_rules as ev
 from groundtrace.operators import native_rules as nat
 from groundtrace.operators import obfuscation as obf
 from groundtrace.operators.base_fields import RuleOptions, base_columns
+from groundtrace.session import stored
 
 GROUPS = {
     "native": (nat.NATIVE, nat.native_rules),
@@ -65,3 +68,47 @@ def feature_group(
 ) -> DataFrame:
     """The columns of one rule group."""
     return feature_table(events, GROUPS[group][0], keep, options, vector_col)
+
+
+COMMAND_FIELDS = ("_cmd", "_lc", "_len")
+
+
+@lru_cache(maxsize=8)
+def command_features(options: RuleOptions = RuleOptions()) -> tuple[str, ...]:
+    """The features that follow from the command alone: those that resolve where nothing else is there."""
+    spark = SparkSession.active()
+    events = spark.createDataFrame([], "CommandLine string")
+    staged = events.select(*[c.alias(n) for n, c in base_columns(events, options).items() if n in COMMAND_FIELDS])
+
+    def resolves(column) -> bool:
+        try:
+            return bool(staged.select(column).columns)
+        except AnalysisException:
+            return False
+
+    rules = [run(options) for name, (_, run) in GROUPS.items() if name != "relation"]
+    parts = {n: c for more, _ in rules for n, c in more.items() if resolves(c)}
+    staged = staged.select("*", *[c.alias(n) for n, c in parts.items()])
+    return tuple(sorted(n for _, features in rules for n, c in features.items() if n in FEATURES and resolves(c)))
+
+
+def feature_table_by_command(
+    events: DataFrame, names: Sequence[str] = FEATURES, keep: Sequence[str] = ("event_key",),
+    options: RuleOptions = RuleOptions(), vector_col: str = "embedding",
+) -> DataFrame:
+    """The same table for logs whose commands repeat: what follows from the command is computed once per command.
+
+    Commands are reduced to the different ones, in each task first, and their columns are written; the table's true
+    size then decides how it is joined back, and a command that makes up much of the log is no more than one of its
+    rows. Where most commands occur once, ``feature_table`` is the cheaper form, as it moves nothing.
+    """
+    own = [n for n in names if n in command_features(options)]
+    if not own:
+        return feature_table(events, names, keep, options, vector_col)
+    digest = F.struct(F.xxhash64("CommandLine").alias("a"), F.xxhash64(F.lit(1), "CommandLine").alias("b"))
+    keyed = events.withColumn("_digest", digest)
+    commands = keyed.select("_digest", "CommandLine").distinct()
+    known = stored(feature_table(commands, own, ("_digest",), options)).withColumnRenamed("_digest", "_of")
+    others = [n for n in names if n not in own]
+    rest = feature_table(keyed, others, [*keep, "_digest"], options, vector_col)
+    return rest.join(known, F.col("_digest") == F.col("_of")).select(*keep, *names)

@@ -206,3 +206,16 @@ def test_entropy_of_a_very_long_text(spark):
 
     long = spark.range(1).select("id", F.repeat(F.lit("abcdefgh"), 1_500_000).alias("text"))
     assert abs(long_text_entropy(long, "text", ("id",)).first()["entropy"] - 3.0) < 1e-12
+
+
+def test_features_by_command(spark, events):
+    from groundtrace.operators.feature_table import FEATURES, command_features, feature_table, feature_table_by_command
+
+    own = command_features()
+    assert {"cmdline_entropy", "num_dashes", "apt_defense_evasion", "has_file_ops"} <= set(own) < set(FEATURES)
+    assert not {"native_binary_abuse_score", "is_system_user", "image_path_depth", "process_id", "text_embedding_mean"} & set(own)
+    rows = events.unionByName(events.limit(20).withColumn("CommandLine", F.lit(None).cast("string")))
+    one, two = feature_table(rows), feature_table_by_command(rows)
+    assert one.columns == two.columns and one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
+    few = ["is_system_user", "process_id"]
+    assert feature_table_by_command(rows, few).exceptAll(feature_table(rows, few)).count() == 0
