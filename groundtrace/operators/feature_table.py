@@ -5,10 +5,8 @@ Requesting fewer names drops whatever only the other columns needed.
 """
 
 from collections.abc import Sequence
-from functools import lru_cache
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundtrace.operators import event_rules as ev
@@ -70,26 +68,11 @@ def feature_group(
     return feature_table(events, GROUPS[group][0], keep, options, vector_col)
 
 
-COMMAND_FIELDS = ("_cmd", "_lc", "_len")
-
-
-@lru_cache(maxsize=8)
-def command_features(options: RuleOptions = RuleOptions()) -> tuple[str, ...]:
-    """The features that follow from the command alone: those that resolve where nothing else is there."""
-    spark = SparkSession.active()
-    events = spark.createDataFrame([], "CommandLine string")
-    staged = events.select(*[c.alias(n) for n, c in base_columns(events, options).items() if n in COMMAND_FIELDS])
-
-    def resolves(column) -> bool:
-        try:
-            return bool(staged.select(column).columns)
-        except AnalysisException:
-            return False
-
-    rules = [run(options) for name, (_, run) in GROUPS.items() if name != "relation"]
-    parts = {n: c for more, _ in rules for n, c in more.items() if resolves(c)}
-    staged = staged.select("*", *[c.alias(n) for n, c in parts.items()])
-    return tuple(sorted(n for _, features in rules for n, c in features.items() if n in FEATURES and resolves(c)))
+# Rules of the command group that look at the image or the parent; all others there, and all technique and
+# obfuscation rules, look at the command alone.
+ABOUT_IMAGES = ("is_system32_binary", "is_syswow64_binary", "is_windows_binary", "is_temp_binary", "image_path_depth",
+                "parent_is_explorer", "parent_is_system", "parent_is_svchost")
+COMMAND_FEATURES = tuple(sorted({*nat.TECHNIQUE, *obf.OBFUSCATION, *ev.COMMAND} - {*ABOUT_IMAGES}))
 
 
 def feature_table_by_command(
@@ -102,7 +85,7 @@ def feature_table_by_command(
     size then decides how it is joined back, and a command that makes up much of the log is no more than one of its
     rows. Where most commands occur once, ``feature_table`` is the cheaper form, as it moves nothing.
     """
-    own = [n for n in names if n in command_features(options)]
+    own = [n for n in names if n in COMMAND_FEATURES]
     if not own:
         return feature_table(events, names, keep, options, vector_col)
     digest = F.struct(F.xxhash64("CommandLine").alias("a"), F.xxhash64(F.lit(1), "CommandLine").alias("b"))

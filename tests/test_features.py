@@ -209,11 +209,13 @@ def test_entropy_of_a_very_long_text(spark):
 
 
 def test_features_by_command(spark, events):
-    from groundtrace.operators.feature_table import FEATURES, command_features, feature_table, feature_table_by_command
+    from groundtrace.operators.feature_table import COMMAND_FEATURES, FEATURES, feature_table, feature_table_by_command
 
-    own = command_features()
-    assert {"cmdline_entropy", "num_dashes", "apt_defense_evasion", "has_file_ops"} <= set(own) < set(FEATURES)
-    assert not {"native_binary_abuse_score", "is_system_user", "image_path_depth", "process_id", "text_embedding_mean"} & set(own)
+    assert len(COMMAND_FEATURES) == 58 and set(COMMAND_FEATURES) < set(FEATURES)
+    commands = events.select("CommandLine").distinct().withColumn("event_key", F.lit(1))
+    alone = feature_table(commands, COMMAND_FEATURES, ("CommandLine",))  # nothing but the command is there
+    both = feature_table(events, COMMAND_FEATURES, ("CommandLine",)).distinct()
+    assert both.exceptAll(alone).count() == 0
     rows = events.unionByName(events.limit(20).withColumn("CommandLine", F.lit(None).cast("string")))
     one, two = feature_table(rows), feature_table_by_command(rows)
     assert one.columns == two.columns and one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
