@@ -111,9 +111,9 @@ def _texts(numbered: DataFrame, lines: DataFrame, some: DataFrame) -> DataFrame:
         F.min(_order()).alias("first"))
     wanted = places.groupBy(F.col("first.row").alias("r")).agg(F.collect_list(F.struct("k1", "k2", "first")).alias("w"))
     met = numbered.hint("merge").join(wanted, F.col("row") == F.col("r"))
-    each = met.select("w", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "line"))
-    here = F.filter("w", lambda x: x["first"]["no"] == F.col("no"))
-    return each.select("line", F.inline(here))
+    # The text is split once below the generator; each wanted line is then taken out by its number.
+    split = met.select("w", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    return split.select("lines", F.inline("w")).select("k1", "k2", "first", F.get("lines", F.col("first.no")).alias("line"))
 
 
 def _near(numbered: DataFrame, lines: DataFrame, work: Work) -> DataFrame:

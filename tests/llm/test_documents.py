@@ -199,3 +199,12 @@ def test_mixed_documents(make_docs, work):
     assert words == round(1.5 * 40 * 51)
     assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 4
     assert mixing.mixed_documents(make_docs([]), work).count() == 0
+
+
+def test_lines_of_one_document_of_very_many(spark, make_docs, work):
+    """9,000 lines, each with one within an edit: the work for a document grows with its lines, not with their square."""
+    import hashlib as digests
+
+    lines = [digests.md5(str(i // 2).encode()).hexdigest() + " some further words" + ("" if i % 2 else "x") for i in range(9000)]
+    row = line_dedup.remove_lines(make_docs([(1, "\n".join(lines)), (2, None)]), work).filter("id = 1").first()
+    assert (row.n_lines, row.n_removed, row.text) == (9000, 4500, "\n".join(lines[::2]))
