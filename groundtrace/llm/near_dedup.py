@@ -3,13 +3,16 @@
 A document is the set of its distinct ``SHINGLE``-word shingles. Documents of equal sets form a class and
 only its smallest id goes on. ``TREES`` orders sort the classes by a signature of ``DEPTH`` min-hashes each.
 Classes that share the first ``BASE`` values of an order form a region. In a region of at most ``REGION``
-classes all are candidates of each other. In a larger one each class first is a candidate of the smallest class
-of its region and of the smallest that shares its longest prefix. What this leaves apart is compared in a second
+classes all are candidates of each other. Larger ones are sorted by their signatures, and each class first is a
+candidate of its ``REACH`` neighbours, those of the longest common prefix. What this leaves apart is compared in a second
 turn, region by region, at the smallest depth at which the pairs between different components are few. Members of
 regions that are put off to a greater depth get further orders, read at the last depth alone, as many as
 ``last_orders`` takes from the threshold: a pair at the threshold is then missed there no more often than in small regions.
 
-Candidates are confirmed on the full sets (64-bit hashes of every shingle): first the most frequent candidate of
+Two classes that meet are held against each other by sketches first. One holds the parities of the shingles in
+64 * ``_ODD`` cells: two sketches never differ in more cells than the sets in shingles, so what it excludes is no link.
+The other holds two bits of each min-hash; a pair at the threshold differs in more than ``most_apart`` of them with
+probability ``MISS``. Only pairs that pass both are candidates. Candidates are confirmed on the full sets (64-bit hashes of every shingle): first the most frequent candidate of
 each class, then all that still lie in different components. With 20 orders and a base of 4, a pair at the
 threshold 0.85 shares no region with probability 4e-7, one at 0.8 with 2.6e-5; with 47 and 58 orders at the last
 depth the same holds for what is put off.
@@ -36,6 +39,11 @@ PERCENT = 80  # smallest similarity of a link, in hundredths
 TREES = 20
 BASE, DEPTH = 4, 8
 REGION = 32
+REACH = 3  # neighbours in a sorted order
+MISS = 1e-7  # probability that the sketches of a pair at the threshold differ too much
+_PART = TREES * DEPTH // 32  # 64-bit parts of the min-hash sketch
+_ODD = 8  # and of the parity sketch
+_SKETCH = _PART + _ODD
 _CHUNK = 1024
 _U = np.uint64
 
@@ -62,6 +70,18 @@ def last_orders(percent: int) -> int:
     return max(0, math.ceil(TREES * math.log1p(-s ** BASE) / math.log1p(-s ** DEPTH)) - TREES)
 
 
+def most_apart(percent: int) -> int:
+    """Bits in which the sketches of a pair at the threshold differ at most, but for one pair in 1 / MISS.
+
+    A min-hash is equal with the similarity as probability; of an unequal one both bits are even chances.
+    """
+    other = 1 - min(max(percent, 0), 100) / 100
+    spread = np.ones(1)
+    for _ in range(TREES * DEPTH):
+        spread = np.convolve(spread, [1 - other * 3 / 4, other / 2, other / 4])
+    return int(np.argmax(np.cumsum(spread[::-1])[::-1] <= MISS)) - 1 if spread[-1] <= MISS else len(spread) - 1
+
+
 def _hashers(before: int, trees: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(1, 2 * trees * DEPTH + 1, dtype=_U) + _U(2 * before * DEPTH)
     seeds = mix(at * _U(0x9E3779B97F4A7C15))
@@ -90,21 +110,43 @@ def _keys(sig: np.ndarray, before: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return out[0].view(np.int64), np.stack(out[1:], axis=1).view(np.int64)
 
 
+def sketch(sig: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Two bits of each of the first TREES * DEPTH min-hashes, then the parities of a set's values, in 64-bit parts."""
+    two = (sig[:TREES * DEPTH].astype(_U) & _U(3)).reshape(_PART, 32)
+    least = (two << (_U(2) * np.arange(32, dtype=_U))).sum(axis=1, dtype=_U).view(np.int64)
+    cell = (mix(values ^ _U(0x2545F4914F6CDD1D)) % _U(64 * _ODD)).astype(np.int64)
+    odd = np.packbits((np.bincount(cell, minlength=64 * _ODD) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+    return np.concatenate([least, odd])
+
+
+def _apart(a: str, b: str, parts: range):
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in parts), F.lit(0))
+
+
+def _alike(a: str, b: str, na: str, nb: str, percent: int):
+    """Whether the sketches in columns a and b, of sets of na and nb shingles, are near enough."""
+    odd = _apart(a, b, range(_PART, _SKETCH))
+    return ((odd * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent))
+            & (_apart(a, b, range(_PART)) <= most_apart(percent)))
+
+
 def profiles(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), c1 and c2 (128-bit key of the set), keys and deeper (region keys by tree and depth)."""
+    """id, n (set size), c1 and c2 (128-bit key of the set), keys and deeper (region keys by tree and depth), sketch."""
     arrow_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n, c1, c2, keys, deeper = [], [], [], [], []
+            n, c1, c2, keys, deeper, sketches = [], [], [], [], [], []
             for values in shingle_sets(batch.column(1), shingle):
                 n.append(len(values))
                 c1.append(int(mix(values).sum(dtype=_U).view(np.int64)) if len(values) else 0)
                 c2.append(int(mix(values ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).view(np.int64)) if len(values) else 0)
                 if len(values):
-                    base, more = _keys(signature(values))
+                    sig = signature(values)
+                    base, more = _keys(sig)
+                    sketches.append(sketch(sig, values))
                     keys.append(base)
                     deeper.append(more.ravel())
             full = np.array(n) > 0
@@ -116,11 +158,11 @@ def profiles(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
 
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(c1, pa.int64()),
                                    pa.array(c2, pa.int64()), lists(keys, TREES),
-                                   lists(deeper, TREES * (DEPTH - BASE))],
-                                  names=["id", "n", "c1", "c2", "keys", "deeper"])
+                                   lists(deeper, TREES * (DEPTH - BASE)), lists(sketches, _SKETCH)],
+                                  names=["id", "n", "c1", "c2", "keys", "deeper", "sketch"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "id long, n long, c1 long, c2 long, keys array<long>, deeper array<long>")
+        run, "id long, n long, c1 long, c2 long, keys array<long>, deeper array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -140,7 +182,7 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int, id_col: str, text_col:
 
 
 def _last_keys(sets: DataFrame, orders: int) -> DataFrame:
-    """(p, id, n): the last prefix of every set in the orders after the first TREES."""
+    """(p, id, n, sketch): the last prefix of every set in the orders after the first TREES, and their sketch."""
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -148,12 +190,16 @@ def _last_keys(sets: DataFrame, orders: int) -> DataFrame:
             offsets = batch.column(1).offsets.to_numpy()
             values = batch.column(1).values.to_numpy().view(_U)
             n = np.diff(offsets).astype(np.int64)
-            keys = [_keys(signature(values[at:to], TREES, orders), TREES)[1][:, -1]
-                    for at, to in zip(offsets[:-1], offsets[1:])]
-            yield pa.record_batch([pa.array(np.concatenate(keys)), batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), orders))),
-                                   pa.array(np.repeat(n, orders))], names=["p", "id", "n"])
+            parts = [values[at:to] for at, to in zip(offsets[:-1], offsets[1:])]
+            sigs = [signature(part, TREES, max(orders, TREES)) for part in parts]
+            keys = [_keys(sig[:orders * DEPTH], TREES)[1][:, -1] for sig in sigs]
+            own = pa.array(np.repeat(np.arange(len(n)), orders))
+            sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * np.int32(_SKETCH)),
+                                                pa.array(np.concatenate([sketch(*both) for both in zip(sigs, parts)])))
+            yield pa.record_batch([pa.array(np.concatenate(keys)), batch.column(0).take(own),
+                                   pa.array(np.repeat(n, orders)), sketches.take(own)], names=["p", "id", "n", "sketch"])
 
-    return sets.select("id", "set").mapInArrow(run, "p long, id long, n long")
+    return sets.select("id", "set").mapInArrow(run, "p long, id long, n long, sketch array<long>")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -165,7 +211,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("i") * 100 >= union * percent).select("a", "b")
 
 
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+def _unlinked(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs whose ends lie in different components; nodes without a component are alone."""
     ca = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     cb = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
@@ -177,19 +223,50 @@ def _near_sizes(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _neighbours(large: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each class with the REACH classes before it in each sorted order, if in one region and alike.
+
+    Rows are dealt by ranges of the order, so a hot region takes many tasks; pairs that a range cuts apart are left
+    to the second turn.
+    """
+    limit = most_apart(percent)
+    order = ["key", "deeper", "id"]
+    dealt = large.select(*order, "n", "sketch").repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.column_stack([batch.column(at).to_numpy() for at in range(3)]
+                                   + [batch.column(3).flatten().to_numpy().reshape(-1, _SKETCH)])
+            old = 0 if held is None else len(held)
+            rows = rows if held is None else np.concatenate([held, rows])
+            found = []
+            for step in range(1, REACH + 1):
+                x, y = rows[step:], rows[:-step]
+                big, small = np.maximum(x[:, 2], y[:, 2]), np.minimum(x[:, 2], y[:, 2])
+                bits = np.bitwise_count((x[:, 3:] ^ y[:, 3:]).view(_U)).astype(np.int64)
+                apart, odd = bits[:, :_PART].sum(axis=1), bits[:, _PART:].sum(axis=1)
+                good = ((x[:, 0] == y[:, 0]) & (x[:, 1] != y[:, 1]) & (small * 100 >= big * percent) & (apart <= limit)
+                        & (odd * (100 + percent) <= (big + small) * (100 - percent)) & (np.arange(step, len(rows)) >= old))
+                found.append(np.stack([x[good, 1], y[good, 1]]))
+            pairs = np.concatenate(found, axis=1)
+            held = rows[-REACH:]
+            yield pa.record_batch([pa.array(pairs.max(axis=0)), pa.array(pairs.min(axis=0))], names=["a", "b"])
+
+    return dealt.select("key", "id", "n", "sketch").mapInArrow(run, "a long, b long")
+
+
 def _region_pairs(inside: DataFrame, percent: int) -> DataFrame:
     """Candidates of the first turn: (a, b, votes) with a > b."""
     small = inside.filter(F.col("m") <= REGION)
-    left = small.select("key", F.col("id").alias("a"), F.col("n").alias("na"))
-    right = small.select("key", F.col("id").alias("b"), F.col("n").alias("nb"))
-    pairs = left.join(right, "key").filter((F.col("a") > F.col("b")) & _near_sizes("na", "nb", percent)).select("a", "b")
-    large = inside.filter(F.col("m") > REGION)
-    prefixes = large.withColumn("p", F.explode(F.array("key", F.element_at("deeper", -1))))
-    centre = prefixes.groupBy("p").agg(F.min(F.struct("id", "n")).alias("c"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    stars = prefixes.join(centre, "p").select(F.col("id").alias("a"), F.col("c.id").alias("b"), "n",
-                                              F.col("c.n").alias("nb")).filter(
-        (F.col("a") > F.col("b")) & _near_sizes("n", "nb", percent)).select("a", "b")
-    return pairs.unionByName(stars).groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
+    left = small.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = small.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    pairs = left.join(right, "key").filter((F.col("a") > F.col("b")) & _near_sizes("na", "nb", percent)
+                                           & _alike("sa", "sb", "na", "nb", percent)).select("a", "b")
+    beside = _neighbours(inside.filter(F.col("m") > REGION), percent)
+    return pairs.unionByName(beside).groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
 
 
 def _split_regions(level: DataFrame) -> DataFrame:
@@ -202,12 +279,12 @@ def _split_regions(level: DataFrame) -> DataFrame:
 
 
 def _across(here: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a region between different components."""
+    """The pairs of a region between different components that are alike."""
     few = here.filter("c <> main").select("p", F.col("id").alias("x"), F.col("n").alias("nx"),
-                                          F.col("c").alias("cx"))
-    return few.join(here.select("p", "id", "n", "c", "main"), "p").filter(
+                                          F.col("c").alias("cx"), F.col("sketch").alias("sx"))
+    return few.join(here.select("p", "id", "n", "c", "main", "sketch"), "p").filter(
         ((F.col("c") == F.col("main")) | (F.col("c") < F.col("cx"))) & (F.col("c") != F.col("cx"))
-        & _near_sizes("nx", "n", percent)).select(
+        & _near_sizes("nx", "n", percent) & _alike("sx", "sketch", "nx", "n", percent)).select(
         F.greatest("x", "id").alias("a"), F.least("x", "id").alias("b")).distinct()
 
 
@@ -218,10 +295,10 @@ def _left_over(inside: DataFrame, found: DataFrame, sets: DataFrame, work: Work,
     against all, make at most REGION pairs for each class; at the last depth all that is left is compared.
     Whoever was in a region put off is also compared by the last prefixes of the further orders.
     """
-    large = inside.filter(F.col("m") > REGION).select("key", "id", "n", "deeper")
+    large = inside.filter(F.col("m") > REGION).select("key", "id", "n", "deeper", "sketch")
     own = found.select(F.col("node").alias("id"), "component")
     level = work.store(large.join(own, "id", "left").select(
-        F.col("key").alias("p"), "id", "n", "deeper", F.coalesce("component", "id").alias("c")))
+        F.col("key").alias("p"), "id", "n", "deeper", "sketch", F.coalesce("component", "id").alias("c")))
     out = None
     for depth in range(BASE, DEPTH + 1):
         joined = work.store(_split_regions(level))
@@ -236,9 +313,9 @@ def _left_over(inside: DataFrame, found: DataFrame, sets: DataFrame, work: Work,
         if depth == BASE and last_orders(percent):
             off = rest.select("id").distinct()
             keys = _last_keys(sets.join(off, "id", "left_semi"), last_orders(percent)).join(own, "id", "left").select(
-                "p", "id", "n", F.coalesce("component", "id").alias("c"))
+                "p", "id", "n", "sketch", F.coalesce("component", "id").alias("c"))
             out = out.unionByName(_across(work.store(_split_regions(work.store(keys))), percent))
-        level = rest.select(F.col("deeper")[depth - BASE].alias("p"), "id", "n", "deeper", "c")
+        level = rest.select(F.col("deeper")[depth - BASE].alias("p"), "id", "n", "deeper", "sketch", "c")
     return out.distinct()
 
 
@@ -251,11 +328,11 @@ def near_duplicates(docs: DataFrame, work: Work, shingle: int = SHINGLE, percent
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     first = rep.select("rep", "n", F.col("c1").alias("r1"), F.col("c2").alias("r2"))
     heads = named.join(first.select("rep", "r1", "r2"), (F.col("id") == F.col("rep")) & (F.col("c1") == F.col("r1"))
-                       & (F.col("c2") == F.col("r2"))).select("id", "n", "c1", "c2", "keys", "deeper").dropDuplicates(
+                       & (F.col("c2") == F.col("r2"))).select("id", "n", "c1", "c2", "keys", "deeper", "sketch").dropDuplicates(
         ["id", "n", "c1", "c2"])  # one doc_id may head several sets, also of one size
     width = DEPTH - BASE
-    members = heads.select("id", "n", F.posexplode("keys").alias("t", "key"), "deeper").select(
-        "id", "n", "key", F.slice("deeper", F.col("t") * width + 1, F.lit(width)).alias("deeper"))
+    members = heads.select("id", "n", F.posexplode("keys").alias("t", "key"), "deeper", "sketch").select(
+        "id", "n", "key", F.slice("deeper", F.col("t") * width + 1, F.lit(width)).alias("deeper"), "sketch")
     regions = heads.select(F.explode("keys").alias("key")).groupBy("key").agg(
         F.count(F.lit(1)).alias("m")).filter("m > 1")
     inside = work.store(members.join(regions, "key"))
@@ -266,7 +343,7 @@ def near_duplicates(docs: DataFrame, work: Work, shingle: int = SHINGLE, percent
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("votes", -F.col("b"))).alias("b"))
     links = work.store(_confirm(best.select("a", "b"), sets, percent))
     found = work.store(components(links, work))
-    more = work.store(_confirm(_apart(pairs.select("a", "b"), found), sets, percent))
+    more = work.store(_confirm(_unlinked(pairs.select("a", "b"), found), sets, percent))
     if more.limit(1).count():
         links = links.unionByName(more)
         found = work.store(components(links, work))

@@ -3,6 +3,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 from material import corpus, make_docs, work  # noqa: F401
 from pyspark.sql import functions as F
@@ -44,6 +45,33 @@ def test_near_duplicates_of_pairs_on_one_template(make_docs, work):
     assert by_id(got, "id", "n_shingles", "component", "kept") == brute.near(docs, 1, 80)
 
 
+def test_sketches_exclude_no_link():
+    rng = np.random.default_rng(3)
+    bits = lambda x, y: np.bitwise_count((x ^ y).view(np.uint64)).astype(int)
+    part, over = near_dedup._PART, 0
+    for i in range(300):
+        values = np.unique(rng.integers(0, 2 ** 63, 1200).astype(np.uint64))
+        same = int(rng.integers(1, 1000))
+        x, y = values[:same + 60], np.concatenate([values[:same], values[same + 60:same + 60 + int(rng.integers(0, 90))]])
+        a, b = (near_dedup.sketch(near_dedup.signature(v), v) for v in (x, y))
+        apart = len(np.setxor1d(x, y))
+        assert bits(a, b)[part:].sum() <= apart
+        percent = int(100 * len(np.intersect1d(x, y)) / len(np.union1d(x, y)))
+        over += bits(a, b)[:part].sum() > near_dedup.most_apart(percent)
+    assert over == 0
+    assert near_dedup.most_apart(100) == 0 and near_dedup.most_apart(85) < near_dedup.most_apart(80) < 160
+
+
+def test_neighbours_in_sorted_orders(spark):
+    sketch = [0] * near_dedup._SKETCH
+    rows = [(key, i, 10, sketch, [d]) for key, i, d in ((1, 5, 9), (1, 6, 9), (1, 7, 2), (1, 8, 3), (1, 1, 8), (2, 9, 9))]
+    rows += [(1, 2, 10, [(1 << 62) - 1] + sketch[1:], [9]), (1, 3, 90, sketch, [9])]  # not alike, too large
+    frame = spark.createDataFrame(rows, "key long, id long, n long, sketch array<long>, deeper array<long>").coalesce(1)
+    got = {(r.a, r.b) for r in near_dedup._neighbours(frame, 85).collect()}
+    assert got <= {(a, b) for a in (5, 6, 7, 8) for b in (1, 5, 6, 7) if a > b}
+    assert near_dedup._neighbours(frame.limit(0), 85).schema.simpleString() == "struct<a:bigint,b:bigint>"
+
+
 def test_near_duplicates_odd_rows(make_docs, work):
     same = "one two three four five six"
     rows = [(3, same), (1, same), (1, same), (None, same), (1, "a b c d e f g"), (9, "a b c d e f g"), (None, None)]
