@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundtrace.llm.tables import ASCII_SPACE, Work
+from groundtrace.llm.tables import ASCII_SPACE, Work, free_name
 
 BUCKETS = 64
 
@@ -91,7 +91,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, work: Work, id_col: str = "
 def keep_documents(docs: DataFrame, index: DigestIndex, work: Work, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
-    numbered = work.number(docs, "_dedup_row")
-    stay = deduplicate(numbered, index, work, id_col, text_col, F.col("_dedup_row")).filter("kept")
-    return numbered.join(stay.select(F.col("row").alias("_stays")),
-                         F.col("_dedup_row") == F.col("_stays"), "left_semi").drop("_dedup_row")
+    row, stays = free_name(docs, "_dedup_row"), free_name(docs, "_stays")
+    numbered = work.number(docs, row)
+    stay = deduplicate(numbered, index, work, id_col, text_col, F.col(row)).filter("kept")
+    return numbered.join(stay.select(F.col("row").alias(stays)), F.col(row) == F.col(stays), "left_semi").drop(row)

@@ -14,7 +14,7 @@ is 0. An empty table gives an empty result. Extra columns are ignored.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundtrace.llm.tables import ASCII_SPACE, Work, running_totals, word_count
+from groundtrace.llm.tables import ASCII_SPACE, Work, free_name, running_totals, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5  # words of the mix per word of the input
@@ -162,17 +162,18 @@ def mixed_documents(docs: DataFrame, work: Work, seed: int = 11, id_col: str = "
     A document that the mix takes whole keeps its text as it is. Where a source's target falls inside a
     document, that row keeps its first words, joined by one space.
     """
-    numbered = work.number(docs, "_mix_row")
-    rows = work.store(sized(numbered, F.col("_mix_row"), seed, id_col, text_col, source_col))
+    number, taken_row, cut = (free_name(docs, n) for n in ("_mix_row", "_taken_row", "_cut"))
+    numbered = work.number(docs, number)
+    rows = work.store(sized(numbered, F.col(number), seed, id_col, text_col, source_col))
     targets = source_targets(rows, work)
     taken = mix(rows, targets, work).groupBy("row", "round").agg(F.max("to_word").alias("_words")).join(
         rows.select(F.col("row").alias("_r"), "size"), F.col("row") == F.col("_r")).select(
-        F.col("row").alias("_taken_row"), F.when(F.col("_words") < F.col("size"), F.col("_words")).alias("_cut"))
+        F.col("row").alias(taken_row), F.when(F.col("_words") < F.col("size"), F.col("_words")).alias(cut))
     tokens = F.filter(F.split(F.col(text_col), ASCII_SPACE + "+"), lambda w: w != "")
-    text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.slice(tokens, F.lit(1), F.col("_cut").cast("int")), " "))
-    out = numbered.join(taken, F.col("_mix_row") == F.col("_taken_row")).withColumn(text_col, text)
+    text = F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(
+        F.array_join(F.slice(tokens, F.lit(1), F.col(cut).cast("int")), " "))
+    out = numbered.join(taken, F.col(number) == F.col(taken_row)).withColumn(text_col, text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(
+        out = out.withColumn("n_chars", F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(
             F.length(F.col(text_col)).cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

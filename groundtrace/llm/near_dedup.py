@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundtrace.llm.components import components
-from groundtrace.llm.tables import Work, arrow_batches
+from groundtrace.llm.tables import Work, arrow_batches, free_name
 from groundtrace.llm.words import mix, sequence_hash, words
 
 SHINGLE = 5
@@ -372,6 +372,7 @@ def near_duplicates(docs: DataFrame, work: Work, shingle: int = SHINGLE, percent
 
 def keep_documents(docs: DataFrame, work: Work, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of the documents that stay: one document of each component."""
+    name = free_name(docs, "_gone")
     gone = near_duplicates(docs, work, id_col=id_col, text_col=text_col).filter(~F.col("kept")).select(
-        F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+        F.col("id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")

@@ -66,6 +66,14 @@ class Work:
         _delete(self.spark, self.folder)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores added while ``docs`` has such a column, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
