@@ -2,7 +2,8 @@
 
 The index is a table bucketed and sorted by digest. New data is reduced to one winner per digest,
 held against the index by a sort-merge anti-join that does not shuffle the index, and what is new is
-appended.
+appended under the name of its batch. A batch that is run again under its name, after a job that died before or after the
+append, does not meet its own digests, appends what is missing and gives the same result.
 
 Defined cases: null text counts as empty; all texts without a character other than ASCII white space
 are equal. Rows that repeat doc_id and text are separate rows of one group, one of them stays. A null
@@ -29,13 +30,13 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Digests seen so far: (digest, keep_id, keep_chars, group_size), bucketed and sorted by digest.
+    """Digests seen so far: (digest, keep_id, keep_chars, group_size, batch), bucketed and sorted by digest.
 
     ``path`` names a folder all executors reach; opening it again, also in a later session, registers
     the same files. The number of buckets belongs to the folder and cannot change later.
     """
 
-    schema = "digest BINARY, keep_id BIGINT, keep_chars BIGINT, group_size BIGINT"
+    schema = "digest BINARY, keep_id BIGINT, keep_chars BIGINT, group_size BIGINT, batch STRING"
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.buckets = spark, buckets
@@ -46,10 +47,13 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append(self, winners: DataFrame) -> None:
-        """Add new digests, one file per bucket; re-running a failed append is not idempotent."""
+    def append(self, winners: DataFrame, batch: str | None = None) -> None:
+        """Add new digests, one file per bucket; those that a named batch has added before are left out."""
         self.spark.catalog.refreshTable(self.name)
-        (winners.select("digest", "keep_id", "keep_chars", "group_size")
+        if batch is not None:
+            there = self.table().filter(F.col("batch") == batch).select("digest")
+            winners = winners.join(there, "digest", "left_anti")
+        (winners.select("digest", "keep_id", "keep_chars", "group_size", F.lit(batch or uuid.uuid4().hex).alias("batch"))
          .repartition(self.buckets, "digest").sortWithinPartitions("digest")
          .write.insertInto(self.name))
         self.spark.catalog.refreshTable(self.name)
@@ -63,11 +67,12 @@ def keys_of(docs: DataFrame, row: Column, id_col: str = "doc_id", text_col: str
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex, work: Work, id_col: str = "doc_id",
-                text_col: str = "text", row: Column | None = None) -> DataFrame:
+                text_col: str = "text", row: Column | None = None, batch: str | None = None) -> DataFrame:
     """One row per document: row, id, chars, digest, keep_id, group_size, kept; the index grows by what is new.
 
     Of equal texts that the index does not know, the one with the most characters stays, then the
     smallest id. Texts it knows all go, whatever their length; ``keep_id`` then names the indexed one.
+    ``batch`` names these documents for runs that may have to be repeated; without it every call is a batch of its own.
     """
     keys = work.store(keys_of(
         docs, F.monotonically_increasing_id() if row is None else row, id_col, text_col))
@@ -77,12 +82,15 @@ def deduplicate(docs: DataFrame, index: DigestIndex, work: Work, id_col: str = "
         F.col("w.row").alias("keep_row"))
     winners = work.store(winners)
     known = index.table()
+    if batch is not None:
+        known = known.filter(F.col("batch") != batch)
+    known = known.drop("batch")
     new = work.store(winners.join(known.select("digest"), "digest", "left_anti"))
     old = winners.select("digest", F.col("group_size").alias("more")).join(known, "digest").select(
         "digest", "keep_id", "keep_chars", (F.col("group_size") + F.col("more")).alias("group_size"),
         F.lit(None).cast("long").alias("keep_row"))
     resolved = work.store(new.unionByName(old))
-    index.append(new)
+    index.append(new, batch)
     return keys.join(resolved, "digest").select(
         "row", "id", "chars", "digest", "keep_id", "keep_chars", "group_size",
         F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"))

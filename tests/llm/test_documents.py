@@ -111,6 +111,22 @@ def test_exact_deduplication(make_docs, work, corpus, spark):
     assert again.table().count() == len(groups) + 1
 
 
+def test_exact_deduplication_of_a_repeated_batch(make_docs, work, spark):
+    index = exact_dedup.DigestIndex(spark, f"{work.folder}/batches", 2)
+    first, second = [(2, "a b"), (1, "ab"), (3, "c")], [(4, "c"), (5, "d"), (6, "d ")]
+
+    def run(rows, batch):
+        return by_id(exact_dedup.deduplicate(make_docs(rows), index, work, batch=batch), "id", "keep_id", "group_size", "kept")
+
+    assert run(first, "one") == {2: (2, 2, True), 1: (2, 2, False), 3: (3, 1, True)}
+    index.append(exact_dedup.keys_of(make_docs([(6, "d ")]), F.lit(0)).select(  # a part of a batch that died
+        "digest", F.col("id").alias("keep_id"), F.col("chars").alias("keep_chars"), F.lit(2).cast("long").alias("group_size")), "two")
+    wanted = {4: (3, 2, False), 5: (6, 2, False), 6: (6, 2, True)}
+    assert run(second, "two") == wanted and run(second, "two") == wanted
+    assert run(first, "one") == {2: (2, 2, True), 1: (2, 2, False), 3: (3, 1, True)}
+    assert index.table().count() == 3
+
+
 def test_exact_deduplication_keeps_rows(make_docs, work, spark):
     docs = make_docs([(2, "a b"), (1, "ab"), (1, "ab"), (None, "c"), (None, "c"), (4, None), (5, "")])
     kept = exact_dedup.keep_documents(docs, exact_dedup.DigestIndex(spark, f"{work.folder}/a", 2), work)
