@@ -4,14 +4,15 @@ A window is ``WINDOW`` consecutive words of a document. Every window has an anch
 smallest hash inside it, so equal windows have equal anchors and about every fifth position of a text is an
 anchor. Only windows whose anchor occurs in several documents are looked at further.
 
-1. Confirm: window keys (96 bits) that occur in several documents, with the smallest such document.
+1. Confirm: windows (64 bits of their words, 31 of their anchor) that occur in several documents, with the
+   smallest such document. A join of the windows with these names the shards that a text visits, no place in it.
 2. Compile: the recurring windows of those first documents, dealt to shards by first document, become
    Aho-Corasick automata over word numbers.
-3. Stream: the stretches of all documents that may hold them run through the automata of their shards, word by
-   word, and every occurrence is located by its text.
+3. Stream: texts run whole through the automata of the shards they visit, word by word, and every occurrence is
+   located there. Texts of more than ``PIECE_WORDS`` words run in pieces that overlap by a window less one word.
 
-A shard with very many stretches is dealt to several tasks, each with a copy of its automaton; one with very
-many phrases is cut into several automata that all its stretches visit. Documents of equal word sequences
+A shard that very much text visits is dealt to several tasks, each with a copy of its automaton; one with very
+many phrases is cut into several automata that all its texts visit. Documents of equal word sequences
 collapse first: all but the smallest are removed as a whole.
 
 Defined cases: null texts have no words; texts shorter than a window keep all words. Rows of one doc_id are one
@@ -33,21 +34,63 @@ from groundtrace.llm.words import mix, sequence_hash, words
 WINDOW = 13
 ANCHOR = 5
 SHARD_PHRASES = 20_000  # recurring windows of a shard on average, and the most of one automaton: twice that
-TASK_STRETCHES = 20_000  # stretches that one copy of an automaton streams
-_SLICE = 1 << 17
+TASK_BYTES = 32 << 20  # text that one copy of an automaton streams
+PIECE_WORDS = 20_000  # longer texts are streamed in pieces of so many window positions
+_BLOCK = 1 << 16
+_BYTES = pa.binary()
 _U = np.uint64
 
 
-def _anchors(w, d: int, window: int):
-    """For text d: word hashes, and the position of each window's anchor."""
-    h = w.hash[w.first[d]:w.first[d + 1]]
-    if len(h) < window:
-        return h, None, np.zeros(0, np.int64)
-    grams = sequence_hash(h, ANCHOR, 77)
+def _window_anchors(h: np.ndarray, first: np.ndarray, window: int):
+    """In blocks of word positions: (starts of windows, their texts, places of their anchors, the anchors)."""
     span = window - ANCHOR + 1
-    view = np.lib.stride_tricks.sliding_window_view(grams, span)
-    place = np.concatenate([view[i:i + _SLICE].argmin(axis=1) for i in range(0, len(view), _SLICE)])
-    return h, grams, place + np.arange(len(view))
+    for a in range(0, len(h) - window + 1, _BLOCK):
+        grams = sequence_hash(h[a:a + _BLOCK + window - 1], ANCHOR, 77)
+        m = len(grams) - span + 1
+        least, place = grams[:m].copy(), np.zeros(m, np.int64)
+        for i in range(1, span):
+            less = grams[i:i + m] < least
+            least[less] = grams[i:i + m][less]
+            place[less] = i
+        start = np.arange(a, a + m)
+        text = np.searchsorted(first, start, "right") - 1
+        whole = start + window <= first[text + 1]
+        yield start[whole], text[whole], (place + start)[whole], least[whole]
+
+
+def _changes(place: np.ndarray) -> np.ndarray:
+    """Where a window has another anchor than the one before it."""
+    return np.r_[np.ones(min(1, len(place)), bool), place[1:] != place[:-1]]
+
+
+def _distinct_anchors(h: np.ndarray, first: np.ndarray, window: int) -> pa.Array:
+    """The different anchors of each text, as lists."""
+    texts, grams = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
+    for _, text, place, least in _window_anchors(h, first, window):
+        new = _changes(place)
+        texts.append(text[new])
+        grams.append(least[new])
+    text, gram = np.concatenate(texts), np.concatenate(grams)
+    order = np.lexsort((gram, text))
+    text, gram = text[order], gram[order]
+    new = np.r_[np.ones(min(1, len(text)), bool), (text[1:] != text[:-1]) | (gram[1:] != gram[:-1])]
+    text, gram = text[new], gram[new]
+    offsets = np.searchsorted(text, np.arange(len(first))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(gram.view(np.int64)))
+
+
+def _sequence_keys(h: np.ndarray, first: np.ndarray, seeds: tuple) -> list[np.ndarray]:
+    """For each seed, a key of the whole word sequence of each text; 0 without words."""
+    out = [np.zeros(len(first) - 1, _U) for _ in seeds]
+    for a in range(0, len(h), _BLOCK):
+        part = h[a:a + _BLOCK]
+        word = np.arange(a, a + len(part))
+        text = np.searchsorted(first, word, "right") - 1
+        at = (word - first[text]).astype(_U)
+        starts = np.flatnonzero(_changes(text))
+        for total, seed in zip(out, seeds):
+            total[text[starts]] += np.add.reduceat(mix(part ^ mix(at + _U(seed))), starts)
+    return [total.view(np.int64) for total in out]
 
 
 def _profile(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
@@ -55,54 +98,59 @@ def _profile(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFr
     def run(batches):
         for batch in batches:
             w = words(batch.column(1))
-            out = [[], [], [], [], []]
-            for d in range(batch.num_rows):
-                h, grams, place = _anchors(w, d, window)
-                at = np.arange(len(h), dtype=_U)
-                for k in (0, 1):
-                    out[1 + k].append(int(mix(h ^ mix(at + _U(1 + 7 * k))).sum(dtype=_U).view(np.int64)) if len(h) else 0)
-                out[0].append(len(h))
-                text = batch.column(1)[d].as_py()
-                out[3].append(hashlib.sha256(b" ".join((text or "").encode().split())).hexdigest())
-                out[4].append(np.unique(grams[np.unique(place)]).view(np.int64) if len(place) else np.zeros(0, np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(a) for a in out[4]])]).astype(np.int32)
-            flat = np.concatenate(out[4]) if out[4] else np.zeros(0, np.int64)
+            s1, s2 = _sequence_keys(w.hash, w.first, (1, 8))
+            sha = [hashlib.sha256(b" ".join((text or b"").split())).hexdigest()
+                   for text in batch.column(1).cast(_BYTES).to_pylist()]
             yield pa.record_batch(
-                [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()),
-                 pa.array(out[3], pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["id", "words", "s1", "s2", "sha", "anchors"])
+                [batch.column(0), pa.array(np.diff(w.first)), pa.array(s1), pa.array(s2), pa.array(sha, pa.string()),
+                 _distinct_anchors(w.hash, w.first, window)], names=["id", "words", "s1", "s2", "sha", "anchors"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, "id long, words long, s1 long, s2 long, sha string, anchors array<long>")
 
 
 def _windows(candidates: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, id, s1, pos) of the windows whose anchor recurs."""
+    """(w1, w2, id, s1, pos) of the windows whose anchor recurs: key of all words, some bits of the anchor."""
     def run(batches):
         for batch in batches:
             w = words(batch.column(2))
-            ids, s1 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for d in range(batch.num_rows):
-                h, grams, place = _anchors(w, d, window)
-                known = np.asarray(batch.column(3)[d].values).view(_U)
-                pos = np.flatnonzero(np.isin(grams[place], known)) if len(place) else place
-                if not len(pos):
+            ids, s1 = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            known = np.unique(np.asarray(batch.column(3).flatten())).view(_U)
+            for start, text, place, least in _window_anchors(w.hash, w.first, window):
+                if not len(start):
+                    continue
+                new = _changes(place)
+                use = np.flatnonzero(np.isin(least[new], known)[np.cumsum(new) - 1])
+                if not len(use):
                     continue
-                for at in range(0, len(pos), _SLICE):
-                    some = pos[at:at + _SLICE]
-                    part = h[some[0]:some[-1] + window]
-                    w1 = sequence_hash(part, window, 101)[some - some[0]].view(np.int64)
-                    w2 = (sequence_hash(part, window, 103)[some - some[0]] >> _U(33)).astype(np.int32)
-                    n = len(some)
-                    yield pa.record_batch(
-                        [pa.array(w1), pa.array(w2), pa.array(np.full(n, ids[d], np.int64)),
-                         pa.array(np.full(n, s1[d], np.int64)), pa.array(some.astype(np.int32))],
-                        names=["w1", "w2", "id", "s1", "pos"])
+                start, text = start[use], text[use]
+                w1 = sequence_hash(w.hash[start[0]:start[-1] + window], window, 101)[start - start[0]].view(np.int64)
+                yield pa.record_batch(
+                    [pa.array(w1), pa.array((least[use] >> _U(33)).astype(np.int32)), pa.array(ids[text]), pa.array(s1[text]),
+                     pa.array((start - w.first[text]).astype(np.int32))], names=["w1", "w2", "id", "s1", "pos"])
 
     return candidates.select("id", "s1", "text", "anchors").mapInArrow(
         run, "w1 long, w2 int, id long, s1 long, pos int")
 
 
+def _pieces(candidates: DataFrame, window: int) -> DataFrame:
+    """(id, s1, piece, text): texts cut every PIECE_WORDS words, with the words that a window reaches beyond."""
+    def run(batches):
+        for batch in batches:
+            out = [[], [], [], []]
+            for own, s1, text in zip(*(c.to_pylist() for c in batch.columns)):
+                tokens = text.encode().split() if len(text) > 2 * PIECE_WORDS else []
+                cuts = range(0, max(1, len(tokens) - window + 1), PIECE_WORDS)
+                for at in cuts:
+                    part = b" ".join(tokens[at:at + PIECE_WORDS + window - 1]).decode() if len(cuts) > 1 else text
+                    for column, value in zip(out, (own, s1, at // PIECE_WORDS, part)):
+                        column.append(value)
+            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
+                                   pa.array(out[3], pa.string())], names=["id", "s1", "piece", "text"])
+
+    return candidates.select("id", "s1", "text").mapInArrow(run, "id long, s1 long, piece int, text string")
+
+
 def _runs(pos: np.ndarray, window: int):
     """(first word, end) of the stretches that consecutive window positions cover."""
     cut = np.flatnonzero(np.diff(pos) > 1) + 1
@@ -110,31 +158,29 @@ def _runs(pos: np.ndarray, window: int):
         yield int(part[0]), int(part[-1]) + window
 
 
-def _stretches(located: DataFrame, window: int) -> DataFrame:
-    """(source, phrases, id, s1, at, text): recurring stretches of first documents (phrases > 0) and of others."""
-    schema = "source long, phrases int, id long, s1 long, at int, text string"
+def _streams(marked: DataFrame, window: int) -> DataFrame:
+    """(home, phrases, id, s1, at, text): recurring stretches of first documents, from which the phrases of an
+    automaton are made (phrases > 0, no home yet), and the whole pieces that visit the shard ``home``."""
+    schema = "home long, phrases int, id long, s1 long, at int, text string"
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for d in range(batch.num_rows):
-                own, s1 = batch.column(0)[d].as_py(), batch.column(1)[d].as_py()
-                tokens = (batch.column(2)[d].as_py() or "").encode().split()
-                sources = np.asarray(batch.column(3)[d].values)
-                pos = np.asarray(batch.column(4)[d].values)
-                order = np.lexsort((pos, sources))
-                sources, pos = sources[order], pos[order]
-                for part in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(sources)) + 1):
-                    source = int(sources[part[0]])
-                    for at, end in _runs(np.unique(pos[part]), window):
-                        text = b" ".join(tokens[at:end]).decode()
-                        rows.append((source, end - at - window + 1 if source == own else 0, own, s1, at, text))
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("source", "phrases", "id", "s1", "at", "text"), r)) for r in rows],
-                schema=pa.schema([("source", pa.int64()), ("phrases", pa.int32()), ("id", pa.int64()), ("s1", pa.int64()),
-                                  ("at", pa.int32()), ("text", pa.string())]))
-
-    return located.select("id", "s1", "text", "sources", "places").mapInArrow(run, schema)
+            out = [[], [], [], [], [], []]
+            for own, s1, piece, text, places, homes in zip(*(c.to_pylist() for c in batch.columns)):
+                base = piece * PIECE_WORDS
+                rows = [(home, 0, own, s1, base, text) for home in homes]
+                if places:
+                    tokens = text.encode().split()
+                    for at, end in _runs(np.unique(places) - base, window):
+                        rows.append((None, end - at - window + 1, own, s1, base + at, b" ".join(tokens[at:end]).decode()))
+                for row in rows:
+                    for column, value in zip(out, row):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)],
+                                  names=["home", "phrases", "id", "s1", "at", "text"])
+
+    return marked.select("id", "s1", "piece", "text", "places", "homes").mapInArrow(run, schema)
 
 
 def _locate(dealt: DataFrame, window: int) -> DataFrame:
@@ -144,63 +190,69 @@ def _locate(dealt: DataFrame, window: int) -> DataFrame:
 
         group, numbers, automaton, ready = None, {}, None, False
         for batch in batches:
-            out = []
-            for shard, copy, phrases, source, own, s1, at, text in zip(*(c.to_pylist() for c in batch.columns)):
+            out = [[], [], [], []]
+            texts = batch.column(6).cast(_BYTES).to_pylist()
+            for (shard, copy, phrases, own, s1, at), text in zip(zip(*(c.to_pylist() for c in batch.columns[:6])), texts):
                 if (shard, copy) != group:
                     group, numbers, ready = (shard, copy), {}, False
-                    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-                tokens = text.split(" ")
+                    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+                    sources = []
+                tokens = text.split()
                 if phrases:
-                    line = tuple(numbers.setdefault(t, len(numbers) + 1) for t in tokens)
+                    line = tuple([numbers.setdefault(t, len(numbers) + 1) for t in tokens])
+                    sources.append(own)
                     for i in range(phrases):
-                        automaton.add_word(line[i:i + window], source)
+                        automaton.add_word(line[i:i + window], len(sources) - 1)
                     continue
                 if not ready:
                     automaton.make_automaton()
-                    ready = True
+                    ready, number = True, numbers.get
                 if not len(automaton):
                     continue
                 begin = end = -1
-                for last, first_id in automaton.iter(tuple(numbers.get(t, 0) for t in tokens)):
-                    if first_id < own:
+                for last, first in automaton.iter(tuple([number(t, 0) for t in tokens])):
+                    if sources[first] < own:
                         if last - window + 1 > end and end >= 0:
-                            out.append((own, s1, at + begin, at + end))
+                            for column, value in zip(out, (own, s1, at + begin, at + end)):
+                                column.append(value)
                             end = -1
                         if end < 0:
                             begin = last - window + 1
                         end = last + 1
                 if end >= 0:
-                    out.append((own, s1, at + begin, at + end))
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("id", "s1", "at", "end"), r)) for r in out],
-                schema=pa.schema([("id", pa.int64()), ("s1", pa.int64()), ("at", pa.int32()), ("end", pa.int32())]))
+                    for column, value in zip(out, (own, s1, at + begin, at + end)):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], names=["id", "s1", "at", "end"])
 
-    return dealt.select("shard", "copy", "phrases", "source", "id", "s1", "at", "text").mapInArrow(
+    return dealt.select("shard", "copy", "phrases", "id", "s1", "at", "text").mapInArrow(
         run, "id long, s1 long, at int, end int")
 
 
-def _deal(stretches: DataFrame, work: Work) -> DataFrame:
+def _deal(streams: DataFrame, shards: int, work: Work) -> DataFrame:
     """Give every row its shard and copy: phrases first in each, rows of a group in one task."""
-    total = stretches.agg(F.sum("phrases")).first()[0] or 0
-    shards = max(1, -(-int(total) // SHARD_PHRASES))
-    named = stretches.withColumn("home", F.pmod(F.xxhash64("source"), F.lit(shards)))
+    phrase = F.col("phrases") > 0
+    named = streams.withColumn("home", F.coalesce("home", _home(F.col("id"), shards)))
     load = work.store(named.groupBy("home").agg(
-        F.sum("phrases").alias("p"), F.sum(F.when(F.col("phrases") == 0, 1).otherwise(0)).alias("s")).select(
-        F.col("home").alias("h"), F.ceil(F.col("p") / (2 * SHARD_PHRASES)).cast("int").alias("cuts"),
-        F.greatest(F.lit(1), F.ceil(F.col("s") / TASK_STRETCHES).cast("int")).alias("copies")))
+        F.sum("phrases").alias("p"), F.sum(F.when(~phrase, F.octet_length("text"))).alias("b")).select(
+        F.col("home").alias("h"), F.greatest(F.lit(1), F.ceil(F.col("p") / (2 * SHARD_PHRASES)).cast("int")).alias("cuts"),
+        F.greatest(F.lit(1), F.ceil(F.coalesce("b", F.lit(0)) / TASK_BYTES).cast("int")).alias("copies")))
     joined = named.join(load, F.col("home") == F.col("h"))
-    row = F.xxhash64("id", "s1", "at", "text")
-    phrase = F.col("phrases") > 0
-    pick = F.transform(F.sequence(F.lit(0), F.when(phrase, F.col("copies")).otherwise(F.greatest("cuts", F.lit(1))) - 1),
-                       lambda i: F.when(phrase, F.struct(F.pmod(row, F.greatest("cuts", F.lit(1))).cast("int").alias("cut"),
+    row = F.xxhash64("id", "s1", "at")
+    pick = F.transform(F.sequence(F.lit(0), F.when(phrase, F.col("copies")).otherwise(F.col("cuts")) - 1),
+                       lambda i: F.when(phrase, F.struct(F.pmod(row, F.col("cuts")).cast("int").alias("cut"),
                                                          i.alias("copy"))).otherwise(
                            F.struct(i.alias("cut"), F.pmod(row, F.col("copies")).cast("int").alias("copy"))))
     return joined.withColumn("g", F.explode(pick)).select(
-        F.struct("home", "g.cut").alias("key"), F.col("g.copy").alias("copy"), "phrases", "source", "id", "s1", "at", "text",
+        F.col("g.copy").alias("copy"), "phrases", "id", "s1", "at", "text",
         (F.col("home") * 1_000_003 + F.col("g.cut")).alias("shard")).repartition("shard", "copy").sortWithinPartitions(
         "shard", "copy", F.col("phrases").desc())
 
 
+def _home(source, shards: int):
+    return F.pmod(F.xxhash64(source), F.lit(shards)).cast("long")
+
+
 def _cut_words(texts: DataFrame) -> DataFrame:
     """(id, s1, n_removed, sha) of documents that lose words."""
     def run(batches):
@@ -252,15 +304,19 @@ def remove_repeats(docs: DataFrame, work: Work, window: int = WINDOW, id_col: st
     found = _windows(candidates, window)
     phrases = work.store(found.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter(
         "low < high").select(F.col("w1").alias("k1"), F.col("w2").alias("k2"), F.col("low").alias("source")))
-    places = work.store(found.join(phrases, (F.col("w1") == F.col("k1")) & (F.col("w2") == F.col("k2"))).groupBy(
-        F.col("id").alias("i"), F.col("s1").alias("s")).agg(
-        F.collect_list(F.struct("source", "pos")).alias("p")).select(
-        "i", "s", F.col("p.source").alias("sources"), F.col("p.pos").alias("places")))
+    shards = max(1, -(-phrases.count() // SHARD_PHRASES))
+    first = F.col("id") == F.col("source")
+    marks = work.store(found.join(phrases, (F.col("w1") == F.col("k1")) & (F.col("w2") == F.col("k2"))).groupBy(
+        F.col("id").alias("i"), F.col("s1").alias("s"), F.floor(F.col("pos") / PIECE_WORDS).cast("int").alias("p")).agg(
+        F.collect_list(F.when(first, F.col("pos"))).alias("places"),
+        F.collect_set(F.when(~first, _home(F.col("source"), shards))).alias("homes")))
     work.drop(phrases)
-    located = candidates.join(places, (F.col("id") == F.col("i")) & (F.col("s1") == F.col("s")))
-    stretches = work.store(_stretches(located, window))
-    ranges = work.store(_locate(_deal(stretches, work), window).groupBy(
+    marked = _pieces(candidates, window).join(
+        marks, (F.col("id") == F.col("i")) & (F.col("s1") == F.col("s")) & (F.col("piece") == F.col("p")))
+    streams = work.store(_streams(marked, window))
+    ranges = work.store(_locate(_deal(streams, shards, work), window).groupBy(
         F.col("id").alias("i"), F.col("s1").alias("s")).agg(F.collect_list(F.struct("at", "end")).alias("ranges")))
+    work.drop(marks, streams)
     cut = work.store(_cut_words(candidates.join(ranges, (F.col("id") == F.col("i")) & (F.col("s1") == F.col("s")))))
     cut = cut.select(F.col("id").alias("i"), F.col("s1").alias("s"), F.col("n_removed").alias("r"), F.col("sha").alias("kept"))
     copied = copied.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("words").alias("cw"), "head")
@@ -277,11 +333,7 @@ def _with_sequence(texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             w = words(batch.column(1))
-            keys = []
-            for d in range(batch.num_rows):
-                h = w.hash[w.first[d]:w.first[d + 1]]
-                at = np.arange(len(h), dtype=_U)
-                keys.append(int(mix(h ^ mix(at + _U(1))).sum(dtype=_U).view(np.int64)) if len(h) else 0)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], names=["id", "text", "s1"])
+            s1, = _sequence_keys(w.hash, w.first, (1,))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(s1)], names=["id", "text", "s1"])
 
     return texts.select("id", "text").mapInArrow(run, "id long, text string, s1 long")

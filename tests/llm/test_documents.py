@@ -142,9 +142,21 @@ def test_passages(make_docs, work, corpus):
     assert by_id(got, "id", "n_words", "n_removed", "kept_sha") == brute.passages(corpus, 13)
 
 
+def test_passages_of_texts_in_pieces(make_docs, work, monkeypatch):
+    monkeypatch.setattr(passage_dedup, "PIECE_WORDS", 16)
+    monkeypatch.setattr(passage_dedup, "SHARD_PHRASES", 20)
+    rng = random.Random(8)
+    shared = " ".join(f"s{i}" for i in range(150))
+    docs = [(i, " ".join([f"{i}w{k}" for k in range(rng.randint(0, 60))] + shared.split()[rng.randint(0, 70):rng.randint(71, 150)]
+                         + [f"{i}v{k}" for k in range(rng.randint(0, 60))])) for i in range(12)]
+    docs += [(20, "a b " * 100), (21, "\x0b a  b\n" * 60), (22, docs[3][1]), (23, docs[3][1] + " tail")]
+    got = passage_dedup.remove_repeats(make_docs(docs), work)
+    assert by_id(got, "id", "n_words", "n_removed", "kept_sha") == brute.passages(docs, 13)
+
+
 def test_passages_odd_rows(make_docs, work, monkeypatch):
     monkeypatch.setattr(passage_dedup, "SHARD_PHRASES", 5)  # many shards, several automata and copies for each
-    monkeypatch.setattr(passage_dedup, "TASK_STRETCHES", 3)
+    monkeypatch.setattr(passage_dedup, "TASK_BYTES", 900)
     rng = random.Random(2)
     passage = " ".join(f"p{i}" for i in range(40))
     docs = [(i, f"{rng.random()} {passage} {rng.random()}") for i in range(30)] + [(40, "x " * 200), (41, "x " * 100)]
