@@ -183,6 +183,20 @@ def _streams(marked: DataFrame, window: int) -> DataFrame:
     return marked.select("id", "s1", "piece", "text", "places", "homes").mapInArrow(run, schema)
 
 
+def _pairs(line: np.ndarray) -> np.ndarray:
+    return (line[:-1] << 32) | line[1:]
+
+
+def _occurrences(automaton, line: np.ndarray, pairs: np.ndarray, window: int):
+    """(last word, value) of each phrase in a text; where two words in a row are in no phrase, the automaton starts anew."""
+    found = _pairs(line)
+    known = pairs[np.minimum(np.searchsorted(pairs, found), len(pairs) - 1)] == found
+    for begin, end in np.flatnonzero(np.diff(np.r_[False, known, False].astype(np.int8))).reshape(-1, 2).tolist():
+        if end - begin >= window - 1:
+            for last, value in automaton.iter(tuple(line[begin:end + 1].tolist())):
+                yield begin + last, value
+
+
 def _locate(dealt: DataFrame, window: int) -> DataFrame:
     """(id, s1, at, end): the words covered by phrases of smaller documents."""
     def run(batches):
@@ -196,21 +210,24 @@ def _locate(dealt: DataFrame, window: int) -> DataFrame:
                 if (shard, copy) != group:
                     group, numbers, ready = (shard, copy), {}, False
                     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-                    sources = []
+                    sources, pairs = [], []
                 tokens = text.split()
                 if phrases:
                     line = tuple([numbers.setdefault(t, len(numbers) + 1) for t in tokens])
                     sources.append(own)
+                    pairs.append(_pairs(np.array(line)))
                     for i in range(phrases):
                         automaton.add_word(line[i:i + window], len(sources) - 1)
                     continue
                 if not ready:
                     automaton.make_automaton()
                     ready, number = True, numbers.get
+                    pairs = np.unique(np.concatenate(pairs)) if pairs else None
                 if not len(automaton):
                     continue
                 begin = end = -1
-                for last, first in automaton.iter(tuple([number(t, 0) for t in tokens])):
+                line = np.array([number(t, 0) for t in tokens])
+                for last, first in _occurrences(automaton, line, pairs, window):
                     if sources[first] < own:
                         if last - window + 1 > end and end >= 0:
                             for column, value in zip(out, (own, s1, at + begin, at + end)):
