@@ -5,7 +5,10 @@ small embedding. A text's score is the softmax of a linear map of the mean embed
 are linear, prediction sums one row of class scores per n-gram. Training is stochastic gradient descent
 in numpy over at most ``FIT_ROWS`` different labelled texts per language and some ``FIT_TOTAL`` in all, those of smallest
 hash, the only bounded sample: their counts are made in Spark tasks and one task trains on them. A fifth of the sample sets the temperature of the
-scores and the level below which a prediction is rejected.
+scores and the levels below which a prediction is rejected: one of its score, one of its familiarity, the mean log
+frequency of the text's n-grams in the predicted language. A softmax is sure of texts far from all it learned;
+familiarity is not. Its level lies between held-back texts in their own language and the same texts in the best
+of the other languages, which is how a language looks that was not learned.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected. Without any
 label every text is ``und``; with one label it gets that label. Null labels teach nothing. Long texts are
@@ -32,6 +35,8 @@ FIT_TOTAL = 2000  # of all languages together, at least MIN_ROWS of each
 MIN_ROWS = 8
 STEPS = 1800  # minibatches of training, whatever the size of the sample
 UNKNOWN = "und"
+SMOOTHING = 0.01  # of the n-gram frequencies of a language, in documents
+SPREADS = 3.0  # standard errors by which a short text may fall below the level of familiarity
 REJECT_QUANTILE = 0.001  # share of right calibration documents that rejection may cost
 
 
@@ -90,23 +95,34 @@ class Model:
     bias: np.ndarray
     temperature: float
     reject_below: float
+    familiar: np.ndarray | None = None  # (BUCKETS + 1, labels): log frequency of each subword, times BUCKETS
+    unfamiliar_below: float = -np.inf
+    spread: float = 0.0  # standard deviation of ``familiar`` over the subwords of a text
+
+    def accepts(self, p: np.ndarray, familiarity: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Which texts have a score and, in the predicted language, a mean familiarity high enough."""
+        own = familiarity[np.arange(len(p)), p.argmax(axis=1)] + SPREADS * self.spread / np.sqrt(np.maximum(n, 1))
+        return (p.max(axis=1) >= self.reject_below) & (own >= self.unfamiliar_below)
 
     def probabilities(self, sums: np.ndarray, n: np.ndarray) -> np.ndarray:
         z = (sums / np.maximum(n, 1)[:, None] + self.bias) / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    def sums(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        sums, n = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts), np.int64)
+    def sums(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of scores, sums of familiarity and number of subwords of each text."""
+        table = self.scores if self.familiar is None else np.hstack([self.scores, self.familiar])
+        sums, n = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts), np.int64)
         for first, starts, grams in _parts(texts):
             last = first + len(starts)
             nonempty = np.append(starts[1:], grams.shape[1]) > starts
             for row in grams:
-                part = np.add.reduceat(self.scores[row], starts, axis=0)
+                part = np.add.reduceat(table[row], starts, axis=0)
                 sums[first:last] += np.where(nonempty[:, None], part, 0)
                 hits = np.add.reduceat((row < BUCKETS).astype(np.int32), starts)
                 n[first:last] += np.where(nonempty, hits, 0)
-        return sums, n
+        own = sums[:, len(self.labels):] if self.familiar is not None else np.zeros((len(texts), len(self.labels)))
+        return sums[:, :len(self.labels)], own, n
 
 
 def _train(idx, val, ptr, y, labels: int, seed: int):
@@ -221,6 +237,19 @@ def _fit(found: pa.Table, seed: int) -> Model:
     wrong = p.max(axis=1)[p.argmax(axis=1) != y[test]]
     level = float(np.quantile(right, REJECT_QUANTILE)) if len(right) else 0.0
     model.reject_below = min(level, float(wrong.max()) if len(wrong) else level * 0.5)
+    seen = np.full((BUCKETS + 1, len(labels)), SMOOTHING)
+    for i in np.flatnonzero(~hold):
+        seen[idx[i], y[i]] += val[i]
+    familiar = np.log(seen / seen[:-1].sum(axis=0) * BUCKETS)
+    familiar[-1] = 0.0
+    model.familiar = familiar.astype(np.float32)
+    own = np.array([val[i] @ familiar[idx[i]] for i in test])
+    right = own[np.arange(len(test)), y[test]]
+    own[np.arange(len(test)), y[test]] = -np.inf
+    least, most = np.quantile(right, REJECT_QUANTILE), np.quantile(own.max(axis=1), 1 - REJECT_QUANTILE)
+    model.unfamiliar_below = float((least + most) / 2 if most < least else least)
+    square = np.array([val[i] @ familiar[idx[i], y[i]] ** 2 for i in test])
+    model.spread = float(np.sqrt(np.maximum(square - right ** 2, 0).mean()))
     return model
 
 
@@ -229,18 +258,19 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     arrow_batches(docs.sparkSession)
     labels = np.array(model.labels, object)
 
-    @F.arrow_udf("struct<lang: string, score: double>")
+    @F.arrow_udf("struct<lang: string, score: double, accepted: boolean>")
     def guess(texts: pa.Array) -> pa.Array:
-        p = model.probabilities(*model.sums(texts))
+        sums, familiarity, n = model.sums(texts)
+        p = model.probabilities(sums, n)
+        accepted = model.accepts(p, familiarity / np.maximum(n, 1)[:, None], n)
         lang = pa.array(labels[p.argmax(axis=1)], pa.string())
-        return pa.StructArray.from_arrays([lang, pa.array(p.max(axis=1))], ["lang", "score"])
+        return pa.StructArray.from_arrays([lang, pa.array(p.max(axis=1)), pa.array(accepted)], ["lang", "score", "accepted"])
 
-    unknown = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
+    unknown = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     known = guess(_spaced(F.col(text_col))) if model.labels else unknown
-    out = docs.withColumn("_guess", known).withColumn("_guess", F.when(letters, F.col("_guess")).otherwise(unknown))
-    accepted = (F.col("_guess.lang") != UNKNOWN) & (F.col("_guess.score") >= model.reject_below)
-    return out.withColumn("language", F.struct("_guess.lang", "_guess.score", accepted.alias("accepted"))).drop("_guess")
+    out = docs.withColumn("_guess", known)
+    return out.withColumn("language", F.when(letters, F.col("_guess")).otherwise(unknown)).drop("_guess")
 
 
 def keep_known(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:

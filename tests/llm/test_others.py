@@ -130,6 +130,21 @@ def test_language_held_out_accuracy(spark, make_docs):
     assert language_id.predict(make_docs([]), model).count() == 0
 
 
+def test_language_rejects_what_it_never_learned(spark, make_docs):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit(docs)
+    polish = ("Wszyscy ludzie rodz\u0105 si\u0119 wolni i r\u00f3wni pod wzgl\u0119dem swej godno\u015bci i swych praw. S\u0105 oni obdarzeni rozumem "
+              "i sumieniem i powinni post\u0119powa\u0107 wobec innych w duchu braterstwa. ") * 3
+    rng = random.Random(2)
+    noise = " ".join("".join(rng.choice("qwertyuiopasdfghjklzxcvbnm") for _ in range(rng.randint(3, 9))) for _ in range(60))
+    got = language_id.predict(make_docs([(1, polish), (2, noise)]), model).collect()
+    assert not any(r.language.accepted for r in got)
+    kept = language_id.predict(docs.filter("lang is not null"), model).agg(F.avg(F.col("language.accepted").cast("int"))).first()[0]
+    assert kept >= 0.99
+    short = language_id.predict(docs.filter("lang is not null").withColumn("text", F.substring_index("text", " ", 6)), model)
+    assert short.agg(F.avg(F.col("language.accepted").cast("int"))).first()[0] >= 0.95
+
+
 def test_language_without_labels(make_docs):
     rows = [(1, "some words", None), (2, "more words", None)]
     got = language_id.predict(make_docs(rows), language_id.fit(make_docs(rows))).collect()
