@@ -21,6 +21,8 @@ SHARE = 1.5  # words of the mix per word of the input
 REPEATS = 2  # most copies of a document in the mix
 BLOCK_WORDS = 512
 PHI = 0.6180339887498949
+_BITS = 42  # of a golden-ratio point: exact in integers for 2^40 slots
+_STEP = round(PHI * 2 ** _BITS) | 1
 CHUNK = 4096
 
 
@@ -98,9 +100,11 @@ def schedule(targets: DataFrame, work: Work, block_words: int = BLOCK_WORDS) ->
         "_group", "low", (F.col("low") + F.col("target")).alias("top"), need.alias("need"))
     cells = steps.withColumn("cell", F.explode(F.sequence(
         F.floor(F.col("low") / size), F.floor(F.col("top") / size))))
-    point = F.col("id") * F.lit(PHI)
+    high, one = F.shiftright("id", 20), 1 << _BITS  # products of 20 and 42 bits stay within a long
+    point = F.pmod(F.col("id").bitwiseAND(F.lit((1 << 20) - 1)) * F.lit(_STEP)
+                   + F.pmod(high * F.lit((_STEP << 20) % one), F.lit(one)), F.lit(one))
     slot = targets.sparkSession.range(slots).select(
-        F.col("id").alias("slot"), ((point - F.floor(point)) * F.lit(total)).alias("u")).withColumn(
+        F.col("id").alias("slot"), (point / F.lit(float(one)) * F.lit(total)).alias("u")).withColumn(
         "at", F.floor(F.col("u") / size))
     drawn = work.store(slot.join(cells, (F.col("at") == F.col("cell")) & (F.col("u") >= F.col("low"))
                                  & (F.col("u") < F.col("top"))).select(
@@ -144,15 +148,17 @@ def mix(rows: DataFrame, targets: DataFrame, work: Work, block_words: int = BLOC
 
 def taken_words(docs: DataFrame, work: Work, seed: int = 11, block_words: int = BLOCK_WORDS, id_col: str = "doc_id",
                 text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target and taken, the words of it in the mix."""
+    """Per document: doc_id, source, size, source_size, target, taken, the words of it in the mix, and first_slot, the
+    first slot of the schedule that takes words of it (null if none does)."""
     rows = work.store(sized(docs, F.monotonically_increasing_id(), seed, id_col, text_col, source_col))
     targets = source_targets(rows, work)
     taken = mix(rows, targets, work, block_words).groupBy(F.col("row").alias("_row")).agg(
-        F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+        F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.min("slot").alias("first_slot"))
     sizes = targets.select("_group", "source_size", "target")
     return rows.join(sizes, F.col("source").eqNullSafe(F.col("_group"))).join(
         taken, F.col("row") == F.col("_row"), "left").select(
-        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
+        "first_slot")
 
 
 def mixed_documents(docs: DataFrame, work: Work, seed: int = 11, id_col: str = "doc_id", text_col: str = "text",

@@ -47,7 +47,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return mixing.taken_words(docs, Work(spark, "mixing")).select(
-        "doc_id", "size", "source_size", "target", "taken")
+        "doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,6 +227,7 @@ def test_mixing(make_docs, work, monkeypatch):
         assert 0 <= r.taken <= 2 * r["size"]
         taken[r.source] += r.taken
     assert taken == {s: round(t) for s, t in target.items()}
+    assert all((r.first_slot is None) == (r.taken == 0) for r in found)
     again = mixing.taken_words(make_docs(rows).repartition(7), work, block_words=64)
     assert sorted(map(str, again.collect())) == sorted(map(str, found))
     assert mixing.taken_words(make_docs([]), work).count() == 0
