@@ -175,10 +175,20 @@ class Graph:
         return self._beam(queries, self._descend(queries, 0), self.links[0], max(1, width))
 
     def within(self, queries: np.ndarray, least: float, width: int):
-        """(query, member) pairs of at least that similarity; a beam full of them is widened until it is not."""
+        """(query, member) pairs of at least that similarity; a beam full of them is widened until it is not.
+
+        A beam takes as many steps as it is wide, each over its whole width: where that exceeds the members, the
+        query is in a dense region and asks all of them instead.
+        """
         queries = np.ascontiguousarray(queries, np.float32)
         todo, pairs, size = np.arange(len(queries)), [], self.sizes[0]
         while len(todo):
+            if width * width >= size:
+                step = max(1, (1 << 22) // max(1, size))
+                for a in range(0, len(todo), step):
+                    at, member = np.nonzero(queries[todo[a:a + step]] @ self.vectors.T >= least)
+                    pairs.append((todo[a:a + step][at], member))
+                break
             ids, sims = self.search(queries[todo], min(width, size))
             full = (sims >= least).all(axis=1) & (width < size)
             at, column = np.nonzero((sims >= least) & ~full[:, None] & (ids >= 0))

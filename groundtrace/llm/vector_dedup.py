@@ -2,8 +2,8 @@
 
 Equal vectors collapse to one. The rest is dealt to shards by hash; each shard becomes one hierarchical
 navigable small-world graph. Every vector queries every shard. In each batch of queries some are audited against
-a scan of the shard: while the graph finds less than ``RECALL`` of their links, the beam of the task is widened
-and the batch asked again, up to the whole shard. Every link is confirmed by its cosine in double precision.
+a scan of the shard: while the graph finds less than ``RECALL`` of their links to other vectors, the beam of the
+task is widened and the batch asked again, up to the whole shard. Queries in dense regions ask the whole shard. Every link is confirmed by its cosine in double precision.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component link with nothing.
 Vectors of different length do not link. Rows that repeat a vec_id are separate vectors. A row without a vec_id
@@ -31,6 +31,7 @@ AUDIT = 24  # audited queries of a batch
 RECALL = 0.99
 BATCH = 1024
 _SLACK = 1e-4  # of single precision
+_PAIRS = 1 << 16  # pairs whose cosine is taken at once
 
 
 def unit(rows: list) -> np.ndarray:
@@ -39,12 +40,18 @@ def unit(rows: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _audited(graph: Graph, queries: np.ndarray, width: int, least: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Pairs found for a batch, with the beam at which its audit passed."""
+def _audited(graph: Graph, queries: np.ndarray, own: np.ndarray, width: int, least: float):
+    """Pairs found for a batch, with the beam at which its audit passed. ``own`` is each query's own place among the
+    members, or -1: its match with itself counts neither as link nor as found."""
     audit = np.arange(0, len(queries), max(1, len(queries) // AUDIT))
-    truth = (queries[audit].astype(np.float32) @ graph.vectors.T >= least).sum()
+    sims = queries[audit].astype(np.float32) @ graph.vectors.T
+    here = np.flatnonzero(own[audit] >= 0)
+    sims[here, own[audit][here]] = -np.inf
+    truth = (sims >= least).sum()
     while True:
         q, m = graph.within(queries, least, width)
+        other = m != own[q]
+        q, m = q[other], m[other]
         if width >= graph.sizes[0] or np.isin(q, audit).sum() >= RECALL * truth:
             return q, m, width
         width *= 2
@@ -87,11 +94,14 @@ def _search(dealt: DataFrame, cosine: float) -> DataFrame:
             nonlocal width
             if held is None or not waiting:
                 return None
-            members, vectors, graph = held
+            members, vectors, graph, order = held
             x, names = unit(waiting), np.array(asked)
-            q, m, width = _audited(graph, x, width, cosine - _SLACK)
+            near = order[np.minimum(np.searchsorted(members, names, sorter=order), len(members) - 1)]
+            own = np.where(members[near] == names, near, -1)
+            q, m, width = _audited(graph, x, own, width, cosine - _SLACK)
             a, b = names[q], members[m]
-            use = (np.einsum("ed,ed->e", x[q], vectors[m]) >= cosine) & (a != b)
+            use = np.concatenate([np.einsum("ed,ed->e", x[q[i:i + _PAIRS]], vectors[m[i:i + _PAIRS]]) >= cosine
+                                  for i in range(0, len(q), _PAIRS)] or [np.zeros(0, bool)])
             return pa.record_batch([pa.array(np.maximum(a, b)[use]), pa.array(np.minimum(a, b)[use])], names=["a", "b"])
 
         for batch in batches:
@@ -104,6 +114,7 @@ def _search(dealt: DataFrame, cosine: float) -> DataFrame:
                     group, held, width = (shard, copy), None, BEAM
                 if graph is not None:
                     held = pickle.loads(graph)
+                    held += (np.argsort(held[0]),)
                 else:
                     waiting.append(vector)
                     asked.append(cid)
