@@ -1,5 +1,7 @@
 """Join of commands with a table of indicators of any size, by the rarest gram of each indicator.
 
+Tables that every task can hold are scanned for instead (``rule_scan``).
+
 An indicator is found where its characters occur in a command, so each of its grams does. How many different commands
 hold a gram is counted first; an indicator is looked up by its rarest gram only, and not at all if one of its grams
 occurs in no command. Rules that share a beginning, or a frequent word, so meet only the commands that also hold what
@@ -9,6 +11,8 @@ is particular to each. A gram that stays frequent is dealt out over several salt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundtrace.operators.rule_scan import SMALL, scanned_hits
+
 GRAM = 4  # characters; shorter indicators are looked up whole
 HOT = 10_000  # commands that one salt of a gram holds on average
 SLICES = (1 << 16, 1 << 8)  # characters; a text of any length is cut in two steps before its grams are listed
@@ -60,13 +64,17 @@ def candidates(commands: DataFrame, known: DataFrame, hot: int = HOT) -> DataFra
     return met.join(spread, (F.col("gram") == F.col("anchor")) & (F.col("salt") == F.col("part"))).select("digest", "indicator")
 
 
-def joined_hits(staged: DataFrame, rules: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+def joined_hits(staged: DataFrame, rules: DataFrame, keep: tuple[str, ...], small: int = SMALL) -> DataFrame:
     """(keep..., rule, indicator) from rows with a lower-cased command ``_lc``.
 
-    Equal commands are looked up once. Only digests and grams travel until a candidate meets its command again. An
+    Rules of up to ``small`` bytes are sent to the texts, which are scanned where they are. For more rules equal commands
+    are looked up once, and only digests and grams travel until a candidate meets its command again. An
     empty indicator is found in every command, a null one in none; rules given twice count once.
     """
     known = rules.select("rule", "indicator").filter(F.col("indicator").isNotNull()).distinct()
+    size = known.agg(F.sum(F.octet_length("indicator") + F.coalesce(F.octet_length("rule"), F.lit(0)) + 8)).first()[0] or 0
+    if size <= small:
+        return scanned_hits(staged, [(r["rule"], r["indicator"]) for r in known.collect()], keep)
     digest = F.struct(F.xxhash64("_lc").alias("a"), F.xxhash64(F.lit(1), F.col("_lc")).alias("b"))
     keyed = staged.withColumn("_digest", digest)
     commands = keyed.select(F.col("_digest").alias("digest"), F.col("_lc").alias("text")).distinct()

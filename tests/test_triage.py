@@ -171,3 +171,22 @@ def test_failure_analysis_reads_its_input_once(spark, events, tmp_path):
     assert (analysis.less_than.count(), analysis.better_than.count()) == (summary["less_than"], summary["better_than"])
     want = lb.with_outcome(scored).groupBy("outcome").count().collect()
     assert {r["outcome"]: r["count"] for r in want}["reviewer_only"] == summary["less_than"]
+
+
+def test_small_rule_tables_move_no_texts(spark, monkeypatch):
+    from groundtrace.operators import rule_join, rule_scan
+
+    monkeypatch.setattr(rule_scan, "BLOCK", 50)
+    texts = ["", None, "a", "aaaaaaaaaaaaaaaa", "net use", "x" * 49 + "needle in hay" + "y" * 90 + "needle in hay", "Éa日本語日本語x", "\x00a\x00", "needle in ha", "y needle in"]
+    known = [("e", ""), ("e2", ""), ("n", None), ("1", "a"), ("2", "needle in hay"), ("2", "needle in hay"), ("3", "needle in hay"),
+             ("4", "日本語x"), ("5", "aaaaaaaaa"), ("6", "hayy"), ("7", "\x00"), ("8", "nowhere to be found"), (None, "éa"), ("9", "needle in")]
+    events = spark.createDataFrame(list(enumerate(texts)), "event_key long, CommandLine string").repartition(3)
+    rules = spark.createDataFrame(known, "rule string, indicator string")
+    want = sorted(str((k, r, w)) for k, t in enumerate(texts) for r, w in set(known) if w is not None and w in (t or "").lower())
+    found = tr.rule_hits(events, rules)
+    assert sorted(str(tuple(h)) for h in found.collect()) == want
+    assert "MapInArrow" in found._jdf.queryExecution().toString() and "Join" not in found._jdf.queryExecution().toString()
+    staged = events.selectExpr("event_key", "lower(coalesce(CommandLine, '')) AS _lc")
+    joined = rule_join.joined_hits(staged, rules.filter("rule is not null"), ("event_key",), small=-1)
+    assert sorted(str(tuple(h)) for h in joined.collect()) == [x for x in want if ", None, " not in x]
+    assert tr.rule_hits(events, rules.limit(0)).count() == 0
