@@ -38,6 +38,25 @@ def strongest(items: Sequence[Item], k: int = 5, ties: str = "last") -> Column:
         x["contribution"].alias("contribution")))
 
 
+def with_strongest(df: DataFrame, keep: Sequence[str], items: Sequence[Item], k: int = 5) -> DataFrame:
+    """keep columns plus ``top_features``, the ``strongest`` items of many; equal ones by later position.
+
+    The sizes alone are ordered, as plain numbers; items are made only of those that reach the k-th size.
+    """
+    sizes = F.array(*[F.coalesce(F.abs(c), F.lit(-1.0)) for _, _, c in items])  # a missing one comes last
+    listed = df.select(*keep, sizes.alias("_sizes"), F.array(*[x for _, x, _ in items]).alias("_values"),
+                       F.array(*[c for _, _, c in items]).alias("_contributions"))
+    least = F.element_at(F.sort_array("_sizes"), -min(k, len(items)))
+    # Named twice, so that the optimiser leaves it in its own projection and the sizes are ordered once a row.
+    reached = F.filter(F.sequence(F.lit(0), F.lit(len(items) - 1)), lambda i: (F.get("_sizes", i) > F.col("_least")) | (F.get("_sizes", i) == F.col("_least")))
+    names = F.array(*[F.lit(n) for n, _, _ in items])
+    keyed = F.transform(reached, lambda i: F.struct(F.get("_sizes", i).alias("size"), i.alias("place")))
+    best = F.transform(F.slice(F.sort_array(keyed, asc=False), 1, k), lambda x: F.struct(
+        F.get(names, x["place"]).alias("name"), F.get("_values", x["place"]).alias("value"),
+        F.get("_contributions", x["place"]).alias("contribution")))
+    return listed.select("*", least.alias("_least")).select(*keep, best.alias("top_features"))
+
+
 def needed_features(importances: dict[str, float], k: int = 5) -> list[str]:
     """Features that can reach a top-k: all with importance, and the last k without (they give 0)."""
     names = list(importances)
@@ -58,7 +77,7 @@ def local_contributions(table: DataFrame, importances: dict[str, float],
                         k: int = 5) -> DataFrame:
     """keep columns plus ``top_features`` and ``drivers``."""
     items = contribution_items(importances, statistics, k)
-    ranked = table.select(*keep, strongest(items, k).alias("top_features"))
+    ranked = with_strongest(table, keep, items, k)
     return ranked.withColumn("drivers", drivers_text(F.col("top_features")))
 
 

@@ -11,7 +11,7 @@ from groundtrace.functions import text as t
 from groundtrace.functions.paths import basename
 from groundtrace.operators.base_fields import RuleOptions
 from groundtrace.operators.event_rules import _coded
-from groundtrace.operators.feature_table import FEATURES, feature_table
+from groundtrace.operators.feature_table import FEATURES, features_of_batch
 from groundtrace.operators.prepare import image_of
 
 REASON = tuple(v.REASON_WORDS) + (
@@ -82,5 +82,5 @@ def disagreement_features(
         extra.pop(LABEL_MISMATCH)
     widened = df.select("*", *[c.alias(f"_d_{n}") for n, c in extra.items()])
     carried = [f"_d_{n}" for n in extra]
-    table = feature_table(widened, base, [*keep, *carried], options)
+    table = features_of_batch(widened, base, [*keep, *carried], options)
     return table.select(*keep, *base, *[F.col(f"_d_{n}").alias(n) for n in extra])

@@ -221,3 +221,18 @@ def test_features_by_command(spark, events):
     assert one.columns == two.columns and one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
     few = ["is_system_user", "process_id"]
     assert feature_table_by_command(rows, few).exceptAll(feature_table(rows, few)).count() == 0
+
+
+def test_commands_that_repeat_are_looked_at_once(spark, events, monkeypatch):
+    from groundtrace.operators import feature_table as ft
+
+    keep = ("event_key", "label")
+    want = ft.feature_table(events, keep=keep)
+    assert "Join" not in ft.features_of_batch(events, keep=keep)._jdf.queryExecution().toString()  # few events
+    monkeypatch.setattr(ft, "MANY", 10)
+    found = ft.features_of_batch(events, keep=keep)
+    assert "Join" in found._jdf.queryExecution().toString()
+    assert found.columns == want.columns and found.dtypes == want.dtypes
+    assert found.exceptAll(want).isEmpty() and want.count() == found.count()
+    monkeypatch.setattr(ft, "DIFFERENT", 5)
+    assert "Join" not in ft.features_of_batch(events, keep=keep)._jdf.queryExecution().toString()  # too many commands

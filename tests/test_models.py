@@ -256,3 +256,15 @@ def test_holdout_rows_keep_event_fields(events):
     assert {"CommandLine", "User", "prediction"} <= set(scored.columns)
     row = metrics.first()
     assert misclassified(scored).count() == row["fp"] + row["fn"]
+
+
+def test_strongest_of_a_table_as_of_a_row(spark):
+    from groundtrace.operators import contributions as co
+
+    rows = [[float((i * 37 + j * 11) % 7 - 3) for j in range(20)] for i in range(40)] + [[0.0] * 20, [float("nan")] * 3 + [1.0] * 17, [None] * 18 + [2.0, -2.0]]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "event_key long, " + ", ".join(f"c{j} double" for j in range(20)))
+    items = [(f"c{j}", F.col(f"c{j}"), F.col(f"c{j}") * 2) for j in range(20)]
+    want = df.select("event_key", co.strongest(items).alias("top_features")).orderBy("event_key").collect()
+    assert str(co.with_strongest(df, ["event_key"], items).orderBy("event_key").collect()) == str(want)
+    few = co.with_strongest(df, ["event_key"], items[:2]).orderBy("event_key").collect()
+    assert str(few) == str(df.select("event_key", co.strongest(items[:2]).alias("top_features")).orderBy("event_key").collect())
