@@ -268,3 +268,11 @@ def test_strongest_of_a_table_as_of_a_row(spark):
     assert str(co.with_strongest(df, ["event_key"], items).orderBy("event_key").collect()) == str(want)
     few = co.with_strongest(df, ["event_key"], items[:2]).orderBy("event_key").collect()
     assert str(few) == str(df.select("event_key", co.strongest(items[:2]).alias("top_features")).orderBy("event_key").collect())
+
+
+def test_models_are_compared_without_a_join(spark):
+    from groundtrace.catalog.queries import QUERIES
+
+    found = QUERIES["saved_models"](spark, "/root/testdata/sf0.001")
+    assert "Join" not in found._jdf.queryExecution().toString()
+    assert all(r["events"] == r["equal"] == 1000 for r in found.collect())
