@@ -39,3 +39,22 @@ def test_scratch_removes_what_it_stored(spark):
         assert stored(spark.range(3)).count() == 3
         assert os.listdir(folder)
     assert not os.path.exists(folder)
+
+
+def test_events_of_one_small_file_are_dealt_out(spark, tmp_path):
+    """A table that compresses to less than one split is read by one task; its rows are then computed by several."""
+    from pyspark.sql import functions as F
+
+    from groundtrace.catalog.binding import process_events
+    from groundtrace.session import FEWEST
+
+    rows = 8 * FEWEST
+    spark.range(rows).select(
+        F.col("id").alias("event_id"), F.lit("2024-01-01 10:00:00").cast("timestamp").alias("ts"), F.lit(1).cast("long").alias("user_id"),
+        F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.lit("").alias("props")).coalesce(1).write.parquet(
+        f"{tmp_path}/events.parquet")
+    assert spark.read.parquet(f"{tmp_path}/events.parquet").rdd.getNumPartitions() == 1
+    found = process_events(spark, str(tmp_path))
+    counts = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(counts) == 8 and max(counts) <= 2 * FEWEST
+    assert found.select("event_key").distinct().count() == sum(counts) == rows
