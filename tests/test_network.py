@@ -106,3 +106,18 @@ def test_odd_tables(spark, features):
     scored = nw.as_pipeline(network=network).transform(holes)
     assert scored.filter("p_malicious BETWEEN 0 AND 1").count() == 20
     assert nw.as_pipeline(network=network).transform(holes.limit(0)).count() == 0
+
+
+def test_a_large_mini_batch_is_read_by_several_tasks(spark):
+    """Rows lie in the order of their mini-batch: those of one must not all fall to one task."""
+    from groundtrace.session import FEWEST
+
+    rows = 8 * FEWEST
+    table = spark.range(rows).select(F.col("id").alias("event_key"), (F.col("id") % 7).alias("a"), (F.col("id") % 11).alias("b"),
+                                     F.when(F.col("id") % 2 == 0, "benign").otherwise("malicious").alias("label"))
+    placed, batches, _ = nw._prepared(table, ("a", "b"), "event_key", nw.NetworkSettings(batch=rows // 2))
+    assert batches == 2 and placed.select("k").distinct().count() == rows
+    for part in range(batches):
+        one = placed.filter(F.col("part") == part)
+        sizes = [r["count"] for r in one.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) >= 3 and max(sizes) <= 3 * FEWEST
