@@ -236,3 +236,21 @@ def test_commands_that_repeat_are_looked_at_once(spark, events, monkeypatch):
     assert found.exceptAll(want).isEmpty() and want.count() == found.count()
     monkeypatch.setattr(ft, "DIFFERENT", 5)
     assert "Join" not in ft.features_of_batch(events, keep=keep)._jdf.queryExecution().toString()  # too many commands
+
+
+def test_features_by_kind(spark, events, make_events, monkeypatch):
+    """Rules that read several fields are looked at once per kind of event; nulls and empty texts are of one kind."""
+    from groundtrace.operators import feature_table as ft
+
+    assert len(ft.KIND_FEATURES) == 87
+    odd = [dict(Image="a", User=None), dict(Image=None, SourceImage="a"), dict(User="a"), dict(CommandLine="a", Image=""), {},
+           dict(Image="C:\\cmd.exe", SourcePort=9), dict(Image="C:\\cmd.exe", DestinationIp="::1"), dict(Image="C:\\cmd.exe", SourcePort=0)]
+    for rows in (make_events(odd), events.limit(300)):
+        one, two = ft.feature_table(rows), ft.feature_table_by_kind(rows)
+        assert one.dtypes == two.dtypes and sorted(one.collect()) == sorted(two.collect())
+    monkeypatch.setattr(ft, "MANY", 10)
+    monkeypatch.setattr(ft, "TIMES", 0.01)
+    asked = []
+    monkeypatch.setattr(ft, "stored", lambda df: asked.append(df.columns) or df)
+    ft.features_of_batch(events)
+    assert set(asked[0]) == {"_digest", *ft.KIND_FEATURES}
