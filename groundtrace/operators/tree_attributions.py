@@ -99,8 +99,32 @@ def leaf_patterns(spark: SparkSession, model: ForestModel) -> tuple[list[Leaf],
     return leaves, base
 
 
+def alike(values: np.ndarray, leaves: list[Leaf]) -> tuple[np.ndarray, np.ndarray]:
+    """(first, back): a row of each group of rows that no split tells apart, and the group of every row."""
+    cuts: dict[int, set[float]] = {}
+    for leaf in leaves:
+        for f, low, high in zip(leaf.features, leaf.low, leaf.high):
+            cuts.setdefault(int(f), set()).update(x for x in (low, high) if np.isfinite(x))
+    group, groups = np.zeros(len(values), np.int64), 1
+    for f, found in sorted(cuts.items()):
+        place = np.searchsorted(np.array(sorted(found)), values[:, f], side="left")  # NaN comes last, beyond every cut
+        place[np.isnan(values[:, f])] = len(found) + 1
+        width = len(found) + 2
+        if groups > 2 ** 62 // width:
+            _, group = np.unique(group, return_inverse=True)
+            groups = int(group.max(initial=0)) + 1
+        group, groups = group * width + place, groups * width
+    _, first, back = np.unique(group, return_index=True, return_inverse=True)
+    return first, back.reshape(-1)
+
+
 def attribute(values: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
-    """Attributions [row, feature] of a block of feature rows."""
+    """Attributions [row, feature] of a block of feature rows; rows that no split tells apart are computed once."""
+    first, back = alike(values, leaves)
+    return _attribute(values[first], leaves)[back]
+
+
+def _attribute(values: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
     result = np.zeros_like(values)
     for leaf in leaves:
         x = values[:, leaf.features]

@@ -276,3 +276,39 @@ def test_models_are_compared_without_a_join(spark):
     found = QUERIES["saved_models"](spark, "/root/testdata/sf0.001")
     assert "Join" not in found._jdf.queryExecution().toString()
     assert all(r["events"] == r["equal"] == 1000 for r in found.collect())
+
+
+def test_rows_that_no_split_tells_apart_are_attributed_once():
+    rng = np.random.default_rng(3)
+    leaves = [ta.Leaf(0, n, np.array(sorted(rng.choice(4, 3, replace=False))), np.array([-np.inf, *rng.integers(0, 5, 2)]),
+                      np.array([*rng.integers(2, 7, 2), np.inf]), rng.uniform(0.1, 0.9, 3), rng.uniform()) for n in range(60)]
+    values = rng.integers(0, 8, (500, 5)).astype(float)
+    values[:3, :2] = np.nan, np.inf
+    values[:, 4] = np.arange(500)  # an id that no split looks at
+    first, back = ta.alike(values[:, :5], leaves)
+    assert np.array_equal(ta.attribute(values, leaves), ta._attribute(values, leaves))
+    assert len(ta.alike(np.repeat(values[:20], 9, axis=0), leaves)[0]) <= 20 and back.max() + 1 == len(first)
+    assert ta.attribute(values[:0], leaves).shape == (0, 5) and len(ta.alike(values, [])[0]) == 1
+
+
+def test_scoring_computes_what_the_forest_uses(table, model):
+    assert set(model.used) == {n for n, x in model.importances.items() if x > 0} < set(model.names)
+    few = fo.score(model, table.select("event_key", *model.used), ["event_key"]).select("event_key", "p_malicious")
+    assert sorted(few.collect()) == sorted(fo.score(model, table, ["event_key"]).select("event_key", "p_malicious").collect())
+
+
+def test_stream_scored_by_batch(spark, model, tmp_path, monkeypatch):
+    """A micro-batch takes the form by kind, and gives what the narrow stream gives."""
+    from groundtrace.catalog.binding import raw_process_events
+    from groundtrace.operators import feature_table as ft
+
+    monkeypatch.setattr(ft, "MANY", 10)
+    monkeypatch.setattr(ft, "TIMES", 0.01)
+    called = []
+    by_kind = ft.feature_table_by_kind
+    monkeypatch.setattr(ft, "feature_table_by_kind", lambda *a: called.append(1) or by_kind(*a))
+    st.write_scored_batches(event_stream(spark, SF), str(tmp_path), f"{tmp_path}/checkpoint",
+                            lambda batch: st.score_stream(batch, model)).awaitTermination()
+    found = st.read_batches(spark, str(tmp_path), "scores").select("event_key", "prediction", "confidence", "drivers")
+    want = st.score_stream(raw_process_events(spark, SF), model).select(*found.columns)
+    assert called and sorted(found.collect()) == sorted(want.collect())
