@@ -39,6 +39,21 @@ def write_scores(scores: DataFrame, path: str, checkpoint: str, once: bool = Tru
     return writer.start(path)
 
 
+def write_scored_batches(raw: DataFrame, path: str, checkpoint: str, score: Callable[[DataFrame], DataFrame],
+                         once: bool = True) -> StreamingQuery:
+    """Score every micro-batch as a table and write it below ``path/scores`` under its number; ``read_batches`` reads it.
+
+    A micro-batch is a table whose rows can be counted, so its features take the form that suits it. A batch that was
+    cut short is run again under its number and replaces what it finds.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        score(batch).write.mode("overwrite").parquet(f"{path}/scores/batch={number}")
+
+    writer = raw.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 BAD_LINE = "_bad_line"
 
 
