@@ -258,6 +258,18 @@ def _neighbours(large: DataFrame, percent: int) -> DataFrame:
     return dealt.select("key", "id", "n", "sketch").mapInArrow(run, "a long, b long")
 
 
+def _members(heads: DataFrame) -> DataFrame:
+    """(key, id, n, deeper, sketch, m): the classes of each region of m > 1. Wide columns are sent once a class, not once an order."""
+    width = DEPTH - BASE
+    own = ["id", "n", "c1", "c2"]
+    regions = heads.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    places = heads.select(*own, F.posexplode("keys").alias("t", "key")).join(regions, "key").groupBy(*own).agg(
+        F.collect_list(F.struct("t", "key", "m")).alias("places"))
+    return heads.select(*own, "deeper", "sketch").join(places, own).select(
+        "id", "n", F.explode("places").alias("at"), "deeper", "sketch").select(
+        "at.key", "id", "n", F.slice("deeper", F.col("at.t") * width + 1, F.lit(width)).alias("deeper"), "sketch", "at.m")
+
+
 def _region_pairs(inside: DataFrame, percent: int) -> DataFrame:
     """Candidates of the first turn: (a, b, votes) with a > b."""
     small = inside.filter(F.col("m") <= REGION)
@@ -330,12 +342,7 @@ def near_duplicates(docs: DataFrame, work: Work, shingle: int = SHINGLE, percent
     heads = named.join(first.select("rep", "r1", "r2"), (F.col("id") == F.col("rep")) & (F.col("c1") == F.col("r1"))
                        & (F.col("c2") == F.col("r2"))).select("id", "n", "c1", "c2", "keys", "deeper", "sketch").dropDuplicates(
         ["id", "n", "c1", "c2"])  # one doc_id may head several sets, also of one size
-    width = DEPTH - BASE
-    members = heads.select("id", "n", F.posexplode("keys").alias("t", "key"), "deeper", "sketch").select(
-        "id", "n", "key", F.slice("deeper", F.col("t") * width + 1, F.lit(width)).alias("deeper"), "sketch")
-    regions = heads.select(F.explode("keys").alias("key")).groupBy("key").agg(
-        F.count(F.lit(1)).alias("m")).filter("m > 1")
-    inside = work.store(members.join(regions, "key"))
+    inside = work.store(_members(heads))
     pairs = work.store(_region_pairs(inside, percent))
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(
         inside.filter(F.col("m") > REGION).select("id")).distinct()

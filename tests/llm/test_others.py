@@ -28,6 +28,16 @@ def test_components(spark, work):
     assert components(spark.createDataFrame([], "a long, b long"), work).count() == 0
 
 
+@pytest.mark.parametrize("each, tables", [(1 << 16, 2), (40, None)])
+def test_components_of_a_long_chain(spark, work, monkeypatch, each, tables):
+    """What one task holds is settled there, without rounds over the table; several tasks give the same."""
+    monkeypatch.setattr("groundtrace.llm.components.EDGES", each)
+    edges = [(i * 7919 % 1009, (i + 1) * 7919 % 1009) for i in range(500)] + [(2000, 2001)] * 3
+    found = components(spark.createDataFrame(edges, "a long, b long"), work)
+    assert tables is None or work._tables == tables
+    assert {r.node: r.component for r in found.collect()} == brute.closure({n for e in edges for n in e}, edges)
+
+
 def test_words_in_small_pieces(monkeypatch):
     from groundtrace.llm import words as module
 
