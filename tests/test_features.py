@@ -188,6 +188,21 @@ def test_plan_is_narrow_and_pruned(spark, tmp_path):
     assert read == "CommandLine:string"
 
 
+def test_text_columns_of_whole_documents(spark, monkeypatch):
+    """The query deals rows out, whatever the tasks of the scan, and its entropy is that of the sorted characters."""
+    from groundtrace.catalog.queries import QUERIES
+
+    monkeypatch.setattr("groundtrace.session.FEWEST", 10)
+    table = QUERIES["document_obfuscation"](spark, "/root/testdata/sf0.001")
+    assert table.rdd.getNumPartitions() > 4
+    texts = ["", "a", "aab", "é€éa a", "𝒳𝒳x\x00\x00", "\t\r\n \x0b", "'\"\\\\[]" * 50, "ab c" * 3000 + "日本本", None]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    for row in frame.select("x", t.entropy_of_long(t.nz(F.col("x"))).alias("e")).collect():
+        n = Counter(row.x or "")
+        total = sum(n.values())
+        assert row.e == pytest.approx(-sum(k / total * math.log2(k / total) for k in n.values()), abs=1e-9)
+
+
 def test_entropy_in_two_steps(spark, monkeypatch):
     from groundtrace.operators import obfuscation as ob
 
