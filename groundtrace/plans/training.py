@@ -137,8 +137,9 @@ def fit_disagreement_model(
 
 def score_disagreement(events: DataFrame, model: ForestModel, with_mismatch: bool = False,
                        base=FEATURES) -> DataFrame:
-    """Probability per event that reviewer and truth differ."""
-    table = disagreement_features(events, ("event_key",), base, with_mismatch=with_mismatch)
-    return score(model, table, ["event_key"]).select(
+    """Probability per event that reviewer and truth differ. Only the features that some split uses are computed."""
+    used = set(model.used)
+    table = disagreement_features(events, ("event_key",), [n for n in base if n in used], with_mismatch=with_mismatch)
+    return score(model, table.select("event_key", *[n for n in table.columns if n in used]), ["event_key"]).select(
         "event_key", (F.col("p_malicious") > 0.5).cast("int").alias("disagreement"),
         F.col("p_malicious").alias("p_disagreement"))

@@ -205,6 +205,17 @@ def test_cross_validation(events, spark, tmp_path):
     assert spark.read.json(str(tmp_path / "cv" / "folds")).count() == 2
 
 
+def test_disagreement_scores_compute_used_features_only(events, monkeypatch):
+    base, asked, whole = ("cmdline_length", "num_quotes", "cmdline_entropy"), [], tn.disagreement_features
+    model = tn.fit_disagreement_model(events, base=base, settings=fo.ForestSettings(1, 1, bootstrap=False))
+    every = fo.score(model, whole(events, ("event_key",), base), ["event_key"])
+    monkeypatch.setattr(tn, "disagreement_features", lambda df, keep, names, **more: asked.extend(names) or whole(df, keep, names, **more))
+    found = tn.score_disagreement(events, model, base=base)
+    assert set(asked) <= set(model.used) and len(model.used) <= 1
+    assert {tuple(r) for r in found.select("event_key", "p_disagreement").collect()} == {
+        tuple(r) for r in every.select("event_key", "p_malicious").collect()}
+
+
 def test_holdout_and_disagreement_model(events):
     scored, metrics, cost = tn.evaluate_holdout(events, names=NAMES, settings=fo.ForestSettings(2, 3))
     assert scored.count() == cost.first()["alerts"] == sum(metrics.first()[c] for c in ("tp", "fp", "tn", "fn"))
