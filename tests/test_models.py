@@ -323,3 +323,17 @@ def test_stream_scored_by_batch(spark, model, tmp_path, monkeypatch):
     found = st.read_batches(spark, str(tmp_path), "scores").select("event_key", "prediction", "confidence", "drivers")
     want = st.score_stream(raw_process_events(spark, SF), model).select(*found.columns)
     assert called and sorted(found.collect()) == sorted(want.collect())
+
+
+def test_registered_exact_explanations_cover_every_event(spark, tmp_path):
+    """One row per event: verdicts of both kinds are explained, each by five features."""
+    from groundtrace.catalog.queries import QUERIES
+
+    spark.range(640).select(
+        F.col("id").alias("event_id"), F.lit("2024-01-01 10:00:00").cast("timestamp").alias("ts"), F.lit(1).cast("long").alias("user_id"),
+        F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.lit("").alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    rows = QUERIES["exact_explanations"](spark, str(tmp_path)).collect()
+    assert sorted(r["event_key"] for r in rows) == list(range(640))
+    assert {r["prediction"] for r in rows} == {"benign", "malicious"}
+    for r in rows:
+        assert f"classified as **{r['prediction']}** with " in r["explanation"] and r["explanation"].count("(value: ") == 5
