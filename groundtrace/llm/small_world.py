@@ -29,6 +29,13 @@ class Graph:
         for layer in range(top, -1, -1):
             self.links[layer] = self._attach(self._layer(layer))
 
+    @classmethod
+    def of(cls, vectors: np.ndarray, sizes: list[int], links: list[np.ndarray]) -> "Graph":
+        """The graph with these layers, built before over the same vectors."""
+        graph = cls.__new__(cls)
+        graph.vectors, graph.sizes, graph.links = np.ascontiguousarray(vectors, np.float32), sizes, links
+        return graph
+
     @staticmethod
     def _attach(links: np.ndarray) -> np.ndarray:
         """Give every member a path from the first: one that lost all links to it hangs on its nearest neighbour."""
@@ -86,7 +93,8 @@ class Graph:
             cand, sims = near + done, np.take_along_axis(inner, near, 1)
             if done:
                 entries = self._descend(x, layer)
-                found, s = self._beam(x, entries, links[:done], BUILD_BEAM)
+                # The layer above may have more members than are placed here so far; the first member leads to all.
+                found, s = self._beam(x, np.where(entries < done, entries, 0), links[:done], BUILD_BEAM)
                 cand, sims = np.concatenate([cand, found], 1), np.concatenate([sims, s], 1)
             order = _top(sims, BUILD_BEAM + 16)
             cand, sims = np.take_along_axis(cand, order, 1), np.take_along_axis(sims, order, 1)
@@ -123,8 +131,8 @@ class Graph:
     def _descend(self, queries: np.ndarray, layer: int) -> np.ndarray:
         entries = np.zeros(len(queries), np.int64)
         for upper in range(len(self.sizes) - 1, layer, -1):
-            found, _ = self._beam(queries, entries, self.links[upper], 4)
-            entries = found[:, 0]
+            found, sims = self._beam(queries, entries, self.links[upper], 4)
+            entries = found[np.arange(len(found)), sims.argmax(axis=1)]
         return entries
 
     def _beam(self, queries, entries, links, width) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,8 @@ from groundtrace.llm.tables import Work, arrow_batches
 COSINE = 0.9
 SHARDS = 8  # at least; more where a shard would exceed SHARD_ROWS
 SHARD_ROWS = 1 << 16
-TASK_QUERIES = 1 << 14  # queries of one copy of a graph
+TASK_QUERIES = 1 << 14, 1 << 16  # queries of one copy of a graph: at least, unless cores stay idle, and at most
+PIECE = 1 << 18  # bytes of a graph that one row carries
 BEAM = 16
 AUDIT = 24  # audited queries of a batch
 RECALL = 0.99
@@ -58,7 +59,7 @@ def _audited(graph: Graph, queries: np.ndarray, own: np.ndarray, width: int, lea
 
 
 def _build(members: DataFrame, work: Work) -> DataFrame:
-    """(shard, graph): the pickled ids, unit vectors and graph of each shard, built once."""
+    """(shard, piece, graph): the pickled ids, unit vectors and graph of each shard, built once and cut into pieces."""
     def run(batches):
         shard, ids, rows = None, [], []
 
@@ -67,31 +68,37 @@ def _build(members: DataFrame, work: Work) -> DataFrame:
             hashed = (np.array(ids, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)
             level = (-np.log((hashed.astype(np.float64) + 1) * 2.0 ** -53) / np.log(DEGREE)).astype(np.int64)
             order = np.argsort(-level, kind="stable")
-            data = pickle.dumps((np.array(ids)[order], x[order], Graph(x[order], level[order])))
-            return pa.record_batch([pa.array([shard], pa.int64()), pa.array([data], pa.binary())], names=["shard", "graph"])
+            graph = Graph(x[order], level[order])
+            data = pickle.dumps((np.array(ids)[order], x[order], graph.sizes, graph.links))
+            for piece, at in enumerate(range(0, len(data), PIECE)):
+                yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([piece], pa.int64()), pa.array([data[at:at + PIECE]], pa.binary())],
+                                      names=["shard", "piece", "graph"])
 
         for batch in batches:
             for home, cid, vector in zip(*(c.to_pylist() for c in batch.columns)):
                 if home != shard:
                     if rows:
-                        yield made()
+                        yield from made()
                     shard, ids, rows = home, [], []
                 ids.append(cid)
                 rows.append(vector)
         if rows:
-            yield made()
+            yield from made()
 
     dealt = members.repartition("shard").sortWithinPartitions("shard", "cid").select("shard", "cid", "vector")
-    return work.store(dealt.mapInArrow(run, "shard long, graph binary"))
+    return work.store(dealt.mapInArrow(run, "shard long, piece long, graph binary"))
 
 
 def _search(dealt: DataFrame, cosine: float) -> DataFrame:
-    """(a, b) of the links between the queries and the members of each shard; the graph comes before its queries."""
+    """(a, b) of the links between the queries and the members of each shard; the pieces of the graph come before its queries."""
     def run(batches):
-        group, held, width, waiting, asked = None, None, BEAM, [], []
+        group, held, pieces, width, waiting, asked = None, None, [], BEAM, [], []
 
         def answer():
-            nonlocal width
+            nonlocal held, pieces, width
+            if pieces and waiting:
+                names, vectors, sizes, links = pickle.loads(b"".join(pieces))
+                held, pieces = (names, vectors, Graph.of(vectors, sizes, links), np.argsort(names)), []
             if held is None or not waiting:
                 return None
             members, vectors, graph, order = held
@@ -111,10 +118,9 @@ def _search(dealt: DataFrame, cosine: float) -> DataFrame:
                         yield found
                     waiting, asked = [], []
                 if (shard, copy) != group:
-                    group, held, width = (shard, copy), None, BEAM
+                    group, held, pieces, width = (shard, copy), None, [], BEAM
                 if graph is not None:
-                    held = pickle.loads(graph)
-                    held += (np.argsort(held[0]),)
+                    pieces.append(graph)
                 else:
                     waiting.append(vector)
                     asked.append(cid)
@@ -128,13 +134,15 @@ def _links(classes: DataFrame, work: Work, cosine: float) -> DataFrame:
     """Distinct links (a, b) with a > b between classes (cid, vector), each dimension for itself."""
     total = classes.count()
     shards = max(SHARDS, -(-total // SHARD_ROWS))
-    copies = max(1, -(-total // TASK_QUERIES))
+    few, many = TASK_QUERIES
+    idle = -(-3 * classes.sparkSession.sparkContext.defaultParallelism // shards)
+    copies = max(1, -(-total // many), min(-(-total // few), idle))
     vector = classes.withColumn("dim", F.size("vector"))
     home = (F.pmod(F.xxhash64("cid"), F.lit(shards)) * 65536 + F.col("dim") % 65536).cast("long")
     graphs = _build(vector.select(home.alias("shard"), "cid", "vector"), work)
     empty = F.lit(None)
     held = graphs.select("shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(False).alias("query"),
-                         empty.cast("long").alias("cid"), empty.cast("array<double>").alias("vector"), "graph")
+                         F.col("piece").alias("cid"), empty.cast("array<double>").alias("vector"), "graph")
     queries = vector.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(
         (F.col("s") * 65536 + F.col("dim") % 65536).cast("long").alias("shard"),
         F.pmod(F.xxhash64("cid", F.lit(3)), F.lit(copies)).cast("int").alias("copy"), F.lit(True).alias("query"), "cid", "vector",

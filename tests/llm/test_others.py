@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import pickle
 import random
 
 import brute
@@ -11,7 +12,7 @@ import pytest
 from material import corpus, make_docs, work  # noqa: F401
 from pyspark.sql import functions as F
 
-from groundtrace.llm import language_id, license_scan, pieces, vector_dedup, warc
+from groundtrace.llm import language_id, license_scan, pieces, small_world, vector_dedup, warc
 from groundtrace.llm.components import components
 from groundtrace.llm.words import words
 
@@ -93,6 +94,32 @@ def test_vectors_odd_rows(spark, work):
     assert vector_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"), work).count() == 0
 
 
+def test_graph_whose_upper_layer_outgrows_a_batch(monkeypatch):
+    """While a layer is filled, the layer above may lead to members that are not placed yet."""
+    monkeypatch.setattr(small_world, "BATCH", 8)
+    rng = np.random.default_rng(5)
+    x = vector_dedup.unit(rng.normal(size=(60, 16)).repeat(10, axis=0) + rng.normal(size=(600, 16)) * 0.1)
+    graph = small_world.Graph(x, np.repeat([2, 1, 0], [20, 100, 480]))
+    assert graph.sizes == [600, 120, 20]
+    q, m = graph.within(x, 0.9, 16)
+    assert len(q) >= 0.99 * (x @ x.T >= 0.9).sum() and (x[q] * x[m]).sum(axis=1).min() > 0.8999
+
+
+def test_graphs_travel_in_pieces(spark, work):
+    """No row carries a whole graph, and the pieces make the graph again."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 256)).repeat(4, axis=0) + rng.normal(size=(1600, 256)) * 0.1
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    members = frame.select(F.lit(7).cast("long").alias("shard"), F.col("vec_id").alias("cid"), F.col("embedding").alias("vector"))
+    cut = sorted((r.piece, r.graph) for r in vector_dedup._build(members, work).collect())
+    assert len(cut) > 4 and max(len(g) for _, g in cut) <= vector_dedup.PIECE
+    names, vectors, sizes, _ = pickle.loads(b"".join(g for _, g in cut))
+    assert sorted(names) == list(range(1600)) and np.allclose(vectors, vector_dedup.unit(x)[names]) and sizes[0] == 1600
+    u = vector_dedup.unit(x)
+    got = {r.id: (r.n_links, r.component) for r in vector_dedup.near_vectors(frame, work).collect()}
+    assert got == {i: (int(n), i // 4 * 4) for i, n in enumerate((u @ u.T >= 0.9).sum(axis=1) - 1)}
+
+
 def test_warc_round_trip(spark, work, monkeypatch):
     long = "<p>é" * 60
     rows = [(1, "http://a/é x", long, 1), (2, None, long, 1), (3, "http://b", None, 1), (4, "c", "", 1), (5, "d", "short", 1),
