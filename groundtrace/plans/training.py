@@ -31,10 +31,10 @@ class Validation:
 
 
 def _fit(table: DataFrame, names, settings: ForestSettings, top_k: int | None,
-         store: bool = True) -> ForestModel:
+         store: bool = True, statistics: bool = True) -> ForestModel:
     if top_k:
-        return fit_top_k(table, names, top_k, settings, store)
-    return fit_forest(table, names, settings, store=store)
+        return fit_top_k(table, names, top_k, settings, store, statistics)
+    return fit_forest(table, names, settings, statistics=statistics, store=store)
 
 
 def cross_validate(
@@ -46,6 +46,7 @@ def cross_validate(
     The features are row-local, so they are computed once for all folds and stored partitioned by
     fold: a training set reads k - 1 partitions, a test set one. Augmented copies, which differ per fold
     and join the training side alone, are chosen for all folds in one pass and stored by the fold they are for.
+    Training statistics serve explanations; the models of the folds only score, and go without that pass.
     """
     spark = events.sparkSession
     folded = stratified_folds(events, folds, Order(seed))
@@ -60,7 +61,7 @@ def cross_validate(
         if augment_share:
             train = train.unionByName(copies.filter(F.col("for_fold") == fold).drop("for_fold"))
         started = time.perf_counter()
-        model = _fit(train, names, settings, top_k, store=False)
+        model = _fit(train, names, settings, top_k, store=False, statistics=False)
         fitted = time.perf_counter()
         scored = stored(score(model, table.filter(F.col("fold") == fold),
                               ["event_key", "label", "fold"])

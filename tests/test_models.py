@@ -337,3 +337,19 @@ def test_registered_exact_explanations_cover_every_event(spark, tmp_path):
     assert {r["prediction"] for r in rows} == {"benign", "malicious"}
     for r in rows:
         assert f"classified as **{r['prediction']}** with " in r["explanation"] and r["explanation"].count("(value: ") == 5
+
+
+def test_folds_fit_without_statistics(events, monkeypatch):
+    """Validation makes no pass for statistics that no one reads, and its forests are those of a fit with them."""
+    fit, without = tn._fit, []
+
+    def compared(*given, **how):
+        model, plain = fit(*given, **how), fit(*given, **{**how, "statistics": True})
+        trees = [m.forest.toDebugString.split("\n", 1)[1] for m in (model, plain)]
+        without.append((model.statistics, trees[0] == trees[1], plain.statistics.keys() == set(model.names)))
+        return model
+
+    monkeypatch.setattr(tn, "_fit", compared)
+    for k in (None, 3):
+        assert tn.cross_validate(events, folds=2, names=NAMES, settings=fo.ForestSettings(2, 3), top_k=k).predictions.count() == events.count()
+    assert without == [({}, True, True)] * 4
